@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Relational, sequence, spatial and graph operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Queries over tables, quality gates and the ledger of stages."""

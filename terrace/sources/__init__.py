@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Readers and writers of capture formats."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Stateful operators on streams, sharing their steps with the batch versions."""
