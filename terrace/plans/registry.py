@@ -507,7 +507,7 @@ def interval_overlap(read):
     return tables.overlaps(ranges, ["o_custkey"], "start", "end", "o_orderkey")
 
 
-_BLOCKS = "(select distinct floor(embedding[1] * 2 + 4)::bigint as bx, floor(embedding[2] * 2 + 4)::bigint as "by", floor(embedding[3] * 2 + 4)::bigint as bz from embeddings where label {})"
+_BLOCKS = "(select distinct floor(embedding[1] * 2 + 4)::bigint as bx, floor(embedding[2] * 2 + 4)::bigint as \"by\", floor(embedding[3] * 2 + 4)::bigint as bz from embeddings where label {})"
 
 
 def _blocks(read, labels: str) -> DataFrame:
