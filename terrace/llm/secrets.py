@@ -87,18 +87,21 @@ def _score(run: Column, table: Column) -> Column:
     return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def trained(labelled: DataFrame) -> list[int]:
+def trained(docs: DataFrame, labels: DataFrame) -> list[int]:
     """Log-likelihood ratios, in thousandths, of each pair of symbols in random strings against identifiers.
 
-    ``labelled`` has texts ``(doc_id, text)`` labelled as ordinary; of these the
+    Of the documents that ``labels`` calls good and not toxic, the
     ``SAMPLE_DOCUMENTS`` with the smallest hash of their id make the identifiers:
     their words as they are and joined in snake case, camel case and with a
     number. Random strings are digests in hexadecimal, Base64 and upper case. Both
     models are pair counts with ``SMOOTHING``, each row a distribution over what
     follows; what comes back has one number for each pair, whatever the input.
     """
-    spark = labelled.sparkSession
-    sample = labelled.where("text is not null").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCUMENTS)
+    spark = docs.sparkSession
+    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+    # the sample is drawn from ids alone and has at most SAMPLE_DOCUMENTS rows, so it may be broadcast
+    drawn = good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCUMENTS)
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id", "left_semi")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))
     pairs = sample.select(F.posexplode(let(words, lambda w: F.transform(w, lambda x, i: F.struct(x.alias("a"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("b"))))).alias("i", "p"))
     a, b = F.col("p.a"), F.col("p.b")
@@ -188,7 +191,5 @@ def secrets(
 
 
 def production(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``secrets`` with a model trained from the documents that ``labels`` calls good and not toxic."""
-    good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return secrets(docs, trained(docs.select("doc_id", "text").join(good, "doc_id", "left_semi")))
-
+    """``secrets`` with a model trained from the labelled documents."""
+    return secrets(docs, trained(docs, labels))
