@@ -23,12 +23,16 @@ from terrace.llm.components import components
 
 #: 38 bands of 5: a pair of similarity 0.8 meets in none with probability 3e-7.
 BANDS, ROWS, HASHES, BITS = 38, 5, 192, 2
+#: Further minima and their low bits, for the documents that the short signatures leave in doubt.
+LONG, LONG_BITS = 4096, 2
 #: A pair goes unconfirmed only if its estimate is so many standard errors below the threshold.
-SLACK = 6.0
+SLACK = 4.5
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 #: Rounds in which a bucket's members are held against one of them, before all pairs left are.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Members of a bucket that are compared at a time when its pairs are.
+BLOCK = 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -52,6 +56,8 @@ _BASE = int(_stream(1, 12)[0]) | 3
 _TIMES = _stream(HASHES, 13) | np.uint64(1)
 _PLUS = _stream(HASHES, 14)
 _BAND = _stream(BANDS * ROWS, 15) | np.uint64(1)
+_LONG_TIMES = _stream(LONG, 16) | np.uint64(1)
+_LONG_PLUS = _stream(LONG, 17)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -108,22 +114,22 @@ class Hasher:
         return got[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def minima(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``HASHES`` x documents: the 32-bit minima of each document's part of ``values``; no part may be empty."""
+def minima(values: np.ndarray, counts: np.ndarray, times: np.ndarray = _TIMES, plus: np.ndarray = _PLUS) -> np.ndarray:
+    """Hashes x documents: the 32-bit minima of each document's part of ``values``; no part may be empty."""
     starts = np.cumsum(counts) - counts
-    out = np.empty((HASHES, len(counts)), np.uint32)
+    out = np.empty((len(times), len(counts)), np.uint32)
     shift, room = np.uint64(32), np.empty(len(values), np.uint64)
-    for k in range(HASHES):
-        np.multiply(values, _TIMES[k], out=room)
-        np.add(room, _PLUS[k], out=room)
+    for k in range(len(times)):
+        np.multiply(values, times[k], out=room)
+        np.add(room, plus[k], out=room)
         np.right_shift(room, shift, out=room)
         out[k] = np.minimum.reduceat(room.astype(np.uint32), starts)
     return out
 
 
-def packed(low: np.ndarray) -> np.ndarray:
-    """Documents x words: the low bits of the minima, one plane of ``HASHES`` bits for each of the ``BITS``."""
-    planes = [np.packbits(((low >> np.uint32(b)) & np.uint32(1)).astype(np.uint8).T, axis=1) for b in range(BITS)]
+def packed(low: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Documents x words: the low bits of the minima, one plane of a bit for each hash after the other."""
+    planes = [np.packbits(((low >> np.uint32(b)) & np.uint32(1)).astype(np.uint8).T, axis=1) for b in range(bits)]
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
@@ -187,26 +193,44 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     return from_docs.mapInArrow(run, SIGNED)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def long_signatures(texts: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, fp_a, long_sig)``: low bits of each of ``LONG`` minima for rows ``(doc_id, fp_a, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(width)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    values, counts = hasher.sets(part.column(2).to_pylist())
+                    sig = packed(minima(values, counts, _LONG_TIMES, _LONG_PLUS), LONG_BITS)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array([row.tobytes() for row in sig], pa.binary())], ["doc_id", "fp_a", "long_sig"]
+                    )
+
+    return texts.select("doc_id", "fp_a", "text").mapInArrow(run, "doc_id long, fp_a long, long_sig binary")
+
+
+def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
     """The similarity behind two packed signatures: equal groups of low bits, less those equal by chance."""
-    words = HASHES // 64
+    words = hashes // 64
     differ = None
     for w in range(words):
         plane = None
-        for k in range(BITS):
+        for k in range(bits):
             x = a[k * words + w].bitwiseXOR(b[k * words + w])
             plane = x if plane is None else plane.bitwiseOR(x)
         count = F.bit_count(plane)
         differ = count if differ is None else differ + count
-    chance = 2.0**-BITS
-    return ((1 - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
+    chance = 2.0**-bits
+    return ((1 - differ / F.lit(float(hashes))) - chance) / (1 - chance)
 
 
-def floor_of(percent: int) -> float:
-    """The estimate under which a pair at the threshold falls with a probability of about 1e-9."""
-    chance, j = 2.0**-BITS, percent / 100
+def floor_of(percent: int, hashes: int = HASHES, bits: int = BITS) -> float:
+    """The estimate that a pair at the threshold falls short of only by ``SLACK`` standard errors."""
+    chance, j = 2.0**-bits, percent / 100
     p = j + (1 - j) * chance
-    return j - SLACK * math.sqrt(p * (1 - p) / HASHES) / (1 - chance)
+    return j - SLACK * math.sqrt(p * (1 - p) / hashes) / (1 - chance)
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -336,17 +360,7 @@ def near_duplicates(
             pairs = open_.where("component != hub.component").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
             left = open_.where("doc_id != hub.doc_id").select("key", "doc_id")
         else:
-            rest = open_.select("key", "doc_id", "component").join(facts.drop("fp_a"), "doc_id")
-            other = rest.select(
-                "key", F.col("doc_id").alias("a"), F.col("component").alias("component_a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a")
-            )
-            pairs = (
-                rest.join(other, "key")
-                .where("a < doc_id and component != component_a")
-                .where(100 * F.least("n_shingles", "n_a") >= percent * F.greatest("n_shingles", "n_a"))
-                .where(estimate(F.col("sig"), F.col("sig_a")) >= floor_of(percent))
-                .select("a", F.col("doc_id").alias("b"))
-            )
+            pairs = _pairs_left(open_, reps, texts, width, percent)
         links = links.unionByName(checked(pairs.distinct()))
     found = written(components(links.unionByName(copies)))
     rows = sign.select("doc_id", "n_shingles").join(small(found), F.col("doc_id") == F.col("id"), "left")
@@ -356,6 +370,92 @@ def near_duplicates(
     )
 
 
+def _pairs_left(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of members ``(key, doc_id, component, hub)`` of one bucket in two components.
+
+    Long signatures, made for these members alone, leave few pairs that are not
+    links. Of two members in two components one lies outside the hub's, so those
+    outside are held against all, both dealt out in blocks of ``BLOCK``: a task
+    has one block of either at a time, and only pairs that pass come out, each in
+    the first bucket that its members share.
+    """
+    ids = written(members.select("doc_id").distinct())
+    sure = long_signatures(texts.join(small(ids), "doc_id", "left_semi"), width)
+    facts = reps.join(small(ids), "doc_id", "left_semi").select("doc_id", "fp_a", "n_shingles", "keys").join(sure, ["doc_id", "fp_a"]).drop("fp_a")
+    outside = (F.col("component") != F.col("hub.component")).alias("outside")
+    sizes = members.groupBy("key").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks_y"),
+        F.ceil(F.sum((F.col("component") != F.col("hub.component")).cast("long")) / BLOCK).cast("int").alias("blocks_x"),
+    )
+    full = members.select("key", "doc_id", "component", outside).join(sizes, "key").join(written(facts), "doc_id")
+    own = F.xxhash64("doc_id")
+    keep = ["key", "doc_id", "component", "n_shingles", "keys", "long_sig"]
+    x = full.where("outside").select(
+        *keep, F.lit(0).alias("side"), F.pmod(own, "blocks_x").cast("int").alias("bx"), F.explode(F.expr("sequence(0, blocks_y - 1)")).alias("by")
+    )
+    y = full.select(
+        *keep, F.when(F.col("outside"), 2).otherwise(1).alias("side"), F.explode(F.expr("sequence(0, blocks_x - 1)")).alias("bx"), F.pmod(own, "blocks_y").cast("int").alias("by")
+    )
+    block = ["key", "bx", "by"]
+    least, chance = floor_of(percent, LONG, LONG_BITS), 2.0**-LONG_BITS
+
+    def compared(key: int, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        side, ids, parts, sizes, keys, sigs = rows
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+        sigs = sigs.reshape(len(ids), LONG_BITS, -1)
+        band = int(np.argmax(keys[0] == key))
+        out = [np.empty((2, 0), np.int64)]
+        step = max(1, (1 << 20) // max(1, len(y)))
+        for at in range(0, len(x), step):
+            i = x[at : at + step]
+            likely = parts[i][:, None] != parts[y][None, :]
+            likely &= 100 * np.minimum(sizes[i][:, None], sizes[y][None, :]) >= percent * np.maximum(sizes[i][:, None], sizes[y][None, :])
+            likely &= (side[y] == 1)[None, :] | (ids[i][:, None] < ids[y][None, :])  # two outside: once
+            for b in range(band):  # in the first bucket that they share: once
+                likely &= keys[i, b][:, None] != keys[y, b][None, :]
+            p, q = np.nonzero(likely)
+            p, q = i[p], y[q]
+            for k in range(0, len(p), 1 << 13):
+                m, n = p[k : k + (1 << 13)], q[k : k + (1 << 13)]
+                plane = sigs[m, 0] ^ sigs[n, 0]
+                for b in range(1, LONG_BITS):
+                    plane |= sigs[m, b] ^ sigs[n, b]
+                differ = np.bitwise_count(plane).sum(axis=1, dtype=np.int64)
+                near = ((1 - differ / LONG) - chance) / (1 - chance) >= least
+                out.append(np.stack([ids[m[near]], ids[n[near]]]))
+        both = np.concatenate(out, axis=1)
+        return both.min(axis=0), both.max(axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        name = None
+
+        def done() -> pa.RecordBatch:
+            a, b = compared(name[0], [np.concatenate(c) for c in zip(*held, strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            side, ids, parts, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7))
+            keys = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            sigs = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(len(ids), -1)
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                this = tuple(key[:, start])
+                if this != name and held:
+                    yield done()
+                    held = []
+                name = this
+                held.append([c[start:end] for c in (side, ids, parts, sizes, keys, sigs)])
+        if held:
+            yield done()
+
+    dealt = x.unionByName(y).select(*block, "side", "doc_id", "component", "n_shingles", "keys", "long_sig").repartition(*block).sortWithinPartitions(*block)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _with_fingerprint(width: int):
     """Adds to each text the fingerprint by which rows that share an id are told apart."""
 
