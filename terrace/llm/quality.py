@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import let
+from terrace.llm.common import let, written
 
 #: A document fails by itself with fewer words, or with more than so many in a hundred repeated.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -143,7 +143,8 @@ def judged(
         | (F.col("n_dup_lines") > MOST_DUP_LINES)
         | (100 * F.col("n_repeat_words") > SOFT_REPEATED_PERCENT * F.col("n_words"))
     )
-    return with_host_verdicts(rows.withColumn("base_failed", base).withColumn("soft_failed", soft))
+    # the measures cost a pass over all texts and are needed twice: for the hosts' rates and for the verdicts
+    return with_host_verdicts(written(rows.withColumn("base_failed", base).withColumn("soft_failed", soft)))
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
