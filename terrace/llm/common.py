@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few numbers a row may be broadcast (some 40 MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of a few numbers a row may be broadcast (some 40 MB when hashed).
+BROADCAST_ROWS = 300_000
 
 _written: list[tuple[SparkSession, str]] = []
 
