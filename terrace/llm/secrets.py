@@ -24,9 +24,10 @@ SHORTEST = 20
 RUN = f"[A-Za-z0-9+/_=\\-[^\\x00-\\x7F]]{{{SHORTEST},}}"
 #: A run is a secret if the models' log-likelihood ratio is at least so much, in thousandths.
 LEAST_RATIO = 12_000
-#: The classifier's sample: so many labelled documents at most, and so many random strings of each make.
+#: The classifier's sample: so many labelled documents at most, and so many random strings.
 SAMPLE_DOCUMENTS, SAMPLE_STRINGS = 2000, 2000
-SMOOTHING = 0.5
+#: Share of each row of a model that goes to all symbols alike, so that unseen pairs count for little.
+SMOOTHING = 0.05
 
 
 def _found(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:
@@ -93,9 +94,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> list[int]:
     Of the documents that ``labels`` calls good and not toxic, the
     ``SAMPLE_DOCUMENTS`` with the smallest hash of their id make the identifiers:
     their words as they are and joined in snake case, camel case and with a
-    number. Random strings are digests in hexadecimal, Base64 and upper case. Both
-    models are pair counts with ``SMOOTHING``, each row a distribution over what
-    follows; what comes back has one number for each pair, whatever the input.
+    number. Random strings are digests in Base64. Both models are pair counts, each
+    row a distribution over what follows, smoothed by ``SMOOTHING``; what comes
+    back has one number for each pair, whatever the input.
     """
     spark = docs.sparkSession
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
@@ -109,8 +110,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> list[int]:
     names = F.array(a, F.concat(F.lower(a), F.lit("_"), F.lower(b), F.lit("_"), number), F.concat(F.initcap(a), F.initcap(b)), F.concat(F.lower(a), F.lit("-"), number))
     ordinary = pairs.select(F.lit(0).alias("kind"), F.explode(names).alias("s"))
     digest = F.sha2(F.concat(F.lit("terrace"), F.col("id").cast("string")), 256)
-    made = F.array(digest, F.base64(F.unhex(digest)), F.upper(F.translate(digest, "abcdef01", "QWRTYPKX")))
-    random = spark.range(SAMPLE_STRINGS).select(F.lit(1).alias("kind"), F.explode(made).alias("s"))
+    random = spark.range(SAMPLE_STRINGS).select(F.lit(1).alias("kind"), F.base64(F.unhex(digest)).alias("s"))
     steps = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))
     counts = (
         ordinary.unionByName(random)
@@ -129,7 +129,8 @@ def ratios(counts: dict[tuple[int, str], int]) -> list[int]:
     rows = {(k, a): sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
 
     def log(kind: int, a: str, b: str) -> float:
-        return math.log((counts.get((kind, a + b), 0) + SMOOTHING) / (rows[kind, a] + SMOOTHING * n))
+        seen = counts.get((kind, a + b), 0) / rows[kind, a] if rows[kind, a] else 1 / n
+        return math.log((1 - SMOOTHING) * seen + SMOOTHING / n)
 
     return [round(1000 * (log(1, a, b) - log(0, a, b))) for a in ALPHABET for b in ALPHABET]
 
