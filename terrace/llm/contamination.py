@@ -203,3 +203,22 @@ def _whole(rows: DataFrame, index: Index) -> DataFrame:
 def digest_of(items: set[int]) -> str:
     """``items_sha256`` of a set of item ids."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+
+
+def oracle(size: int = WINDOW) -> str:
+    """DuckDB SQL for ``contaminated`` with windows of ``size`` words."""
+    word = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with items as (select item_id, {word} as w from benchmark where item_id is not null),
+windows as (
+  select distinct item_id, least({size}, len(w)) as n, array_to_string(w[i:i + least({size}, len(w)) - 1], ' ') as t
+  from (select *, unnest(range(1, greatest(1, len(w) - {size - 1}) + 1)) as i from items where len(w) > 0)),
+docs as (select row_number() over () as r, doc_id, {word} as w from documents),
+lengths as (select distinct n from windows),
+spans as (select r, n, unnest(range(1, len(w) - n + 2)) as i, w from docs, lengths where len(w) >= n),
+hits as (select r, spans.n, i, item_id from (select r, n, i, array_to_string(w[i:i + n - 1], ' ') as t from spans) as spans join windows on windows.n = spans.n and windows.t = spans.t),
+places as (select r, count(distinct p)::bigint as n_hit from (select r, unnest(range(i, i + n)) as p from hits) group by r),
+named as (select r, list(distinct item_id::varchar order by item_id::varchar) as items from hits group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(items, []) as items
+from docs left join places using (r) left join named using (r)"""

@@ -229,3 +229,39 @@ def licenses(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``licenses`` with its fixed phrases and templates, these as patterns over words with blanks between."""
+
+    def pattern(parts: list) -> str:
+        out = ""
+        for part in parts:
+            if isinstance(part, bytes):
+                out += f" {part.decode()}"
+            elif isinstance(part, int):
+                out += f"(?: [^ ]+){{0,{part}}}"
+            else:
+                out += f"(?:{pattern(part)})?"
+        return out
+
+    def places(phrase: str) -> str:
+        words = phrase.split()
+        same = " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        return f"list_filter(range(1, len(w) + 1), lambda i: {same})"
+
+    own = ", ".join(f"case when regexp_matches(line, '{pattern(_parsed(t))} ') then '{label}' end" for label, t in TEMPLATES)
+    base = ", ".join(f"case when len({places(p)}) > 0 then '{label}' end" for p, label in PHRASES.items())
+    spots = " || ".join(places(p) for p in PHRASES)
+    return f"""
+with split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+found as (
+  select doc_id, len(w)::bigint as n_words, {spots} as spots, list_filter([{base}], lambda x: x is not null) as base,
+    list_filter([{own}], lambda x: x is not null) as own
+  from (select *, ' ' || array_to_string(w, ' ') || ' ' as line from split))
+select doc_id, n_words, len(spots)::bigint as n_base, (list_min(spots) - 1)::bigint as first_word, (list_max(spots) - 1)::bigint as last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') as base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') as labels,
+  (case when len(own) > 0 then 1 when len(base) > 0 then 0.5 else 0 end)::double as score
+from found"""

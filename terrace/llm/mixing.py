@@ -156,7 +156,7 @@ def mixed(
     cut = (
         ranges.withColumn("_before", F.sum("_in").over(upto) - F.col("_in"))
         .where("_before < _rest")
-        .select(*LEVELS, "_range", "_before", (F.col("_before") + F.col("_in") > F.col("_rest")).alias("_ends"))
+        .select(*LEVELS, "_range", "_before", (F.col("_before") + F.col("_in") >= F.col("_rest")).alias("_ends"))
     )
     started = partial.join(small(written(cut)), [*LEVELS, "_range"])
     all_of = started.where("not _ends").select(*keep, F.col("n_tokens").alias("take_tokens"))
@@ -192,3 +192,45 @@ def domain_of(source: Column) -> Column:
 def production(docs: DataFrame, max_epochs: int = EPOCHS, share: float = SHARE) -> DataFrame:
     """``mixed`` with the parameters of the registered query."""
     return mixed(docs, domain_of(F.col("source")), WEIGHTS, budget_share=share, max_epochs=max_epochs, seed=SEED)
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``production``."""
+
+    def split(source: str, parent: str, key: str) -> str:
+        order = f"partition by {parent} order by cap / weight, {key}"
+        return f"""(select *, (part + case when not filled and rk <= spare then 1 else 0 end)::bigint as quota from (
+  select *, budget - sum(part) over (partition by {parent}) as spare, row_number() over (partition by {parent} order by excess desc, {key}) as rk from (
+  select *, case when filled then cap else (weight::hugeint * l) // s end as part, case when filled then -1 else (weight::hugeint * l) % s end as excess from (
+  select *, first_value(lft) over f as l, first_value(shr) over f as s from (
+  select *, cap::hugeint * shr <= weight::hugeint * lft as filled from (
+  select *, budget - coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0) as lft,
+    sum(weight) over ({order} rows between current row and unbounded following) as shr from {source}))
+  window f as (partition by {parent} order by filled, cap / weight, {key})))))"""
+
+    def weight(level: str) -> str:
+        listed, default = WEIGHTS[level]
+        cases = " ".join(f"when {level} = '{n}' then {w}" for n, w in listed.items())
+        return f"case {cases} else {default} end" if cases else str(default)
+
+    domains = " ".join(f"when regexp_matches(source, '{p}') then '{n}'" for n, p in DOMAIN_RULES)
+    return f"""
+with rows as (
+  select doc_id, case {domains} else '{OTHER_DOMAIN}' end as domain, coalesce(lang, '?') as lang, coalesce(source, '?') as source, coalesce(doc_id::varchar, '?') as name,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::bigint as n_tokens from documents),
+leaves as (select domain, lang, source, sum(n_tokens)::bigint as tokens from rows group by all),
+total as (select floor(sum(tokens)::double * {SHARE}::double)::bigint as budget from leaves),
+able as (select *, tokens * {EPOCHS} as cap, {weight("domain")} as wd, {weight("lang")} as wl, {weight("source")} as ws from leaves where tokens > 0),
+top as (select 0 as root, domain, sum(cap)::bigint as cap, max(wd)::bigint as weight from able where wd > 0 and wl > 0 and ws > 0 group by domain),
+rooted as (select *, least((select budget from total), (select sum(cap) from top))::bigint as budget from top),
+by_domain as (select domain, quota as budget from {split("rooted", "root", "domain")}),
+langs as (select domain, lang, sum(cap)::bigint as cap, max(wl)::bigint as weight, any_value(budget) as budget from able join by_domain using (domain) group by domain, lang),
+by_lang as (select domain, lang, quota as budget from {split("langs", "domain", "lang")}),
+down as (select domain, lang, source, tokens, cap, ws::bigint as weight, budget from able join by_lang using (domain, lang)),
+plan as (select domain, lang, source, quota // tokens as whole, quota % tokens as rest from {split("down", "domain, lang", "source")}),
+epochs as (select rows.*, whole, rest, unnest(range(0, whole + (rest > 0)::int)) as epoch from rows join plan using (domain, lang, source)),
+keyed as (select *, md5('{SEED}:' || epoch || ':' || name) as order_key from epochs),
+placed as (select *, sum(n_tokens) over (partition by domain, lang, source, epoch order by order_key, doc_id, n_tokens rows unbounded preceding) - n_tokens as start from keyed)
+select doc_id, domain, lang, source, epoch::int as epoch, order_key, n_tokens,
+  (case when epoch < whole then n_tokens else least(n_tokens, rest - start) end)::bigint as take_tokens
+from placed where epoch < whole or start < rest"""

@@ -41,6 +41,10 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
+        "op1_mixing": mixing.oracle(),
         "op4_quality": quality.oracle(),
         "op5_urls": urls.oracle(),
+        "op8_shards": sharding.oracle(SHARDS),
+        "op9_contamination": contamination.oracle(),
+        "op10_licenses": licenses.oracle(),
     }

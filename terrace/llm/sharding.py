@@ -73,15 +73,21 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
 
 
 def oracle(shards: int) -> str:
-    """DuckDB SQL for ``byte_shards`` over ``documents``, checksums left to zlib's rule as a fold over bytes."""
+    """DuckDB SQL for ``byte_shards`` over ``documents``; the checksum is the reflected polynomial's fold over bytes."""
     return f"""
-with sized as (
-  select doc_id, coalesce(octet_length(encode(text)), 0) + {OVERHEAD} as size, coalesce(text, '') as text
-  from documents),
+with recursive bits as (
+  select n::bigint as n, n::bigint as c, 0 as k from range(256) as t(n)
+  union all
+  select n, case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end, k + 1 from bits where k < 8),
+tab as (select list(c order by n) as tab from bits where k = 8),
+sized as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + {OVERHEAD} as size, hex(encode(coalesce(text, ''))) as h from documents),
 summed as (
   select *, sum(size) over (order by doc_id rows unbounded preceding) - size as start, sum(size) over () as total from sized),
 placed as (
   select *, least({shards - 1}, ((2 * start + size) * {shards}) // (2 * total))::int as shard from summed)
-select doc_id, size::bigint as size, 'bytes' as law, shard,
-  (row_number() over (partition by shard order by doc_id) - 1)::bigint as slot, null::int as grown_shard
-from placed"""
+select doc_id, size::bigint as size,
+  xor(4294967295::bigint, list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint),
+    lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)]), 4294967295::bigint)) as text_crc32,
+  'bytes' as law, shard, (row_number() over (partition by shard order by doc_id) - 1)::bigint as slot, null::int as grown_shard
+from placed, tab"""
