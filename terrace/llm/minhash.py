@@ -475,3 +475,22 @@ def _with_fingerprint(width: int):
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), part.column(1)], ["doc_id", "fp_a", "text"])
 
     return run
+
+
+def oracle(width: int, percent: int = 80) -> str:
+    """DuckDB SQL for ``near_duplicates`` of ``documents`` without null or repeated ids: all shared shingles, then reachability."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return f"""
+with recursive split as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') as w from documents),
+shingles as (
+  select distinct doc_id, {shingle} as s from (select doc_id, w, unnest(range(1, len(w) - {width - 2})) as i from split where len(w) >= {width})
+  union select doc_id, array_to_string(w, ' ') from split where len(w) between 1 and {width - 1}),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+linked as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= {percent} * (x.n + y.n - c)),
+ways as (select a, b from linked union all select b, a from linked),
+reached as (select doc_id as id, doc_id as low from documents union select b, low from reached join ways on a = id where low < b)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, low::bigint as component_id, doc_id = low as kept
+from documents join (select id, min(low) as low from reached group by id) on id = doc_id left join sizes using (doc_id)"""

@@ -42,8 +42,10 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
         "op1_mixing": mixing.oracle(),
+        "op2_minhash": minhash.oracle(2),
         "op4_quality": quality.oracle(),
         "op5_urls": urls.oracle(),
+        "op6_secrets": secrets.oracle(),
         "op8_shards": sharding.oracle(SHARDS),
         "op9_contamination": contamination.oracle(),
         "op10_licenses": licenses.oracle(),

@@ -194,3 +194,51 @@ def secrets(
 def production(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``secrets`` with a model trained from the labelled documents."""
     return secrets(docs, trained(docs, labels))
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``production``; patterns are the same but for how a class names letters beyond ASCII."""
+    assign = ASSIGN.replace("'", "''").replace("\\-", "-")
+    run = f"(?:[A-Za-z0-9+/_=-]|[^\\x00-\\x7F]){{{SHORTEST},}}"
+    n = len(ALPHABET)
+
+    def spans(pattern: str, kind: int, keep: str, group: int = 0) -> str:
+        return f"""
+  select r, start, {kind} as kind, start + length(m) as stop, v from (
+    select r, unnest(m) as m, unnest(v) as v, unnest(list_transform(range(1, len(m) + 1),
+      lambda k: list_sum(list_transform(g[1:k], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0)::bigint)) as start
+    from (select r, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {group}) as v, regexp_split_to_array(text, '{pattern}') as g from docs
+      where regexp_matches(text, '{pattern}'))) where {keep}"""
+
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+drawn as (select distinct doc_id from labels where quality = 1 and toxic = 0 and doc_id is not null order by md5(doc_id::varchar), doc_id limit {SAMPLE_DOCUMENTS}),
+listed as (select regexp_extract_all(text, '[A-Za-z]{{4,}}') as w from documents where text is not null and doc_id in (select doc_id from drawn)),
+words as (select unnest(w) as a, unnest(list_transform(range(1, len(w) + 1), lambda i: coalesce(w[i + 1], ''))) as b, unnest(range(0, len(w))) % 100 as k from listed),
+names as (
+  select 0 as kind, unnest([a, lower(a) || '_' || lower(b) || '_' || k, upper(a[1]) || lower(a[2:]) || upper(b[1]) || lower(b[2:]), lower(a) || '-' || k]) as s from words
+  union all select 1, to_base64(unhex(sha256('terrace' || i))) from range({SAMPLE_STRINGS}) as t(i)),
+pairs as (select kind, unnest(list_transform(range(1, length(s)), lambda i: s[i:i + 1])) as p from names),
+counts as (select kind, p[1] as a, p[2] as b, count(*) as c from pairs group by all),
+rows as (select kind, a, sum(c) as c from counts group by all),
+symbols as (select unnest(range(1, {n + 1})) as i),
+grid as (select x.i as i, y.i as j, '{ALPHABET}'[x.i] as a, '{ALPHABET}'[y.i] as b from symbols x, symbols y),
+logs as (
+  select i, j, k.kind, ln((1 - {SMOOTHING}) * (case when rows.c is null then 1 / {n}.0::double else coalesce(counts.c, 0) / rows.c end) + {SMOOTHING} / {n}.0::double) as l
+  from grid cross join (select unnest([0, 1]) as kind) as k left join counts on counts.kind = k.kind and counts.a = grid.a and counts.b = grid.b
+    left join rows on rows.kind = k.kind and rows.a = grid.a),
+model as (select list(v order by i, j) as tab from (select i, j, round(1000 * sum(case when kind = 1 then l else -l end))::bigint as v from logs group by i, j)),
+base as ({spans(assign, 0, "length(v) >= 8", 2)} union all {spans(ACCESS, 1, "true")} union all {spans(HEX, 2, "true")}),
+runs as ({spans(run, 3, "regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') and not regexp_matches(v, '[^\\x00-\\x7F]')")}),
+scored as (
+  select r, start, kind, stop from runs, model where list_sum(list_transform(range(1, length(v)), lambda k: tab[(instr('{ALPHABET}', v[k]) - 1) * {n} + instr('{ALPHABET}', v[k + 1])])) >= {LEAST_RATIO}
+    and not exists (select 1 from base where base.r = runs.r and base.start < runs.stop and base.stop > runs.start)),
+every as (select r, start, kind, stop from base union all select * from scored),
+joined as (
+  select r, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex, count(*) filter (where kind = 3) as n_markov,
+    string_agg([{", ".join(f"'{k}'" for k in KINDS)}][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) as spans,
+    string_agg([{", ".join(f"'{k}'" for k in KINDS)}][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) filter (where kind < 3) as base_spans
+  from every group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_markov, 0)::bigint as n_markov
+from docs left join joined using (r)"""
