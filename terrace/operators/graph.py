@@ -30,20 +30,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     ``most_rounds`` don't suffice.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
+    both = cut(both)
+    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
     for _ in range(most_rounds):
         seen = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         lower = labels.join(seen, "u").select("u", F.least("label", "near").alias("label"))
         jump = lower.select(F.col("u").alias("label"), F.col("label").alias("far"))
-        new = _cut(lower.join(jump, "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label")))
+        new = cut(lower.join(jump, "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label")))
         if new.join(labels.select("u", F.col("label").alias("old")), "u").where("label <> old").isEmpty():
             return new.select(F.col("u").alias("id"), F.col("label").alias("component"))
         labels = new
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Lineage cut in the session's checkpoint folder; the folder is set to a temporary one only where there is none."""
     import tempfile
 
@@ -89,13 +89,13 @@ def live(edges: Iterable[tuple[int, int]], required: Iterable[int]) -> set[int]:
 
 def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 64) -> DataFrame:
     """``(id)``: what rows ``(id)`` of ``start`` reach over edges ``(pass, needs)``, themselves included."""
-    seen = _cut(start.select("id").distinct())
+    seen = cut(start.select("id").distinct())
     front = seen
     for _ in range(most_rounds):
-        front = _cut(edges.join(front, edges["pass"] == front["id"]).select(F.col("needs").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = cut(edges.join(front, edges["pass"] == front["id"]).select(F.col("needs").alias("id")).distinct().join(seen, "id", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(front))
+        seen = cut(seen.unionByName(front))
     raise RuntimeError(f"edges reach farther than {most_rounds} steps")
 
 
@@ -142,7 +142,7 @@ def paths(nodes: DataFrame, most_depth: int = 32) -> DataFrame:
         level = nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("_p")), "parent").select(
             "id", F.lit(depth).alias("depth"), F.concat_ws("/", "_p", "name").alias("path")
         )
-        level = _cut(level)
+        level = cut(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)

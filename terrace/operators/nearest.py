@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.operators.graph import cut
+
 #: Most rows of the side that is held by every task, and most pairs that a comparison of all may make.
 MOST_HELD, MOST_PAIRS = 100_000, 100_000_000
 
@@ -56,7 +58,7 @@ def grid_neighbours(left: DataFrame, right: DataFrame, left_id: str, right_id: s
         d = sum(((F.col(f"_x{i}") - F.col(f"_y{i}")) * (F.col(f"_x{i}") - F.col(f"_y{i}")) for i in k), F.lit(0.0))
         near = spread.join(cells, [f"_c{i}" for i in k]).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "neighbour")).alias("_b"))
         sure = near.where(F.sqrt("_b.d") <= size).select(left_id, F.col("_b.neighbour").alias("neighbour"), F.sqrt("_b.d").alias("distance"))
-        sure = sure.checkpoint() if sure.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else sure.cache()
+        sure = cut(sure)
         found = sure if found is None else found.unionByName(sure)
         todo = todo.join(sure.select(left_id), left_id, "left_anti")
         if todo.isEmpty() or there.isEmpty():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import quantile
 from terrace.functions.numeric import finite
-from terrace.operators.tiles import corner_cells
+from terrace.operators.tiles import corner_cells, owners
 
 
 def downsampled(df: DataFrame, axes: list[str], size: float, values: list[str]) -> DataFrame:
@@ -157,3 +157,40 @@ def welded(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
     vertices = at.select("id", *xyz).groupBy("id").agg(*(F.first(a).alias(a) for a in "xyz"))
     faces = triangles.select(*(F.col("ids")[k].alias(n) for k, n in enumerate("abc"))).where("a <> b and b <> c and a <> c")
     return vertices, faces
+
+
+def remeshed(field: DataFrame, patches: DataFrame, dirty: DataFrame, block: int, origin: tuple[float, float, float], size: float) -> DataFrame:
+    """``patches`` (triangles with their block ``bx, by, bz``) after the blocks ``dirty`` of ``field`` have changed.
+
+    A cell belongs to the block of its lowest corner and looks one point beyond
+    it, so the owners of a change are its block and the seven before; their
+    patches are made anew from these blocks and a halo of one point, all others
+    stay as they are.
+    """
+    keys = ["bx", "by", "bz"]
+    touched = owners(dirty).select(*keys)
+    spread = touched
+    for key, axis in zip(keys, "xyz", strict=True):
+        steps = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("_d")
+        spread = spread.select("*", steps).withColumn(key, F.col(key) + F.col("_d")).drop("_d")
+    needed = spread.distinct()
+    placed = field.select("*", *(F.floor(F.col(a) / block).alias(k) for a, k in zip("xyz", keys, strict=True)))
+    near = placed.join(needed, keys, "left_semi").drop(*keys)
+    cell = F.split("cell", ",")
+    made = surface(near, origin, size).select(*(F.floor(cell[i].cast("long") / block).alias(k) for i, k in enumerate(keys)), "cell", "k", "ids", "points")
+    return patches.join(touched, keys, "left_anti").unionByName(made.join(touched, keys, "left_semi"))
+
+
+def vertex_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """``(id, nx, ny, nz)``: unit normals, triangles ``(a, b, c)`` weighing by their area; vertices without area are left out."""
+    t = triangles.select("a", "b", "c")
+    for corner in "abc":
+        at = vertices.select(F.col("id").alias(corner), F.struct("x", "y", "z").alias(f"_{corner}"))
+        t = t.join(at, corner)
+    u = [F.col(f"_b.{i}") - F.col(f"_a.{i}") for i in "xyz"]
+    v = [F.col(f"_c.{i}") - F.col(f"_a.{i}") for i in "xyz"]
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    each = t.select(F.explode(F.array("a", "b", "c")).alias("id"), *(x.alias(f"n{i}") for i, x in zip("xyz", n, strict=True)))
+    sums = each.groupBy("id").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in "xyz"))
+    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    return sums.withColumn("_l", length).where("_l > 1e-20").select("id", *((F.col(f"n{i}") / F.col("_l")).alias(f"n{i}") for i in "xyz"))

@@ -14,7 +14,7 @@ from terrace.functions import geometry, quantile
 from terrace.operators import align, fold, graph, images, nearest, scan, tables, temporal, tiles, voxels
 from terrace.plans import gates, registry
 from terrace.plans.ledger import Ledger, job_fingerprint, last_json_line
-from terrace.sources import chunks, manifest, ply, sfm
+from terrace.sources import chunks, codecs, manifest, ply, sfm
 from terrace.streaming import admission, fusion
 
 DATA = "/root/testdata/sf0.001"
@@ -325,3 +325,37 @@ def test_ledger(tmp_path):
     with pytest.raises(RuntimeError):
         ledger.run("two", lambda: None, [str(tmp_path / "none")])
     assert last_json_line('x\n{"a": 1}\nnot') == {"a": 1}
+
+
+def test_codecs(spark):
+    rows = np.zeros(3, codecs.SPLAT)
+    rows["rot"][:, 0], rows["pos"], rows["rest"] = 1, np.arange(9).reshape(3, 3), 2
+    raw = codecs.encode_splats(rows, 1)
+    back = codecs.decode_splats(raw)
+    assert len(raw) == 32 + 3 * 256 and (back["pos"] == rows["pos"]).all() and back["rest"][:, 9:].sum() == 0
+    got = codecs.splat_rows(spark.createDataFrame([(raw,)], "content binary")).orderBy("idx").collect()
+    assert got[2].pos == [6.0, 7.0, 8.0] and len(got[0].rest) == 9
+    for bad in (raw[:-1], b"x" + raw[1:], raw[:20]):
+        with pytest.raises(ValueError):
+            codecs.decode_splats(bad)
+    v = np.zeros(3, codecs.VERTEX)
+    a, b = codecs.decode_mesh(codecs.encode_mesh(v, np.array([[0, 1, 2]])))
+    assert len(a) == 3 and b.tolist() == [[0, 1, 2]]
+    with pytest.raises(ValueError):
+        codecs.encode_mesh(v, np.array([[0, 1, 3]]))
+    assert codecs.decode_confidence(codecs.encode_confidence(np.array([0, 0.5]))).tolist() == [0, 0.5]
+
+
+def test_remeshing_equals_a_full_surface(spark):
+    before, h = sphere(spark, 12, 0.5)
+    moved = before.withColumn("distance", F.when((F.col("x") < 6) & (F.col("y") < 6), F.col("distance") - 0.15).otherwise(F.col("distance")))
+    key = [F.floor(F.split("cell", ",")[i].cast("long") / 6).alias(k) for i, k in enumerate(("bx", "by", "bz"))]
+    full = lambda f: voxels.surface(f, (-1.0, -1.0, -1.0), h).select(*key, "cell", "k", "ids", "points")
+    dirty = spark.createDataFrame([(0, 0, z) for z in range(3)], "bx long, by long, bz long")
+    got = voxels.remeshed(moved, full(before), dirty, 6, (-1.0, -1.0, -1.0), h)
+    want = full(moved)
+    assert sorted((r.cell, r.k, r.ids) for r in got.collect()) == sorted((r.cell, r.k, r.ids) for r in want.collect())
+    vertices, faces = voxels.welded(full(before))
+    for r in voxels.vertex_normals(vertices, faces).join(vertices, "id").limit(40).collect():
+        n, p = np.array([r.nx, r.ny, r.nz]), np.array([r.x, r.y, r.z])
+        assert n @ p / np.linalg.norm(p) > 0.8
