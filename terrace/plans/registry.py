@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.functions import quantile
+from terrace.functions import quantile, splats
 from terrace.functions.numeric import id_colour, nearest_cell, pearson_distance, radical_inverse, safe_path
-from terrace.operators import align, fold, graph, images, nearest, ranking, scan, tables, temporal, tiles, voxels
+from terrace.operators import align, bake, fold, graph, images, nearest, ranking, scan, tables, temporal, tiles, voxels
 from terrace.plans import gates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -763,3 +763,61 @@ def pinhole_unproject(read):
     f, c = F.lit(60.0), F.lit(31.5)
     v = unproject(e[0] * 60, e[1] * 60, 1 + F.abs(e[2]), f, f, c, c)
     return read("embeddings").select("vec_id", *(r6(x, n) for x, n in zip(v, "xyz", strict=True)))
+
+
+# --- baking and splats -----------------------------------------------------------------------------
+
+#: Corners of screen triangles made of embeddings, in pixels and depths.
+_CORNERS = {f"{a}{k}": (3 * k + i, 8.0 if a != "z" else 1.0, 16.0 if a != "z" else 2.0) for k in range(3) for i, a in enumerate("xyz")}
+_SCREEN = 32
+
+
+@query(f"""
+with t as (select label as camera, {", ".join(f"embedding[{i + 1}]::double * {m} + {b} as {n}" for n, (i, m, b) in _CORNERS.items())} from embeddings),
+u as (select *, (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0) as area from t where z0 > 1e-8 and z1 > 1e-8 and z2 > 1e-8),
+p as (
+  select *, unnest(generate_series(greatest(0, floor(least(x0, x1, x2))::bigint), least({_SCREEN - 1}, floor(greatest(x0, x1, x2))::bigint))) as px
+  from (select *, unnest(generate_series(greatest(0, floor(least(y0, y1, y2))::bigint), least({_SCREEN - 1}, floor(greatest(y0, y1, y2))::bigint))) as py from u where abs(area) > 1e-12)),
+w as (select *, ((x2 - x1) * (py + 0.5 - y1) - (px + 0.5 - x1) * (y2 - y1)) / area as wa, ((x0 - x2) * (py + 0.5 - y2) - (px + 0.5 - x2) * (y0 - y2)) / area as wb,
+  ((x1 - x0) * (py + 0.5 - y0) - (px + 0.5 - x0) * (y1 - y0)) / area as wc from p)
+select camera, px::integer as px, py::integer as py, round(min(1 / (wa / z0 + wb / z1 + wc / z2)), 6) as depth from w where wa >= 0 and wb >= 0 and wc >= 0 group by all""")
+def depth_rasterise(read):
+    t = read("embeddings").select(F.col("label").alias("camera"), *((F.col("embedding")[i].cast("double") * m + b).alias(n) for n, (i, m, b) in _CORNERS.items()))
+    return bake.depth_map(t, ["camera"], _SCREEN, _SCREEN).select("camera", "px", "py", r6(F.col("depth"), "depth"))
+
+
+@query("""
+with s as (select l_partkey, l_suppkey, max(least(l_discount + 0.2, 1) * greatest(0.05, least(1, least(l_quantity, 51 - l_quantity) / 51 * 8)) / greatest((1 + l_tax) * (1 + l_tax), 1e-4)) as score from lineitem group by 1, 2)
+select l_partkey, l_suppkey, round(score, 6) as score, rank::integer as rank from (select *, row_number() over (partition by l_partkey order by score desc, l_suppkey) as rank from s) where rank <= 4""")
+def best_views(read):
+    x, edge = F.col("l_quantity"), F.lit(51.0)
+    score = bake.view_score(F.least(F.col("l_discount") + 0.2, F.lit(1.0)), x, x, 1 + F.col("l_tax"), edge, edge)
+    s = read("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max(score).alias("score"))
+    return bake.best_views(s, "l_partkey", "l_suppkey", "score").select("l_partkey", "l_suppkey", r6(F.col("score"), "score"), "rank")
+
+
+@query("""
+with m as (select o_orderpriority as camera, list(ln(o_totalprice) order by o_totalprice)[count(*) // 2 + 1] as m from orders group by 1),
+t as (select list(m order by m)[count(*) // 2 + 1] as t from m)
+select camera, round(greatest(0.25, least(4, exp(t - m))), 6) as gain from m, t""")
+def exposure_gains(read):
+    o = read("orders").select(F.col("o_orderpriority").alias("camera"), F.col("o_totalprice").alias("l"))
+    return bake.exposure_gains(o, "camera", "l", 4.0).select("camera", r6(F.col("gain"), "gain"))
+
+
+@query("""
+with n as (select count(*) as n, ceil(sqrt(count(*)))::bigint as c from part), g as (select c, least(4096 // c, 4096 // ((n + c - 1) // c)) as cell from n),
+p as (select p_partkey, row_number() over (order by p_partkey) - 1 as k from part)
+select p_partkey, ((k % c) * cell + 1)::bigint as tile_x, ((k // c) * cell + 1)::bigint as tile_y, (cell - 2)::integer as inner_size from p, g""")
+def atlas_cells(read):
+    p = scan.numbered(read("part"), ["p_partkey"], "k")
+    return bake.atlas_cells(p, "k", read("part").count(), 4096, 1).select("p_partkey", F.col("tile_x").cast("long").alias("tile_x"), F.col("tile_y").cast("long").alias("tile_y"), F.col("inner").alias("inner_size"))
+
+
+@query("""
+with d as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, embedding as e from embeddings),
+u as (select vec_id, e, x / sqrt(x * x + y * y + z * z) as x, y / sqrt(x * x + y * y + z * z) as y, z / sqrt(x * x + y * y + z * z) as z from d)
+select vec_id, round(greatest(0, 0.5 + 0.28209479177387814::double * e[4] + 0.4886025119029199::double * (z * e[6] - y * e[5] - x * e[7])), 6) as colour from u""")
+def splat_colour(read):
+    e = [F.col("embedding")[k].cast("double") for k in range(7)]
+    return read("embeddings").select("vec_id", r6(splats.colour(e[3:7], tuple(e[:3]), 1), "colour"))
