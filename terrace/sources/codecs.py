@@ -1,6 +1,6 @@
-"""Fixed-stride binary records: splats, proxy meshes and confidences, to and from rows.
+"""Fixed-stride binary records: splats, proxy meshes, confidences and camera rigs, to and from rows.
 
-Every block has a header of 32 bytes (8 of magic, major and minor version u16,
+Every block but a rig's, which has 64 bytes and a table of texts, has a header of 32 bytes (8 of magic, major and minor version u16,
 stride u32, rows u64, and two numbers u32 that the kind gives a meaning), then
 records of the stride, little-endian.
 """
@@ -104,3 +104,90 @@ def splat_rows(blocks: DataFrame, column: str = "content") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["idx", "pos", "log_scale", "rot", "opacity_logit", "dc", "rest"])
 
     return blocks.select(column).mapInArrow(run, "idx long, pos array<float>, log_scale array<float>, rot array<float>, opacity_logit float, dc array<float>, rest array<float>")
+
+
+#: A camera of a rig; texts are places in a table behind the records (fixed layout of the format).
+CAMERA = np.dtype(
+    [(f"{t}_{p}", f) for t in ("id", "source", "image") for p, f in (("at", "<u8"), ("bytes", "<u4"))]
+    + [("width", "<u4"), ("height", "<u4"), ("intrinsics", "4<f8"), ("camera_to_world", "16<f8"), ("timestamp_ns", "<u8"), ("confidence", "<f8"), ("reserved", "<u4")]
+)
+RIG_HEAD = struct.Struct("<8sHHIQQ32x")
+RIG_MAGIC = b"TERRCAM\x00"
+#: Stands for a camera without a time.
+NO_TIME = 2**64 - 1
+RIG_TYPE = "id string, source string, image string, width long, height long, intrinsics array<double>, camera_to_world array<double>, timestamp_ns decimal(20,0), confidence double"
+
+
+def _rig_rules(cameras: list[dict]) -> None:
+    """Raises for what a rig must not hold; matrices are row by row and map a camera to the world."""
+    if not cameras or len({c["id"] for c in cameras}) != len(cameras):
+        raise ValueError("a rig needs cameras with ids of their own")
+    for c in cameras:
+        parts = c["image"].split("/")
+        if not c["id"] or not c["source"] or c["image"].startswith("/") or any(p in ("", ".", "..") for p in parts):
+            raise ValueError(f"camera {c['id']!r}: names")
+        fx, fy, cx, cy = c["intrinsics"]
+        if not np.isfinite(c["intrinsics"]).all() or min(c["width"], c["height"], fx, fy) <= 0 or not 0 <= c["confidence"] <= 1:
+            raise ValueError(f"camera {c['id']!r}: size, intrinsics or confidence")
+        m = np.asarray(c["camera_to_world"], float).reshape(4, 4)
+        r = m[:3, :3]
+        if not np.isfinite(m).all() or not np.allclose(m[3], [0, 0, 0, 1], atol=1e-6):
+            raise ValueError(f"camera {c['id']!r}: not affine")
+        if not np.allclose(r @ r.T, np.eye(3), atol=1e-3) or abs(np.linalg.det(r) - 1) > 1e-3:
+            raise ValueError(f"camera {c['id']!r}: not a rotation")
+
+
+def encode_rig(cameras: list[dict]) -> bytes:
+    """A block of cameras with the fields of ``RIG_TYPE``; a time of None is kept as such."""
+    _rig_rules(cameras)
+    rows, texts = np.zeros(len(cameras), CAMERA), bytearray()
+    for row, c in zip(rows, cameras, strict=True):
+        for t in ("id", "source", "image"):
+            raw = c[t].encode()
+            row[f"{t}_at"], row[f"{t}_bytes"] = len(texts), len(raw)
+            texts += raw
+        for name in ("width", "height", "intrinsics", "camera_to_world", "confidence"):
+            row[name] = c[name]
+        row["timestamp_ns"] = NO_TIME if c.get("timestamp_ns") is None else c["timestamp_ns"]
+    return RIG_HEAD.pack(RIG_MAGIC, 1, 0, CAMERA.itemsize, len(rows), len(texts)) + rows.tobytes() + bytes(texts)
+
+
+def decode_rig(raw: bytes) -> list[dict]:
+    if len(raw) < RIG_HEAD.size:
+        raise ValueError("the block is cut off")
+    magic, major, minor, stride, n, texts = RIG_HEAD.unpack_from(raw)
+    start = RIG_HEAD.size + n * CAMERA.itemsize
+    if (magic, major, minor, stride) != (RIG_MAGIC, 1, 0, CAMERA.itemsize) or len(raw) != start + texts:
+        raise ValueError("not a block of cameras")
+    out = []
+    for row in np.frombuffer(raw, CAMERA, n, RIG_HEAD.size):
+        c = {}
+        for t in ("id", "source", "image"):
+            at, end = int(row[f"{t}_at"]), int(row[f"{t}_at"]) + int(row[f"{t}_bytes"])
+            if end > texts:
+                raise ValueError("a text is out of range")
+            c[t] = raw[start + at : start + end].decode()
+        if row["reserved"]:
+            raise ValueError("a reserved field is not zero")
+        c |= {"width": int(row["width"]), "height": int(row["height"]), "confidence": float(row["confidence"])}
+        c |= {name: row[name].tolist() for name in ("intrinsics", "camera_to_world")}
+        time = int(row["timestamp_ns"])
+        out.append(c | {"timestamp_ns": None if time == NO_TIME else time})
+    _rig_rules(out)
+    return out
+
+
+def rig_rows(blocks: DataFrame, column: str = "content") -> DataFrame:
+    """The cameras of binary blocks with the columns of ``RIG_TYPE``, one task a block."""
+    names = [f.split()[0] for f in RIG_TYPE.split(", ")]
+    doubles = pa.list_(pa.float64())
+    types = [pa.string()] * 3 + [pa.int64()] * 2 + [doubles, doubles, pa.decimal128(20, 0), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                cameras = decode_rig(raw)
+                arrays = [pa.array([c[n] for c in cameras], t) for n, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return blocks.select(column).mapInArrow(run, RIG_TYPE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import splats
 from terrace.operators import bake
-from terrace.sources import settings
+from terrace.sources import codecs, settings
 
 CORNERS = ", ".join(f"{a}{k} double" for k in range(3) for a in "xyz")
 
@@ -134,3 +134,20 @@ def test_settings(spark, tmp_path):
     pairs = [("a.jpg", 1), ("b.jpg", 2), ("b.jpg", 3), ("c.jpg", 0), ("/d.jpg", 4)]
     rows = settings.camera_matches(spark, put("m.json", {"schemaVersion": 1, "pairs": [{"colmapImage": i, "captureFrameId": f} for i, f in pairs]})).collect()
     assert [x.code for x in sorted(rows, key=lambda x: x.frame_id)] == ["fields", None, "not-one-to-one", "not-one-to-one", "path"]
+
+
+def test_rig_round_trip_and_rejections(spark):
+    turn = [0, -1, 0, 1, 1, 0, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1]
+    one = {"id": "a", "source": "s", "image": "x/ü.jpg", "width": 4, "height": 3, "intrinsics": [1.0, 1.0, 2.0, 1.5], "camera_to_world": [float(v) for v in turn], "timestamp_ns": None, "confidence": 0.5}
+    cameras = [one, one | {"id": "b", "timestamp_ns": 2**63 + 1}]
+    raw = codecs.encode_rig(cameras)
+    assert codecs.CAMERA.itemsize == 224 and len(raw) == 64 + 448 + 20 and codecs.decode_rig(raw) == cameras
+    got = codecs.rig_rows(spark.createDataFrame([(bytearray(raw),)], "content binary")).collect()
+    assert [x.asDict() | {"timestamp_ns": x.timestamp_ns and int(x.timestamp_ns)} for x in got] == cameras
+    mirrored = [-v if k in (2, 6, 10) else v for k, v in enumerate(one["camera_to_world"])]
+    for bad in ([], [one, one], [one | {"image": "../x"}], [one | {"confidence": 1.1}], [one | {"camera_to_world": mirrored}], [one | {"width": 0}]):
+        with pytest.raises(ValueError):
+            codecs.encode_rig(bad)
+    for bad in (raw[:-1], raw[:40], b"?" + raw[1:], raw[: 64 + 220] + b"\x01" + raw[64 + 221 :]):
+        with pytest.raises(ValueError):
+            codecs.decode_rig(bad)
