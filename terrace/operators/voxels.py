@@ -89,65 +89,114 @@ def ray_cells(pixels: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), size:
     return pixels.select("ray", *(f"{p}{a}" for p in "oe" for a in axes)).mapInPandas(run, schema).distinct()
 
 
-#: Tetrahedra that fill a cell around its long diagonal, by corner number (x lowest bit).
-_TETRAHEDRA = tuple((0, 1 << a, (1 << a) | (1 << b), 7) for a in range(3) for b in range(3) if a != b)
+#: Edges of a cell by the corners they join (x lowest bit), and its faces by their corners, anticlockwise from outside.
+EDGES = tuple((c, c | 1 << a) for a in range(3) for c in range(8) if not c >> a & 1)
+FACES = tuple(
+    tuple(c | high << a for c in ((0, u, u | v, v) if high else (0, v, u | v, u)))
+    for a, u, v in ((a, 1 << (a + 1) % 3, 1 << (a + 2) % 3) for a in range(3))
+    for high in (0, 1)
+)
 
 
-def _cell_triangles(values: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Triangles of the zero surface in a cell, each corner an edge (p, q) between grid points; outside is positive."""
-    out = []
-    for tet in _TETRAHEDRA:
-        inside = [c for c in tet if values[c] < 0]
-        outside = [c for c in tet if values[c] >= 0]
-        if len(inside) == 1:
-            out.append([(inside[0], o) for o in outside])
-        elif len(inside) == 3:
-            out.append([(i, outside[0]) for i in inside])
-        elif len(inside) == 2:
-            (a, b), (c, d) = inside, outside
-            out += [[(a, c), (a, d), (b, c)], [(b, c), (a, d), (b, d)]]
-    return out
+def _crossings(case: int, ring: tuple[int, ...]) -> list[int]:
+    """Sides of a face, by the place of their first corner, of which one end is inside."""
+    return [k for k in range(4) if (case >> ring[k] ^ case >> ring[(k + 1) % 4]) & 1]
 
 
-_OFFSET = np.array([[(k >> a) & 1 for a in range(3)] for k in range(8)], float)
+def cell_loops(case: int, joined: int = 0) -> list[list[int]]:
+    """Loops of edge numbers in which the surface leaves a cell whose corners of ``case`` are inside.
 
+    Going around a face, each side that leads inside is tied to the next one
+    that leads out again. Where a face has two of each, that parts its inside
+    corners; faces of ``joined`` tie it to the one before instead, which parts
+    the outside corners. Every edge lies on two faces that pass it in opposite
+    directions, so each gets one successor, and loops turn towards the outside.
+    """
+    after = {}
+    for f, ring in enumerate(FACES):
+        sides = _crossings(case, ring)
+        edge = [EDGES.index(tuple(sorted((ring[k], ring[(k + 1) % 4])))) for k in sides]
+        for i, k in enumerate(sides):
+            if not case >> ring[k] & 1:
+                after[edge[i]] = edge[i - 1 if joined >> f & 1 else (i + 1) % len(sides)]
+    loops = []
+    while after:
+        loop = [min(after)]
+        while loop[-1] in after:
+            loop.append(after.pop(loop[-1]))
+        loops.append(loop[:-1])
+    return loops
+
+
+def cell_table() -> list[tuple[int, list]]:
+    """``(case + 256 * joined, loops)`` for all cases and all choices on their ambiguous faces.
+
+    An edge comes as its corners, the offset of the lower one, and its direction.
+    """
+    shape = [(p, q, *(p >> a & 1 for a in range(3)), *((p ^ q) >> a & 1 for a in range(3))) for p, q in EDGES]
+    out = []
+    for case in range(1, 255):
+        choices = [0]
+        for f, ring in enumerate(FACES):
+            if len(_crossings(case, ring)) == 4:
+                choices += [c | 1 << f for c in choices]
+        out += [(case + 256 * c, [[shape[e] for e in loop] for loop in cell_loops(case, c)]) for c in choices]
+    return out
 
-def surface(field: DataFrame, origin: tuple[float, float, float], size: float) -> DataFrame:
+
+def surface(field: DataFrame, origin: tuple[float, float, float], size: float, resolved: bool = True) -> DataFrame:
     """Triangles ``(cell, k, ids, points)`` of the zero level of ``(x, y, z, distance)`` at integer grid points.
 
-    Only cells all of whose eight corners are there have a surface. Each cell is
-    cut into six tetrahedra in the same way, so neighbouring cells agree on their
-    common face and the surface has no cracks, whatever the signs. ``ids`` name
-    the vertices by the grid edge they lie on, equal in all cells that share it;
-    ``points`` are their coordinates. Triangles turn towards positive distance.
+    Only cells all of whose eight corners are there, with finite distances, have
+    a surface; of points that come twice the larger distance counts. The signs of
+    a cell's corners, and the sign of the mean on faces where they alternate, look
+    up its loops in a table that a rule makes and whose size is fixed. Cells agree
+    on their common face, so the surface has no cracks.
+
+    ``resolved`` puts a vertex at the mean of each loop and fans from it. Without
+    it, alternating faces part their inside corners whatever the mean, and loops
+    are fanned from their first vertex: the table of 256 cases. ``ids`` name the
+    vertices by the grid edge they lie on, equal in all cells that share it, or by
+    cell and loop; ``points`` are their coordinates. Triangles turn towards
+    positive distance.
     """
-    corners = corner_cells(field.select("x", "y", "z", F.col("distance").cast("double").alias("distance")))
-    cells = corners.groupBy("cx", "cy", "cz").agg(F.array_sort(F.collect_list(F.struct("corner", "distance"))).alias("v"))
-    full = cells.where(F.size("v") == 8).select("cx", "cy", "cz", F.transform("v", lambda c: c["distance"]).alias("v"))
-    crossed = full.where((F.array_min("v") < 0) & (F.array_max("v") >= 0))
-    start = np.array(origin, float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for cx, cy, cz, v in batch.itertuples(index=False):
-                base, v = np.array([cx, cy, cz], float), np.asarray(v)
-                for k, triangle in enumerate(_cell_triangles(v)):
-                    ids, points = [], []
-                    for p, q in triangle:
-                        a, b = base + _OFFSET[p], base + _OFFSET[q]
-                        t = v[p] / (v[p] - v[q])
-                        points.append(start + size * (a + t * (b - a)))
-                        ends = sorted((tuple(a.astype(int)), tuple(b.astype(int))))
-                        ids.append(",".join(str(c) for end in ends for c in end))
-                    n = np.cross(points[1] - points[0], points[2] - points[0])
-                    towards = sum(_OFFSET[q] - _OFFSET[p] for p, q in triangle)
-                    if n @ towards < 0:
-                        ids[1], ids[2], points[1], points[2] = ids[2], ids[1], points[2], points[1]
-                    out.append((f"{cx},{cy},{cz}", k, ids, [float(c) for p in points for c in p]))
-            yield pd.DataFrame(out, columns=["cell", "k", "ids", "points"])
-
-    return crossed.mapInPandas(run, "cell string, k int, ids array<string>, points array<double>")
+    distance = F.col("distance").cast("double")
+    corners = corner_cells(field.select("x", "y", "z", distance.alias("distance")).where(finite(F.col("distance"))))
+    v = [F.col(f"v{k}") for k in range(8)]
+    cells = corners.groupBy("cx", "cy", "cz").agg(*(F.max(F.when(F.col("corner") == k, F.col("distance"))).alias(f"v{k}") for k in range(8)))
+    whole = cells.dropna(subset=[f"v{k}" for k in range(8)])
+    key = sum((F.when(v[k] < 0, 1 << k).otherwise(0) for k in range(8)), F.lit(0))
+    if resolved:
+        for f, (a, b, c, d) in enumerate(FACES):
+            in_a, in_b = v[a] < 0, v[b] < 0
+            alternating = (in_a == (v[c] < 0)) & (in_b == (v[d] < 0)) & (in_a != in_b)
+            key = key + F.when(alternating & (v[a] + v[b] + v[c] + v[d] < 0), 256 << f).otherwise(0)
+    crossed = whole.where((F.least(*v) < 0) & (F.greatest(*v) >= 0)).select("cx", "cy", "cz", F.array(*v).alias("v"), key.alias("key"))
+    edge = "struct<p:int,q:int,x:int,y:int,z:int,dx:int,dy:int,dz:int>"
+    table = F.broadcast(field.sparkSession.createDataFrame(cell_table(), f"key int, loops array<array<{edge}>>"))
+    loops = crossed.join(table, "key").select("cx", "cy", "cz", "v", F.posexplode("loops").alias("loop", "edges"))
+
+    def vertex(e: Column) -> Column:
+        inside, outside = F.get("v", e["p"]), F.get("v", e["q"])
+        t = inside / (inside - outside)
+        low = [F.col(f"c{a}") + e[a] for a in "xyz"]
+        ends = [*low, *(at + e[f"d{a}"] for at, a in zip(low, "xyz", strict=True))]
+        place = [F.lit(float(o)) + size * (at + t * e[f"d{a}"]) for o, at, a in zip(origin, low, "xyz", strict=True)]
+        return F.struct(F.concat_ws(",", *(x.cast("string") for x in ends)).alias("id"), F.array(*place).alias("at"))
+
+    cell = F.concat_ws(",", *(F.col(f"c{a}").cast("string") for a in "xyz"))
+    rings = loops.select(cell.alias("cell"), "loop", F.transform("edges", vertex).alias("ring"))
+    n = F.size("ring")
+    fans = rings.select("*", F.explode(F.sequence(F.lit(0), n - 1) if resolved else F.sequence(F.lit(1), n - 2)).alias("i"))
+
+    def mean(a: int) -> Column:
+        return F.aggregate("ring", F.lit(0.0), lambda total, r: total + r["at"][a]) / n
+
+    centre = F.struct(F.concat_ws(":", "cell", F.col("loop").cast("string")).alias("id"), F.array(*(mean(a) for a in range(3))).alias("at"))
+    corners = [centre if resolved else F.get("ring", F.lit(0)), F.get("ring", F.col("i")), F.get("ring", (F.col("i") + 1) % n)]
+    return fans.select(
+        "cell", (F.col("loop") * len(EDGES) + F.col("i")).alias("k"), F.array(*(c["id"] for c in corners)).alias("ids"), F.concat(*(c["at"] for c in corners)).alias("points")
+    )
 
 
 def welded(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
