@@ -177,8 +177,8 @@ def surface(field: DataFrame, origin: tuple[float, float, float], size: float, r
     loops = crossed.join(table, "key").select("cx", "cy", "cz", "v", F.posexplode("loops").alias("loop", "edges"))
 
     def vertex(e: Column) -> Column:
-        inside, outside = F.get("v", e["p"]), F.get("v", e["q"])
-        t = inside / (inside - outside)
+        near, far = F.get("v", e["p"]), F.get("v", e["q"])
+        t = near / (near - far)
         low = [F.col(f"c{a}") + e[a] for a in "xyz"]
         ends = [*low, *(at + e[f"d{a}"] for at, a in zip(low, "xyz", strict=True))]
         place = [F.lit(float(o)) + size * (at + t * e[f"d{a}"]) for o, at, a in zip(origin, low, "xyz", strict=True)]

@@ -118,7 +118,7 @@ NO_TIME = 2**64 - 1
 RIG_TYPE = "id string, source string, image string, width long, height long, intrinsics array<double>, camera_to_world array<double>, timestamp_ns decimal(20,0), confidence double"
 
 
-def _rig_rules(cameras: list[dict]) -> None:
+def check_rig(cameras: list[dict]) -> None:
     """Raises for what a rig must not hold; matrices are row by row and map a camera to the world."""
     if not cameras or len({c["id"] for c in cameras}) != len(cameras):
         raise ValueError("a rig needs cameras with ids of their own")
@@ -139,7 +139,7 @@ def _rig_rules(cameras: list[dict]) -> None:
 
 def encode_rig(cameras: list[dict]) -> bytes:
     """A block of cameras with the fields of ``RIG_TYPE``; a time of None is kept as such."""
-    _rig_rules(cameras)
+    check_rig(cameras)
     rows, texts = np.zeros(len(cameras), CAMERA), bytearray()
     for row, c in zip(rows, cameras, strict=True):
         for t in ("id", "source", "image"):
@@ -173,7 +173,7 @@ def decode_rig(raw: bytes) -> list[dict]:
         c |= {name: row[name].tolist() for name in ("intrinsics", "camera_to_world")}
         time = int(row["timestamp_ns"])
         out.append(c | {"timestamp_ns": None if time == NO_TIME else time})
-    _rig_rules(out)
+    check_rig(out)
     return out
 
 
