@@ -821,3 +821,37 @@ select vec_id, round(greatest(0, 0.5 + 0.28209479177387814::double * e[4] + 0.48
 def splat_colour(read):
     e = [F.col("embedding")[k].cast("double") for k in range(7)]
     return read("embeddings").select("vec_id", r6(splats.colour(e[3:7], tuple(e[:3]), 1), "colour"))
+
+
+#: Images on top of each other as a field of distances.
+_FIELD = "(select x::bigint as x, y::bigint as y, image::bigint as z, value::double as d from " + _PIXELS + ")"
+_AXES = "(values (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)) as a(axis, dx, dy, dz)"
+
+
+def _field(read):
+    return _pixels(read).select("x", "y", F.col("image").alias("z"), F.col("value").alias("distance"))
+
+
+@query(f"""
+with g as (select * from {_FIELD}),
+c as (select p.x as cx, p.y as cy, p.z as cz, q.x - p.x as i, q.y - p.y as j, q.z - p.z as k, q.d from g p join g q on q.x in (p.x, p.x + 1) and q.y in (p.y, p.y + 1) and q.z in (p.z, p.z + 1)),
+w as (select cx, cy, cz from c group by all having count(*) = 8),
+e as (
+  select c.cx + c.i as x, c.cy + c.j as y, c.cz + c.k as z, dx, dy, dz, c.d as near, n.d as far
+  from c join w using (cx, cy, cz) cross join {_AXES} join c n on n.cx = c.cx and n.cy = c.cy and n.cz = c.cz and n.i = c.i + dx and n.j = c.j + dy and n.k = c.k + dz)
+select distinct concat_ws(',', x, y, z, x + dx, y + dy, z + dz) as id, round(x + near / (near - far) * dx, 6) as x, round(y + near / (near - far) * dy, 6) as y,
+  round(z + near / (near - far) * dz, 6) as z from e where (near < 0) <> (far < 0)""")
+def isosurface_vertices(read):
+    vertices, _ = voxels.welded(voxels.surface(_field(read), (0.0, 0.0, 0.0), 1.0, resolved=False))
+    return vertices.select("id", *(r6(F.col(a), a) for a in "xyz"))
+
+
+@query(f"""
+with g as (select * from {_FIELD}),
+c as (select p.x as cx, p.y as cy, p.z as cz, q.x - p.x as i, q.y - p.y as j, q.z - p.z as k, q.d from g p join g q on q.x in (p.x, p.x + 1) and q.y in (p.y, p.y + 1) and q.z in (p.z, p.z + 1)),
+w as (select cx, cy, cz from c group by all having count(*) = 8)
+select concat_ws(',', cx, cy, cz) as cell, count(*) as triangles
+from c join w using (cx, cy, cz) cross join {_AXES} join c n using (cx, cy, cz) where n.i = c.i + dx and n.j = c.j + dy and n.k = c.k + dz and (c.d < 0) <> (n.d < 0) group by cx, cy, cz""")
+def isosurface_triangles(read):
+    """A loop of n crossed edges is fanned into n triangles around its mean, so a cell has as many as crossed edges."""
+    return voxels.surface(_field(read), (0.0, 0.0, 0.0), 1.0).groupBy("cell").agg(F.count("*").alias("triangles"))
