@@ -1,7 +1,9 @@
 """From raw documents to shards: quality, near-duplicates, benchmark passages, mixture, shards.
 
 Each stage takes the documents that the one before left, written as Parquet, and
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``. Rows are judged one by one:
+a stage gives each row of its input a key, so that rows that share an id, or have
+none, each get a verdict of their own.
 """
 
 from __future__ import annotations
@@ -20,31 +22,46 @@ SHARDS = 24
 SHINGLE, SIMILARITY = 5, 80
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """The documents whose id ``verdicts`` lists, by a semi join on ids."""
-    ids = written(verdicts.where(keep).select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``_row``, which is fixed by writing it down with the texts."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "zstd")
+
+
+def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose ``_row`` is in ``rows``, by a semi join."""
+    return keyed.join(small(written(rows.select("_row"))), "_row", "left_semi").drop("_row")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _only(docs, quality.judged(docs), "kept")
+    keyed = _keyed(docs)
+    return _only(keyed, quality.judged(keyed, "_row").where("kept").select(F.col("doc_id").alias("_row")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates; texts of a repeated id all stay."""
-    return _only(docs, minhash.near_duplicates(docs, SHINGLE, SIMILARITY), "kept")
+    """One row of each group of near-duplicates: that of the smallest id, a null id only where there is no other.
+
+    Rows are linked by their own texts, whatever their ids. Of rows that share the
+    smallest id, one stays, by a hash of text, language and source.
+    """
+    keyed = _keyed(docs)
+    groups = minhash.near_duplicates(keyed, SHINGLE, SIMILARITY, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    names = keyed.select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text", "lang", "source").alias("_hash"))
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", "_row")
+    return _only(keyed, names.join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("_first")).select("_first._row"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
-    found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found, "not contaminated")
+    keyed = _keyed(docs)
+    found = contamination.contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _only(keyed, found.where("not contaminated").select(F.col("doc_id").alias("_row")))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target weights, each at most once and whole."""
-    return _only(docs, mixing.production(docs, max_epochs=1), "true")
+    keyed = _keyed(docs)
+    return _only(keyed, mixing.production(keyed, max_epochs=1, row_col="_row"))
 
 
 def balanced_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,15 +49,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder.
 
     Cuts the lineage: an executor that is lost takes nothing with it, and no
-    later step runs the plan behind ``df`` again. Removed when Python ends.
+    later step runs the plan behind ``df`` again. Removed when Python ends. The
+    session's codec compresses it if none is named.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -92,6 +92,7 @@ def mixed(
     seed: int = 0,
     tokens: Column | None = None,
     id_col: str = "doc_id",
+    row_col: str | None = None,
 ) -> DataFrame:
     """Documents to train on, so that domains, languages and sources get their weights in tokens.
 
@@ -112,8 +113,11 @@ def mixed(
     Documents without tokens go with whole epochs, and with a part of one if
     they come before its end. Repeated rows count each. A weight of 0 takes
     nothing; a budget above what epochs allow is lowered to that. An empty table
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored, but for ``row_col``: if
+    named, that unique key of the input's rows comes last in the order and in the
+    columns, which tells drawn rows of one id or none apart.
     """
+    row = [row_col] if row_col else []
     tokens = n_words(F.col("text")) if tokens is None else tokens
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("?"))
     rows = written(
@@ -124,6 +128,7 @@ def mixed(
             F.coalesce(F.col("source"), F.lit("?")).alias("source"),
             tokens.cast("long").alias("n_tokens"),
             name.alias("_name"),
+            *row,
         )
     )
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
@@ -148,7 +153,7 @@ def mixed(
     which = F.explode(F.expr("filter(sequence(0, _whole), e -> e < _whole or _rest > 0)")).alias("epoch")
     epochs = rows.join(plan, list(LEVELS)).select("*", which)
     keyed = epochs.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("_name"))))
-    keep = ["doc_id", *LEVELS, "epoch", "order_key", "n_tokens"]
+    keep = ["doc_id", *LEVELS, "epoch", "order_key", "n_tokens", *row]
     whole = keyed.where("epoch < _whole").select(*keep, F.col("n_tokens").alias("take_tokens"))
     partial = keyed.where("epoch = _whole").withColumn("_range", F.substring("order_key", 1, RANGE_DIGITS))
     ranges = partial.groupBy(*LEVELS, "_range").agg(F.sum("n_tokens").alias("_in"), F.max("_rest").alias("_rest"))
@@ -160,14 +165,15 @@ def mixed(
     )
     started = partial.join(small(written(cut)), [*LEVELS, "_range"])
     all_of = started.where("not _ends").select(*keep, F.col("n_tokens").alias("take_tokens"))
-    line = Window.partitionBy(*LEVELS, "_range").orderBy("order_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*LEVELS, "_range").orderBy("order_key", "doc_id", "n_tokens", *row).rowsBetween(Window.unboundedPreceding, 0)
     part_of = (
         started.where("_ends")
         .withColumn("_start", F.col("_before") + F.sum("n_tokens").over(line) - F.col("n_tokens"))
         .where("_start < _rest")
         .select(*keep, F.least(F.col("n_tokens"), F.col("_rest") - F.col("_start")).alias("take_tokens"))
     )
-    return whole.unionByName(all_of).unionByName(part_of)
+    out = whole.unionByName(all_of).unionByName(part_of)
+    return out.select(*(c for c in out.columns if c not in row), *row)
 
 
 #: The query's tree: weights among siblings, and the weight of names not listed.
@@ -189,9 +195,9 @@ def domain_of(source: Column) -> Column:
     return out
 
 
-def production(docs: DataFrame, max_epochs: int = EPOCHS, share: float = SHARE) -> DataFrame:
+def production(docs: DataFrame, max_epochs: int = EPOCHS, share: float = SHARE, row_col: str | None = None) -> DataFrame:
     """``mixed`` with the parameters of the registered query."""
-    return mixed(docs, domain_of(F.col("source")), WEIGHTS, budget_share=share, max_epochs=max_epochs, seed=SEED)
+    return mixed(docs, domain_of(F.col("source")), WEIGHTS, budget_share=share, max_epochs=max_epochs, seed=SEED, row_col=row_col)
 
 
 def oracle() -> str:

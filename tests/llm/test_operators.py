@@ -440,3 +440,30 @@ def test_pipeline(spark, tmp_path):
     assert ids[2] == ids[1] - {72}
     assert ids[3] <= ids[2] and ids[3] and ids[4] == ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[4])
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Rows that share an id, or have none, have a fate of their own in each stage."""
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    text = lambda n=80: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, pairs):
+        df = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in pairs], DOCS)
+        out = stage(spark, df.repartition(3), str(tmp_path))
+        assert out.columns == df.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    a, b, c, d = (text() for _ in range(4))
+    short, leak = "too short", c + " " + passage
+    assert left(p.good_quality, [(None, a), (None, short), (None, None), (1, b), (1, short)]) == sorted([(None, a), (1, b)], key=repr)
+    assert left(p.no_benchmark, [(None, a), (None, leak), (1, b), (1, leak), (2, leak)]) == sorted([(None, a), (1, b)], key=repr)
+    near = a + " tail"
+    pairs = [(5, a), (5, a), (3, near), (None, a), (None, near), (None, b), (None, b), (7, c), (7, d), (7, d), (None, c)]
+    assert left(p.one_of_each, pairs) == sorted([(3, near), (None, b), (7, c), (7, d)], key=repr)
+    for name in (None, 4):
+        drawn = left(p.target_mix, [(name, text(100)) for _ in range(50)])
+        assert len(drawn) == len(set(drawn)) == 30
