@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from terrace.operators.graph import cut
 
-#: Most rows of the side that is held by every task, and most pairs that a comparison of all may make.
-MOST_HELD, MOST_PAIRS = 100_000, 100_000_000
+#: Most rows of the right side that are held by every task at a time.
+MOST_HELD = 100_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -19,21 +19,33 @@ def neighbours(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p
     """``(left_id, neighbour, distance)``: for every left row the nearest right row, the smallest id on ties.
 
     For points of many dimensions: each left row is held against every right row.
-    Right rows are dealt out in ``blocks``, each block yields one best row per
-    left row, and these are reduced; pairs are never kept. Counts of both sides
-    are checked against ``MOST_HELD`` and ``MOST_PAIRS`` first.
+    More than ``MOST_HELD`` right rows are dealt out in ``blocks``, or in more so
+    that none comes near that number. One block at a time is broadcast and yields
+    one best row per left row, and these are reduced; pairs are never kept. The
+    work is that of all pairs, however many they are.
     """
-    n, m = left.count(), right.count()
-    if m > MOST_HELD or n * m > MOST_PAIRS:
-        raise ValueError(f"{n} x {m} points are too many to compare all; use grid_neighbours or a stated query set")
     x = left.select(F.col(left_id), F.col(point).alias("_p"))
     y = right.select(F.col(right_id).alias("neighbour"), F.col(point).alias("_q"))
-    pairs = x.join(F.broadcast(y))
-    d = squared_distance(F.col("_p"), F.col("_q"))
-    best = pairs.groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "neighbour")).alias("_b"))
+    m = y.count()
+    if m > MOST_HELD:
+        blocks = max(blocks, -(-2 * m // MOST_HELD))
+        # dealt out in turn, so that blocks are of like size whatever the ids; the cut fixes who is where
+        y = cut(y.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
+        best = None
+        for k in range(blocks):
+            near = _best(x, y.where(F.col("_block") == k).drop("_block"), left_id)
+            best = cut(near if best is None else best.unionByName(near).groupBy(left_id).agg(F.min("_b").alias("_b")))
+    else:
+        best = _best(x, y, left_id)
     return best.select(left_id, F.col("_b.neighbour").alias("neighbour"), F.sqrt("_b.d").alias("distance"))
 
 
+def _best(x: DataFrame, y: DataFrame, left_id: str) -> DataFrame:
+    """``(left_id, _b)``: the least ``(d, neighbour)`` of each row of ``x`` over all of ``y``, which is broadcast."""
+    d = squared_distance(F.col("_p"), F.col("_q"))
+    return x.join(F.broadcast(y)).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "neighbour")).alias("_b"))
+
+
 def grid_neighbours(left: DataFrame, right: DataFrame, left_id: str, right_id: str, axes: list[str], cell: float, most_rings: int = 64) -> DataFrame:
     """The same for two or three coordinates and sides of any size, by cells of a grid and growing rings.
 

@@ -414,3 +414,18 @@ def test_remeshing_equals_a_full_surface(spark):
     for r in voxels.vertex_normals(vertices, faces).join(vertices, "id").limit(40).collect():
         n, p = np.array([r.nx, r.ny, r.nz]), np.array([r.x, r.y, r.z])
         assert n @ p / np.linalg.norm(p) > 0.8
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Sides beyond what a task may hold, in 64 dimensions, with ties and a repeated id, against brute force."""
+    monkeypatch.setattr(nearest, "MOST_HELD", 9)
+    monkeypatch.setattr(nearest, "MOST_PAIRS", 100, raising=False)
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(23, 64)), rng.normal(size=(40, 64))
+    b[17] = b[3]
+    frame = lambda p, first: spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(p)], "i long, p array<double>")
+    right = frame(b, 500).unionByName(frame(b[:1], 500))
+    got = {r.i: (r.neighbour, r.distance) for r in nearest.neighbours(frame(a, 0), right, "i", "i", "p", blocks=2).collect()}
+    d = np.linalg.norm(a[:, None] - b[None], axis=2)
+    assert {i: n for i, (n, _) in got.items()} == {i: 500 + k for i, k in enumerate(d.argmin(axis=1).tolist())}
+    assert all(got[i][1] == pytest.approx(d[i].min()) for i in got)
