@@ -36,16 +36,24 @@ ENDS_ITS_LIKE = {
 }
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINERS = frozenset(("article", "main"))
-#: Names in a class or id that mark what surrounds an article.
+#: Names in a class or id that mark what surrounds an article, as a token's last word but for words of holders; a token
+#: with one of the qualifiers (``has-sidebar``) speaks of something else than its element.
 SURROUNDING = frozenset(
     "nav navbar navigation menu sidebar footer masthead ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice alert newsletter subscribe subscription signup popup modal overlay share sharing social related "
     "recommended recommendations breadcrumb breadcrumbs pagination pager comment comments reply replies respond disqus widget login search "
     "toolbar".split()
 )
+HOLDERS = frozenset(
+    "area bar block bottom box button buttons container group inner item items left link links list panel posts right section slot top unit "
+    "wrap wrapper".split()
+)
+QUALIFIERS = frozenset("has have hide no non not with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Share of an element's characters in links above which its path holds links, not prose.
 MOST_LINKED = 0.8
+#: Share of a page's characters above which an element's name alone doesn't drop it.
+NAMED_SHARE = 0.5
 #: Share of the content's characters that the main element must hold.
 MAIN_SHARE = 0.75
 
@@ -53,7 +61,7 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)>?",
     re.S,
 )
-_NAMES = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _PARTS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
@@ -70,33 +78,67 @@ class Block:
     text: str = ""
 
 
-def _surrounds(tag: str, attributes: str) -> bool:
-    """Whether an element by its kind, class, id, role or style is not part of an article."""
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by name; the first one of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        value = m[2] or m[3] or m[4] or ""
+        out.setdefault(m[1].lower(), (unescape(value) if "&" in value else value).lower())
+    return out
+
+
+def _named(token: str) -> bool:
+    """Whether a token of a class or id says that its element surrounds an article."""
+    words = _PARTS.findall(token)
+    if not QUALIFIERS.isdisjoint(words):
+        return False
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return bool(words) and words[-1] in SURROUNDING
+
+
+def _surrounds(tag: str, attributes: str) -> int:
+    """Whether an element is not part of an article: 2 by its kind, role or style, 1 by its class or id alone, else 0."""
     if tag in SKIPPED:
-        return True
+        return 2
     if not attributes or tag in ("html", "body"):
-        return False
-    for m in _NAMES.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            if not SURROUNDING.isdisjoint(_PARTS.findall(value)):
-                return True
-        elif name == "role":
-            if value in ROLES:
-                return True
-        elif name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif name == "aria-hidden":
-            if value == "true":
-                return True
-        elif m[0].lower() == "hidden":
-            return True
-    return False
+        return 0
+    by = _attributes(attributes)
+    if (
+        by.get("role", "").strip() in ROLES
+        or "display:none" in by.get("style", "").replace(" ", "")
+        or by.get("aria-hidden") == "true"
+        or by.get("hidden", "until-found") != "until-found"
+    ):
+        return 2
+    return int(any(_named(t) for k in ("class", "id") for t in by.get(k, "").split()))
 
 
 def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
-    """Blocks of text outside skipped elements in page order, and the tag of each element they name."""
+    """Blocks of text outside skipped elements in page order, and the tag of each element they name.
+
+    An element that is skipped for its class or id alone stays if it holds the
+    page's main part, an article without such a name, or, where none stands
+    beside it, more than ``NAMED_SHARE`` of the characters.
+    """
+    out, tags, named = _parsed(html, None)
+    if not named:
+        return out, tags
+    total, holders, _ = named.pop(0)
+    return _parsed(html, {n for n, (size, inside, around) in named.items() if inside or (inside + around == holders and size > NAMED_SHARE * total)})[:2]
+
+
+def _parsed(html: str, spared: set[int] | None) -> tuple[list[Block], dict[int, str], dict[int, tuple[int, int, int]]]:
+    """Blocks and tags as ``blocks_of`` has them, with the named elements that are ``spared``.
+
+    None spares all; then the characters in each named element, and the articles
+    and main parts in it and around it, come third, with those of the page as
+    element 0. Elements have the same numbers whatever is spared.
+    """
+    named: dict[int, tuple[int, int, int]] = {}
+    began: dict[int, tuple[int, int, int]] = {}
+    holders: set[int] = set()
+    seen = 0
     stack: list[tuple[str, int, bool]] = []  # tag, number, skipped
     tags: dict[int, str] = {}
     out: list[Block] = []
@@ -105,9 +147,10 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
     article = 0
 
     def text(raw: str) -> None:
-        nonlocal current
+        nonlocal current, seen
         if skip or not raw:
             return
+        seen += len(raw.strip())
         if current is None:
             if raw.isspace():
                 return
@@ -129,7 +172,10 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
     def close(to: int) -> None:
         nonlocal skip, links, article
         while len(stack) > to:
-            tag, _, skipped = stack.pop()
+            tag, n, skipped = stack.pop()
+            if n in began:
+                size, before, around = began[n]
+                named[n] = (seen - size, len(holders) - before, around)
             skip -= skipped
             links -= tag == "a"
             article -= tag in CONTAINERS
@@ -174,7 +220,12 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
             if depth is not None and stack[depth][0] == "p":
                 close(depth)
         number += 1
-        skipped = _surrounds(tag, m[3]) or (tag == "header" and not article)
+        why = _surrounds(tag, m[3])
+        skipped = why == 2 or (why == 1 and spared is not None and number not in spared) or (tag == "header" and not article)
+        if why == 1 and spared is None and not skip and not skipped:
+            began[number] = (seen, len(holders), sum(n in holders for _, n, _ in stack))
+        if not skip and not skipped and (tag == "main" or (tag == "article" and not why)):
+            holders.add(number)
         tags[number] = tag
         stack.append((tag, number, skipped))
         skip += skipped
@@ -182,7 +233,10 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
         article += tag in CONTAINERS
     text(html[at:])
     flush()
-    return out, tags
+    close(0)
+    if named:
+        named[0] = (seen, len(holders), 0)
+    return out, tags, named
 
 
 def fused_ratios(blocks: list[Block]) -> dict[str, float]:

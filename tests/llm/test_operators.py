@@ -467,3 +467,21 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     for name in (None, 4):
         drawn = left(p.target_mix, [(name, text(100)) for _ in range(50)])
         assert len(drawn) == len(set(drawn)) == 30
+
+
+def test_html_names_alone_drop_no_article():
+    story = "<p>A long story, with commas, and more of it.</p><p>Its second part, just as long, ends here.</p>"
+    want = "A long story, with commas, and more of it.\n\nIts second part, just as long, ends here."
+    for page in (
+        f'<div class="content has-sidebar">{story}</div>',
+        f'<main class="no-sidebar">{story}</main>',
+        f'<article class="post no-comments">{story}</article>',
+        f'<div class="sidebar"><article>{story}</article></div>',
+        f'<div id="widget">{story}</div><p class=share>Like, share.</p>',
+        f'<div title="Hidden costs">{story}</div>',
+        f'<div data-id="share" data-class=\'ad\' alt="role=menu">{story}</div>',
+        f"<div class=ad-free>{story}</div>",
+        f'<article>{story}<p id="x" class="left site-footer">Our site, ever.</p><div class="share-buttons">Share, please.</div><p hidden="">Unseen, of course.</p></article>',
+        f'<article>{story}</article><section id="comments"><article class="comment"><p>Nice, really.</p></article></section>',
+    ):
+        assert html.main_text(page) == want, page
