@@ -396,6 +396,13 @@ def connected_components(read):
     return graph.components(e)
 
 
+@query()
+def connected_components_all(read):
+    """As ``connected_components``, over all orders; tested against union-find."""
+    e = read("orders").select(F.col("o_custkey").alias("a"), F.expr("1000000000000 + o_orderkey div 40").alias("b"))
+    return graph.components(e)
+
+
 _USES = """(select conv_id as graph, turn as pass, (length(text) % 5)::int as resource, case when role = 'user' then 'write' else 'read' end as mode from conversations
   union select conv_id, turn, ((length(text) // 5) % 5)::int, 'read' from conversations)"""
 

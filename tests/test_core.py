@@ -429,3 +429,22 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     d = np.linalg.norm(a[:, None] - b[None], axis=2)
     assert {i: n for i, (n, _) in got.items()} == {i: 500 + k for i, k in enumerate(d.argmin(axis=1).tolist())}
     assert all(got[i][1] == pytest.approx(d[i].min()) for i in got)
+
+
+def test_components_of_all_orders(spark):
+    """Against union-find over the whole table."""
+    rows = spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for c, o in rows:
+        x, y = sorted((find(c), find(10**12 + o // 40)))
+        parent[y] = x
+    got = {r.id: r.component for r in registry.queries()["connected_components_all"](spark, DATA).collect()}
+    assert got == {x: find(x) for x in parent}
