@@ -46,6 +46,21 @@ def _best(x: DataFrame, y: DataFrame, left_id: str) -> DataFrame:
     return x.join(F.broadcast(y)).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "neighbour")).alias("_b"))
 
 
+def paired(points: DataFrame, group: str, identity: str, block: int = 2048) -> DataFrame:
+    """Pairs of rows of one ``group``, the smaller ``identity`` first, the second row's columns ending in 2.
+
+    Each group is dealt out in blocks of about ``block`` rows, and every two blocks
+    meet in a place of their own, so a large group is spread over many tasks.
+    """
+    sizes = points.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    sized = points.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(identity), "_n").cast("int"))
+    every = F.explode(F.expr("sequence(0, _n - 1)"))
+    x = sized.select(*points.columns, F.col("_own").alias("_bx"), every.alias("_by"))
+    y = sized.select(F.col(group).alias("_g"), *(F.col(c).alias(f"{c}2") for c in points.columns), every.alias("_cx"), F.col("_own").alias("_cy"))
+    met = (F.col(group) == F.col("_g")) & (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy"))
+    return x.join(y, met & (F.col(identity) < F.col(f"{identity}2"))).drop("_g", "_bx", "_by", "_cx", "_cy")
+
+
 def grid_neighbours(left: DataFrame, right: DataFrame, left_id: str, right_id: str, axes: list[str], cell: float, most_rings: int = 64) -> DataFrame:
     """The same for two or three coordinates and sides of any size, by cells of a grid and growing rings.
 

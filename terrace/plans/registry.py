@@ -210,6 +210,19 @@ def max_pair_angle(read):
     return p.join(q, F.col("vec_id") < F.col("vec_id2")).agg(F.round(F.max(d), 4).alias("degrees"), F.count("*").alias("pairs"))
 
 
+@query("""
+with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings),
+a as (select a.label, degrees(acos(greatest(-1, least(1, (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x ** 2 + a.y ** 2 + a.z ** 2) * sqrt(b.x ** 2 + b.y ** 2 + b.z ** 2)))))) as d
+  from p a, p b where a.label = b.label and a.vec_id < b.vec_id)
+select label, round(max(d), 4) as degrees, count(*) as pairs from a group by label""")
+def max_pair_angle_by_label(read):
+    from terrace.functions.geometry import angle
+
+    p = read("embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
+    d = F.degrees(angle(tuple(F.col(a) for a in "xyz"), tuple(F.col(f"{a}2") for a in "xyz")))
+    return nearest.paired(p, "label", "vec_id").groupBy("label").agg(F.round(F.max(d), 4).alias("degrees"), F.count("*").alias("pairs"))
+
+
 # --- joins on time ---------------------------------------------------------------------------------
 
 
