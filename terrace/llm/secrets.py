@@ -88,6 +88,46 @@ def _score(run: Column, table: Column) -> Column:
     return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _best(run: Column, table: Column) -> Column:
+    """``struct<s, f, i, best, start, stop>``: the stretch of a run whose pairs have the largest sum of ratios, the first on ties."""
+    n = len(ALPHABET)
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pairs = let(
+        F.filter(codes, lambda c: c >= 0),
+        lambda k: F.transform(F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))), lambda c, i: F.get(table, F.get(k, i) * n + c).cast("long")),
+    )
+    zero, none = F.lit(0), F.lit(0).cast("long")
+    start = F.struct(none.alias("s"), zero.alias("f"), zero.alias("i"), none.alias("best"), zero.alias("start"), zero.alias("stop"))
+
+    def step(a: Column, x: Column) -> Column:
+        more = a["s"] > 0
+        s, f = F.when(more, a["s"] + x).otherwise(x), F.when(more, a["f"]).otherwise(a["i"])
+        up = s > a["best"]
+        return F.struct(
+            s.alias("s"), f.alias("f"), (a["i"] + 1).alias("i"), F.greatest(s, a["best"]).alias("best"),
+            F.when(up, f).otherwise(a["start"]).alias("start"), F.when(up, a["i"] + 2).otherwise(a["stop"]).alias("stop"),
+        )
+
+    return F.aggregate(pairs, start, step)
+
+
+def _stretches(text: Column, odds: Column, table: list[int]) -> Column:
+    """Spans of the best stretch of each run of ``ALPHABET`` that reaches ``LEAST_RATIO``.
+
+    No run is left out: those shorter than the pattern asks cannot reach the ratio.
+    """
+    shortest = 1 + -(-LEAST_RATIO // max(1, *table))
+    pattern = f"[A-Za-z0-9+/_=\\-]{{{shortest},}}"
+    scored = let(
+        F.struct(_found(text, pattern, 3).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v")),
+        lambda x: F.transform(x["s"], lambda s, i: F.struct(s["start"].alias("at"), _best(F.get(x["v"], i), odds).alias("b"))),
+    )
+    return F.transform(
+        F.filter(scored, lambda r: r["b"]["best"] >= LEAST_RATIO),
+        lambda r: F.struct((r["at"] + r["b"]["start"]).alias("start"), F.lit(3).alias("kind"), (r["at"] + r["b"]["stop"]).alias("end")),
+    )
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> list[int]:
     """Log-likelihood ratios, in thousandths, of each pair of symbols in random strings against identifiers.
 
@@ -140,6 +180,7 @@ def secrets(
     table: list[int],
     id_col: str = "doc_id",
     text_col: str = "text",
+    stretches: bool = False,
 ) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov)``, one row per row of ``docs``.
 
@@ -147,7 +188,9 @@ def secrets(
     kind. Beside the fixed patterns, runs of at least ``SHORTEST`` symbols that
     hold a letter and a digit, no letter beyond ASCII and no part of a span of
     the patterns are scored by both models and are spans of kind ``markov`` if
-    the ratio is at least ``LEAST_RATIO``. Counts and ``base_sha256`` are of the
+    the ratio is at least ``LEAST_RATIO``. With ``stretches``, runs end at any
+    letter beyond ASCII, the ratio alone decides, and the span is the stretch of
+    the run that has the largest; what overlaps a span of the patterns is left out. Counts and ``base_sha256`` are of the
     patterns alone.
 
     Null texts are empty; an empty text has no span, and the digest of the empty
@@ -164,7 +207,7 @@ def secrets(
         shape = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & ~hit.rlike("[^\\x00-\\x7F]")
         return shape & (_score(hit, odds) >= LEAST_RATIO)
 
-    runs = _found(text, RUN, 3, random)
+    runs = _stretches(text, odds, table) if stretches else _found(text, RUN, 3, random)
     clear = let(
         F.struct(F.col("_base").alias("b"), runs.alias("r")),
         lambda x: F.filter(x["r"], lambda r: ~F.exists(x["b"], lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))),
@@ -191,9 +234,9 @@ def secrets(
     )
 
 
-def production(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def production(docs: DataFrame, labels: DataFrame, stretches: bool = False) -> DataFrame:
     """``secrets`` with a model trained from the labelled documents."""
-    return secrets(docs, trained(docs, labels))
+    return secrets(docs, trained(docs, labels), stretches=stretches)
 
 
 def oracle() -> str:

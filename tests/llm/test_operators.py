@@ -485,3 +485,33 @@ def test_html_names_alone_drop_no_article():
         f'<article>{story}</article><section id="comments"><article class="comment"><p>Nice, really.</p></article></section>',
     ):
         assert html.main_text(page) == want, page
+
+
+def test_secret_stretches(spark):
+    key, path = "qZ7Rt0pLx9Wm3Kd8Vb2Nc6Ys1Hg4Jf5", "the/international/organisation/configures/something/interesting/"
+    texts = [f"key “{key}”", f"中文{key}", key[:19], "qZxRtkpLxQWmzKdJVbwNcXYsHgqJfB", path * 4 + key, "the international organisation über documents", None]
+    words_ = "the international organisation configures something interesting about documents and identifiers of user names"
+    plain = [(100 + i, words_) for i in range(30)]
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    table = secrets.trained(spark.createDataFrame(plain, "doc_id long, text string"), labels)
+    n, short = len(secrets.ALPHABET), "7"
+    while len(short) < 16:  # a likely random string of 16 symbols
+        at = secrets.ALPHABET.index(short[-1]) * n
+        short += max((x for x in secrets.ALPHABET if x not in short), key=lambda x: table[at + secrets.ALPHABET.index(x)])
+    texts[2] = short
+    df = spark.createDataFrame([*enumerate(texts), *plain], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secrets(df, table, stretches=True).collect()}
+    for i, text in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{2,}", text or ""):
+            c = [secrets.ALPHABET.index(x) for x in m[0]]
+            p = [0]
+            for a, b in zip(c, c[1:]):
+                p.append(p[-1] + table[a * n + b])
+            score, s, e = max((p[e] - p[s], -s, e) for s in range(len(p)) for e in range(s + 1, len(p)))
+            if score >= secrets.LEAST_RATIO:
+                want.append((m.start() - s, m.start() + e + 1))
+        found = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x]
+        assert found == want, (text, found, want)
+        assert found or i in (3, 5, 6), text
+    assert all(got[100 + i] == "" for i in range(30))
