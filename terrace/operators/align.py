@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.operators.graph import cut
+
 AXES = "xyz"
 
 
@@ -78,23 +82,27 @@ def _draws(seed: int):
 def consensus(df: DataFrame, identity: str, tolerance: float, trials: int = 1024, seed: int = 42) -> Similarity:
     """The fit of three pairs that most pairs agree with; the least sum of errors, then the first trial, on ties.
 
-    The trials' pairs, three a trial, are all that comes to the driver; scoring
+    Trials draw from all pairs. The trials' pairs, three a trial, and a count a range are all that comes to the driver; scoring
     holds every pair against every trial in one pass.
     """
-    names = [r[0] for r in df.select(identity).orderBy(identity).limit(100_000).collect()]
-    if len(names) < 3:
+    # places in order of identity: a range's number above a row's place in it, fixed by the cut
+    placed = cut(df.repartitionByRange(identity).sortWithinPartitions(identity).withColumn("_at", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+    ends = list(accumulate(r["n"] for r in ranges))
+    count = ends[-1] if ends else 0
+    if count < 3:
         raise ValueError("at least three pairs are needed")
     draw = _draws(seed)
     triples = []
     for _ in range(trials):
         picked: list[int] = []
         while len(picked) < 3:
-            k = next(draw) % len(names)
+            k = next(draw) % count
             if k not in picked:
                 picked.append(k)
-        triples.append([names[k] for k in picked])
-    wanted = {n for t in triples for n in t}
-    rows = {r[identity]: r for r in df.where(F.col(identity).isin(list(wanted))).collect()} if len(wanted) <= 5000 else {r[identity]: r for r in df.collect() if r[identity] in wanted}
+        triples.append([(ranges[i := bisect_right(ends, k)]["p"] << 33) + k - (ends[i] - ranges[i]["n"]) for k in picked])
+    wanted = df.sparkSession.createDataFrame([(n,) for n in sorted({n for t in triples for n in t})], "_at long")
+    rows = {r["_at"]: r for r in placed.join(F.broadcast(wanted), "_at").collect()}
     fits = []
     for k, names3 in enumerate(triples):
         s = np.array([[rows[n][f"s{a}"] for a in AXES] for n in names3])

@@ -455,3 +455,12 @@ def test_pairs_of_all_groups_in_blocks(spark):
     got = [(r.i, r.i2) for r in nearest.paired(df, "g", "i", block=4).collect()]
     assert sorted(got) == [(i, j) for i in range(1, 40) for j in range(i + 1, 40) if i % 3 == j % 3]
     assert {r.label for r in registry.queries()["max_pair_angle_by_label"](spark, DATA).collect()} == set(range(10))
+
+
+def test_consensus_draws_from_all_pairs(spark):
+    """The 100,000 smallest identities are outliers; most pairs agree."""
+    at = [F.rand(k) for k in range(6)]
+    df = spark.range(260_000).select(F.col("id").alias("i"), *(at[k].alias(f"s{a}") for k, a in enumerate("xyz")), *(at[3 + k].alias(f"_o{a}") for k, a in enumerate("xyz")))
+    good = [F.when(F.col("i") < 100_000, 50 * F.col(f"_o{a}")).otherwise(2 * F.col(f"s{a}") + 1).alias(f"t{a}") for a in "xyz"]
+    found = align.consensus(df.select("i", "sx", "sy", "sz", *good), "i", 1e-3, trials=32)
+    assert found.scale == pytest.approx(2) and np.allclose(found.rotation, np.eye(3)) and np.allclose(found.translation, 1)
