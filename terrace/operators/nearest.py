@@ -33,17 +33,23 @@ def neighbours(left: DataFrame, right: DataFrame, left_id: str, right_id: str, p
         y = cut(y.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
         best = None
         for k in range(blocks):
-            near = _best(x, y.where(F.col("_block") == k).drop("_block"), left_id)
+            near = _best(x, y.where(F.col("_block") == k).drop("_block"), left_id, 16)
             best = cut(near if best is None else best.unionByName(near).groupBy(left_id).agg(F.min("_b").alias("_b")))
     else:
-        best = _best(x, y, left_id)
+        best = _best(x, y, left_id, blocks)
     return best.select(left_id, F.col("_b.neighbour").alias("neighbour"), F.sqrt("_b.d").alias("distance"))
 
 
-def _best(x: DataFrame, y: DataFrame, left_id: str) -> DataFrame:
-    """``(left_id, _b)``: the least ``(d, neighbour)`` of each row of ``x`` over all of ``y``, which is broadcast."""
-    d = squared_distance(F.col("_p"), F.col("_q"))
-    return x.join(F.broadcast(y)).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "neighbour")).alias("_b"))
+def _best(x: DataFrame, y: DataFrame, left_id: str, blocks: int) -> DataFrame:
+    """``(left_id, _b)``: the least ``(d, neighbour)`` of each row of ``x`` over all of ``y``, which is broadcast.
+
+    ``y`` comes as a few arrays, each of which yields one row per left row: a
+    minimum over single pairs would sort them all.
+    """
+    held = y.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("_k")).agg(F.collect_list(F.struct("neighbour", "_q")).alias("_h"))
+    near = F.transform("_h", lambda r: F.struct(squared_distance(F.col("_p"), r["_q"]).alias("d"), r["neighbour"].alias("neighbour")))
+    pairs = x.join(F.broadcast(held.select("_h"))).select(left_id, F.array_min(near).alias("_m"))
+    return pairs.groupBy(left_id).agg(F.min("_m").alias("_b"))
 
 
 def paired(points: DataFrame, group: str, identity: str, block: int = 2048) -> DataFrame:
