@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,8 +17,14 @@ from terrace.llm.common import shared_dir
 TOKENIZERS = "/opt/tokenizers"
 #: The split into pieces that byte-level vocabularies of this kind are made for (a fixed value).
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of the pattern's white space (a fixed value) that it could not take as one.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 KEY = ["source", "lang", "tokenizer"]
-STATE = "doc_id long, tokenizer string, source string, lang string, n_tokens long"
+COUNTS = "doc_id long, tokenizer string, source string, lang string, n_tokens long"
+STATE = "doc_id long, tokenizer string, source string, lang string, n_docs long, n_tokens long"
+TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+#: Parts of the state table by document; a batch rewrites only those that its documents lie in.
+BUCKETS = 64
 
 
 def words_counter() -> Callable[[str], int]:
@@ -26,29 +33,36 @@ def words_counter() -> Callable[[str], int]:
 
 
 def bpe_counter(path: str) -> Callable[[str], int]:
-    """Counts the tokens of a byte-level vocabulary given as ranks."""
+    """Counts the tokens of a byte-level vocabulary given as ranks.
+
+    The whole text is encoded at once, but for runs of white space too long for
+    the pattern's stack. Such a run is two pieces whatever surrounds it, its last
+    character, which belongs to what follows, and all before; so it is cut there.
+    """
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-    # a text of one endless piece would take quadratic time, so pieces are bounded by lines of bounded length
-    return lambda text: sum(len(encoding.encode_ordinary(part)) for part in bounded(text))
 
+    def count(text: str) -> int:
+        n = at = 0
+        for run in LONG_BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end].encode()))
+            at = end
+        return n + len(encoding.encode_ordinary(text[at:]))
 
-def bounded(text: str, most: int = 1 << 16) -> Iterator[str]:
-    """The text in parts of about ``most`` characters, cut where a word begins; a longer word is cut anywhere."""
-    at = 0
-    while len(text) - at > most:
-        cut = text.rfind(" ", at + 1, at + most)
-        cut = cut if cut > at and not text[cut - 1].isspace() else at + most
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+    return count
 
 
 def counted(docs: DataFrame, tokenizer: str, make: Callable[[], Callable[[str], int]]) -> DataFrame:
-    """``STATE`` rows: each document's tokens by one tokenizer; null texts have none."""
+    """``COUNTS`` rows, one per row of ``docs``: its tokens by one tokenizer.
+
+    Whole texts are counted, however long; a null or empty text has no tokens.
+    Repeated rows count each; an empty table gives an empty result; other
+    columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = make()
@@ -58,27 +72,32 @@ def counted(docs: DataFrame, tokenizer: str, make: Callable[[], Callable[[str],
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokenizer", "source", "lang", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text"))
-    return rows.mapInArrow(run, STATE)
+    return rows.mapInArrow(run, COUNTS)
 
 
 class Rollup:
     """Totals of documents and tokens by source, language and tokenizer version, under a folder.
 
     ``commit(batch_id, changes)`` takes rows ``(op, doc_id, tokenizer, source,
-    lang, n_tokens)``, op one of ``insert``, ``revise`` (both: this is the
-    document's count from now on) and ``delete``. A document's count before the
-    batch comes from the state table, so what is added to the totals is signed:
-    what it has now less what it had. Only these sums are ever added up.
-
-    A batch is the folder ``batch=<id>`` with its deltas and the state after it,
-    written under another name and renamed once whole: it counts fully or not at
-    all, and a batch whose id has been committed changes nothing, whatever it
-    holds. One writer at a time.
-
-    Several rows of one document and tokenizer in a batch: the one of the largest
-    count stands, ``delete`` before others. Deleting what isn't there changes
-    nothing. Null ids can't be told apart and are left out; null sources and
-    languages are groups of their own; an empty batch is a commit like others.
+    lang, n_tokens)``, op one of ``insert``, ``revise`` (both: this is what the
+    document counts from now on) and ``delete``. What a document counted before
+    the batch comes from the state table, so what is added to the totals is
+    signed: what it counts now less what it counted. Only these sums are added up.
+
+    A batch is the folder ``<number>-<id>`` with its deltas, the totals after it
+    and the parts of the state that it touched, written under another name and
+    renamed once whole: it counts fully or not at all, and a batch whose id has
+    been committed changes nothing, whatever it holds. The state lies in
+    ``BUCKETS`` parts; of each the newest batch that has it is the true one, and
+    older ones go after the commit. One writer at a time.
+
+    The rows of one id and tokenizer in a batch are one document that counts all
+    of them, in each source and language they name; with a ``delete`` among them
+    it is gone. Rows without an id are one document, too. Null counts are 0; rows
+    without a tokenizer are left out; null sources and languages are groups of
+    their own. Deleting what isn't there changes nothing; an empty batch is a
+    commit like others. Groups are summed before the shuffle, so an id with a
+    third of all rows is a few rows a task.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -90,67 +109,89 @@ class Rollup:
     def _fs(self):
         return self._path(".").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        fs, top = self._fs(), self._path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+
     def batches(self) -> list[str]:
         """Ids of committed batches, oldest first."""
-        fs, top = self._fs(), self._path("log")
-        if not fs.exists(top):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(top))
-        return [n.split("-", 1)[1] for n in names]
-
-    def _numbered(self) -> list[str]:
-        fs, top = self._fs(), self._path("log")
-        return sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+        return [n.split("-", 1)[1] for n in self._names("log")]
+
+    def _parts(self) -> dict[str, list[str]]:
+        """Folders of the state by bucket, oldest first."""
+        found: dict[str, list[str]] = {}
+        for batch in self._names("log"):
+            for bucket in self._names(f"log/{batch}/state"):
+                if bucket.startswith("bucket="):
+                    found.setdefault(bucket, []).append(f"log/{batch}/state/{bucket}")
+        return found
 
     def state(self) -> DataFrame:
-        """Every document's count as of the last batch."""
-        done = self._numbered()
-        if not done:
+        """What every document counts as of the last batch."""
+        return self._state(self._parts())
+
+    def _state(self, parts: dict[str, list[str]]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.folder}/log/{done[-1]}/state")
+        return self.spark.read.schema(STATE).parquet(*(f"{self.folder}/{p[-1]}" for p in parts.values()))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Whether the batch was new."""
-        done = self._numbered()
+        done = self._names("log")
         if batch_id in (n.split("-", 1)[1] for n in done):
             return False
-        room = f"{self.folder}/open-{uuid.uuid4().hex}"
-        after = (
-            changes.where(F.col("doc_id").isNotNull() & F.col("tokenizer").isNotNull())
-            .groupBy("doc_id", "tokenizer")
-            .agg(F.max(F.struct((F.col("op") == "delete").alias("gone"), "n_tokens", "source", "lang")).alias("new"))
+        room = f"open-{uuid.uuid4().hex}"
+        group = ["doc_id", "tokenizer", "source", "lang"]
+        gone = F.col("op") == "delete"
+        (
+            changes.where(F.col("tokenizer").isNotNull())
+            .groupBy(*group)
+            .agg(
+                F.sum((~gone).cast("long")).alias("n_docs"),
+                F.sum(F.when(gone, 0).otherwise(F.coalesce(F.col("n_tokens"), F.lit(0)))).cast("long").alias("n_tokens"),
+                F.max(gone).alias("gone"),
+            )
+            .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(BUCKETS)).cast("int"))
+            .write.parquet(f"{self.folder}/{room}/new")
         )
-        before = self.state().select("doc_id", "tokenizer", F.struct("n_tokens", "source", "lang").alias("old"))
-        both = before.join(after, ["doc_id", "tokenizer"], "full_outer")
-        both.write.parquet(f"{room}/merged")
-        both = self.spark.read.schema(both.schema).parquet(f"{room}/merged")
-        stays = F.when(F.col("new").isNull(), F.col("old")).when(~F.col("new.gone"), F.col("new").dropFields("gone"))
-        state = both.select("doc_id", "tokenizer", stays.alias("now")).where("now is not null")
-        state.select("doc_id", "tokenizer", "now.source", "now.lang", "now.n_tokens").write.parquet(f"{room}/state")
-        touched = both.where("new is not null")
-        minus = touched.where("old is not null").select("old.source", "old.lang", "tokenizer", F.lit(-1).alias("d"), (-F.col("old.n_tokens")).alias("t"))
-        plus = touched.where("not new.gone").select("new.source", "new.lang", "tokenizer", F.lit(1).alias("d"), F.col("new.n_tokens").alias("t"))
-        sums = minus.unionByName(plus).groupBy(*KEY).agg(F.sum("d").cast("long").alias("d_docs"), F.sum("t").cast("long").alias("d_tokens"))
-        sums.write.parquet(f"{room}/deltas")
+        new = self.spark.read.parquet(f"{self.folder}/{room}/new")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        parts = self._parts()
+        old = self._state({b: parts[b] for b in (f"bucket={k}" for k in touched) if b in parts})
+        named = new.groupBy("doc_id", "tokenizer", "bucket").agg(F.max("gone").alias("_gone"))
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "tokenizer")]
+        stays = old.alias("x").join(named.alias("y"), same, "left_anti")
+        leaves = old.alias("x").join(named.alias("y"), same, "left_semi")
+        comes = new.alias("x").join(named.where("not _gone").alias("y"), same, "left_semi").where("n_docs > 0").select(*group, "n_docs", "n_tokens")
+        bucket = F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(BUCKETS)).cast("int")
+        after = stays.unionByName(comes).withColumn("bucket", bucket)
+        after.repartition("bucket", F.pmod(F.xxhash64(*group), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.folder}/{room}/state")
         fs = self._fs()
-        fs.delete(self._path(room.rsplit("/", 1)[1] + "/merged"), True)
+        for k in touched:  # a part that has become empty stands for itself
+            fs.mkdirs(self._path(f"{room}/state/bucket={k}"))
+        signed = leaves.select(*KEY, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")).unionByName(comes.select(*KEY, "n_docs", "n_tokens"))
+        _added(signed).write.parquet(f"{self.folder}/{room}/deltas")
+        deltas = self.spark.read.schema(TOTALS).parquet(f"{self.folder}/{room}/deltas")
+        _added(self.totals().unionByName(deltas)).where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.folder}/{room}/totals")
+        fs.delete(self._path(f"{room}/new"), True)
         fs.mkdirs(self._path("log"))
-        if not fs.rename(self._path(room.rsplit("/", 1)[1]), self._path(f"log/{len(done):09d}-{batch_id}")):
+        if not fs.rename(self._path(room), self._path(f"log/{len(done):09d}-{batch_id}")):
             raise RuntimeError(f"batch {batch_id} could not be committed to {self.folder}")
-        if done:  # the state before is only needed until the next one stands
-            fs.delete(self._path(f"log/{done[-1]}/state"), True)
+        for older in self._parts().values():
+            for path in older[:-1]:
+                fs.delete(self._path(path), True)
         return True
 
     def totals(self) -> DataFrame:
         """``(source, lang, tokenizer, n_docs, n_tokens)``: all deltas added up; groups without documents are gone."""
-        done = self._numbered()
-        kind = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
+        done = self._names("log")
         if not done:
-            deltas = self.spark.createDataFrame([], kind)
-        else:
-            deltas = self.spark.read.schema(kind).parquet(*(f"{self.folder}/log/{n}/deltas" for n in done))
-        sums = deltas.groupBy(*KEY).agg(F.sum("d_docs").cast("long").alias("n_docs"), F.sum("d_tokens").cast("long").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+            return self.spark.createDataFrame([], TOTALS)
+        return self.spark.read.schema(TOTALS).parquet(f"{self.folder}/log/{done[-1]}/totals")
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
 
 
 def production(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:

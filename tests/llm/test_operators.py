@@ -370,27 +370,74 @@ def test_html_table(spark):
 def test_rollup(spark, tmp_path):
     roll = tokens.Rollup(spark, str(tmp_path / "roll"))
     kind = "op string, doc_id long, tokenizer string, source string, lang string, n_tokens long"
-    put = lambda name, rows: roll.commit(name, spark.createDataFrame(rows, kind))
-    assert put("a", [("insert", 1, "t", "s", "en", 10), ("insert", 2, "t", "s", "en", 5), ("insert", 3, "t", None, None, 7), ("insert", None, "t", "s", "en", 1)])
+    put = lambda name, rows: roll.commit(name, spark.createDataFrame(rows, kind).withColumn("bucket", F.lit("clash")))
+    first = [("insert", 1, "t", "s", "en", 10), ("insert", 2, "t", "s", "en", 5), ("insert", 3, "t", None, None, 7), ("insert", None, "t", "s", "en", 1), ("insert", 4, None, "s", "en", 9)]
+    assert put("a", first)
     assert not put("a", [("insert", 9, "t", "s", "en", 1000)])
     assert put("b", [("revise", 1, "t", "s", "en", 4), ("delete", 2, "t", None, None, None), ("delete", 77, "t", None, None, None), ("insert", 1, "u", "s", "en", 3)])
     assert put("c", [])
-    assert put("d", [("revise", 1, "u", "z", "de", 8)])
+    assert put("d", [("revise", 1, "u", "z", "de", 8), ("insert", 5, "t", "s", "en", None), ("insert", 6, "t", "s", "en", 2), ("insert", 6, "t", "s", "fr", 3)])
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in roll.totals().collect()}
-    assert got == {("s", "en", "t"): (1, 4), (None, None, "t"): (1, 7), ("z", "de", "u"): (1, 8)}
-    assert roll.batches() == ["a", "b", "c", "d"]
+    assert got == {("s", "en", "t"): (4, 7), ("s", "fr", "t"): (1, 3), (None, None, "t"): (1, 7), ("z", "de", "u"): (1, 8)}
+    assert put("e", [("delete", 6, "t", None, None, None), ("revise", 6, "t", "s", "en", 50), ("delete", None, "t", None, None, 1), ("revise", 3, "t", "s", "en", 1)])
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in roll.totals().collect()}
+    assert got == {("s", "en", "t"): (3, 5), ("z", "de", "u"): (1, 8)}
+    assert sorted((r.doc_id, r.tokenizer, r.n_tokens) for r in roll.state().collect()) == [(1, "t", 4), (1, "u", 8), (3, "t", 1), (5, "t", 0)]
+    assert roll.batches() == ["a", "b", "c", "d", "e"]
+
+
+def slow_bpe(ranks, text):
+    """Tokens of a text: pieces by the pattern, then the lowest-ranked pair merged until none is left."""
+    import regex
+
+    n = 0
+    for piece in regex.findall(tokens.PIECES, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, k = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        n += len(parts)
+    return n
 
 
 def test_token_counts(spark, docs):
+    """Every column of the totals against a loop over rows, repeated and null ids included."""
+    import base64
+
     rows, df = docs
-    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in tokens.production(df).where("tokenizer = 'words/1'").collect()}
+    path = f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    got = {(r.tokenizer, r.source, r.lang): (r.n_docs, r.n_tokens) for r in tokens.production(df).collect()}
     want = {}
-    for i, t, la, s in {(i, t, la, s) for i, t, la, s, _ in rows if i is not None}:
-        n, m = want.get((s, la), (0, 0))
-        want[(s, la)] = (n + 1, m + len(words(t)))
+    for _, t, la, s, _ in rows:
+        for name, k in (("words/1", len(words(t))), ("byte_bpe_50k/1", slow_bpe(ranks, t or ""))):
+            n, m = want.get((name, s, la), (0, 0))
+            want[(name, s, la)] = (n + 1, m + k)
     assert got == want
-    count = tokens.bpe_counter(f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken")
-    assert count("hello world") == 2 and count("") == 0 and count("ab " * 100_000) > 100_000
+    assert tokens.production(df.limit(0)).count() == 0
+
+
+def test_long_texts_count_as_whole():
+    import base64
+
+    path = f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    count = tokens.bpe_counter(path)
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    assert count("hello world") == 2 and count("") == 0
+    # pieces recur, so a long text counts a multiple of a short one and its first and last words
+    for unit in ("alpha  ", "internationalization  ", "\tif x:\n\t\treturn  y\n", "中文", "a-b  \n "):
+        few, more = slow_bpe(ranks, unit * 40), slow_bpe(ranks, unit * 41)
+        if not unit.isalpha():
+            assert count(unit * 20_000) == few + (20_000 - 40) * (more - few), unit
+    assert count("x" * 200_000) <= 200_000
+    for run in (" " * 5000, " \n" * 3000, "\t" * 1000):
+        for text in (run, run + "word", "word" + run, "a" + run + "b" + run + "\n", "a" + run + "\xa0."):
+            assert count(text) == slow_bpe(ranks, text), (run[:3], text[:3])
+    assert count(" " * 2_000_000 + "x") > 0
 
 
 @pytest.mark.parametrize("name", ["quality", "near", "shards", "mix", "secrets", "contaminated", "licenses"])
