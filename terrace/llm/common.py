@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if the cluster names one."""
+    """The folder all executors share, ``spark.checkpoint.dir``; without one, a temporary folder if the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -68,6 +70,7 @@ def released(df: DataFrame) -> None:
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         if path.rsplit("/", 1)[-1].startswith("terrace-"):
             drop_path(df.sparkSession, path)
+            _written[:] = [w for w in _written if w[1].rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -78,6 +81,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, part: int = 4000) -> DataFrame:
+    """``rows`` joined with ``facts`` on ``key``, a key with very many rows spread over several tasks.
+
+    Keys with more than ``part`` rows, and more than a 50,000th of all, are hot: by
+    that bound there are fewer than 50,000 of them, so they may be broadcast. The
+    rows of a hot key are dealt out by hash to parts of about ``part`` rows, and its
+    facts are repeated for each part. A null key meets nothing. ``counts``, rows
+    ``(key, n)``, saves counting; without it ``rows`` should be a table of ``written``.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = written(counts.select(F.col(key).alias("_hot"), "n").where(F.col("n") > part))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return rows.join(facts, key, how)
+    # a 50,000th of the rows of these keys alone bounds their number just as well
+    most = max(part, total // 50_000)
+    hot = F.broadcast(counts.where(F.col("n") > most).select("_hot", F.ceil(F.col("n") / part).cast("int").alias("_parts")))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    own = F.pmod(F.xxhash64(*rows.columns), parts).cast("int")
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", own).drop("_hot", "_parts")
+    right = facts.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body uses it.
 

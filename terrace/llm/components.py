@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import written
+from terrace.llm.common import released, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round points every node's larger neighbours, then its smaller ones, at
     the smallest node it sees. Rounds grow with the logarithm of the longest
     path; each is a pair of keyed minimums, pre-aggregated before the shuffle,
-    and joins on node ids whose large keys adaptive execution splits. Loops,
+    and joins on node ids whose large keys adaptive execution splits. It ends when a
+    round has changed no link, by comparison of the links themselves. Loops,
     repeated edges and nulls are left out; no edges give no rows.
     """
     links = written(
@@ -22,14 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    before = None
     while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.max("u")).first()
-        if tuple(state) == before or not state[0]:
-            return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        before = tuple(state)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -46,4 +40,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        links = written(small_star)
+        before, links = links, written(small_star)
+        # sets of one size of which none has a link that the other lacks are equal: nothing moved
+        settled = before.count() == links.count() and before.join(links, ["u", "v"], "left_anti").isEmpty()
+        released(before)
+        if settled:
+            return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+                links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            )

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import small, written
+from terrace.llm.common import released, small, spread_join, written
 from terrace.llm.components import components
 
 #: 38 bands of 5: a pair of similarity 0.8 meets in none with probability 3e-7.
@@ -31,6 +32,8 @@ SLACK = 4.5
 CHUNK = 1 << 20
 #: Rounds in which a bucket's members are held against one of them, before all pairs left are.
 STAR_ROUNDS = 2
+#: Members that a hub is held against in one task.
+HUB_PART = 256
 #: Members of a bucket that are compared at a time when its pairs are.
 BLOCK = 2048
 
@@ -50,9 +53,11 @@ def _stream(n: int, seed: int) -> np.ndarray:
         return _mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * _MIX)
 
 
-_BYTE = _stream(256, 11)
-_BYTE[_SPACE] = 0
-_BASE = int(_stream(1, 12)[0]) | 3
+#: A value for each byte at each of the first places in a word; later places are mixed as they come.
+PLACES = 64
+with np.errstate(over="ignore"):
+    _BYTE = _stream(256, 11)
+    _PLACED = _mixed((_BYTE[None, :] + np.arange(PLACES, dtype=np.uint64)[:, None] * _MIX).ravel())
 _TIMES = _stream(HASHES, 13) | np.uint64(1)
 _PLUS = _stream(HASHES, 14)
 _BAND = _stream(BANDS * ROWS, 15) | np.uint64(1)
@@ -60,42 +65,35 @@ _LONG_TIMES = _stream(LONG, 16) | np.uint64(1)
 _LONG_PLUS = _stream(LONG, 17)
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
-        take = min(done, n - done)
-        out[done : done + take] = out[:take] * step
-        done += take
-    return out
-
-
 class Hasher:
-    """Shingle hashes of many texts at once, word by word over their bytes."""
+    """Shingle hashes of many texts at once, word by word over their bytes.
 
-    def __init__(self, width: int):
-        self.width, self.n = width, 0
+    A word's hash is the mixed sum of its bytes' values, each mixed with the
+    byte's place first, so that no arithmetic between places makes words equal.
+    """
 
-    def _grow(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, CHUNK + CHUNK // 8)
-            self.up, self.down = _powers(self.n, _BASE), _powers(self.n, pow(_BASE, -1, 1 << 64))
+    def __init__(self, width: int):
+        self.width = width
 
     def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingle hashes of each text, ascending and end to end, and how many each has."""
         blob = b" ".join(texts).lower() + b" "
-        self._grow(len(blob))
         data = np.frombuffer(blob, np.uint8)
         space = _SPACE[data]
         turns = np.flatnonzero(np.diff(space, prepend=True))
         if len(turns) == 0:
             return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
         starts, ends = turns[0::2], turns[1::2]
+        begun = np.zeros(len(data), np.int64)
+        begun[starts] = starts
+        place = np.arange(len(data)) - np.maximum.accumulate(begun)
+        values = _PLACED[np.minimum(place, PLACES - 1) * 256 + data]
+        late = np.flatnonzero((place >= PLACES) & ~space)
+        values[late] = _mixed(_BYTE[data[late]] + place[late].astype(np.uint64) * _MIX)
+        values[space] = 0
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.up[: len(data)], out=sums[1:])
-        words = _mixed((sums[ends] - sums[starts]) * self.down[starts])
+        np.cumsum(values, out=sums[1:])
+        words = _mixed(sums[ends] - sums[starts])
         edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
         first = np.searchsorted(starts, edges)
         counts = np.diff(first)
@@ -133,19 +131,19 @@ def packed(low: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
-def _signed(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
+def digest_of(raw: bytes) -> bytes:
+    """128 bits of a cryptographic hash of a text's words in order: texts that share it have equal sets."""
+    return blake2b(b" ".join(words_of(raw)), digest_size=16).digest()
+
+
+def _signed(texts: list[bytes], hasher: Hasher) -> list:
     values, counts = hasher.sets(texts)
     some = counts > 0
     n = len(texts)
-    fp = np.zeros((n, 2), np.int64)
     keys = np.zeros((n, BANDS), np.int64)
     sig = np.zeros((n, HASHES * BITS // 64), np.int64)
     if some.any():
-        full = counts[some]
-        starts = np.cumsum(full) - full
-        fp[some, 0] = np.add.reduceat(_mixed(values + np.uint64(1)), starts).view(np.int64)
-        fp[some, 1] = np.add.reduceat(_mixed(values ^ _MIX), starts).view(np.int64)
-        low = minima(values, full)
+        low = minima(values, counts[some])
         wide = low[: BANDS * ROWS].astype(np.uint64) * _BAND[:, None]
         wide = _mixed(wide).reshape(BANDS, ROWS, -1)
         band = np.zeros((BANDS, wide.shape[2]), np.uint64)
@@ -153,14 +151,14 @@ def _signed(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
             band = _mixed(band * np.uint64(5) + wide[:, r])
         keys[some] = band.T.view(np.int64)
         sig[some] = packed(low)
-    return [counts, fp, keys, sig]
+    return [counts, [digest_of(t) if k else None for t, k in zip(texts, counts, strict=True)], keys, sig]
 
 
-SIGNED = "doc_id long, n_shingles long, fp_a long, fp_b long, keys array<long>, sig array<long>"
+SIGNED = "doc_id long, n_shingles long, digest binary, keys array<long>, sig array<long>"
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its set's size, fingerprint, band keys and packed low bits."""
+    """One row per document: its set's size, the digest of its words, band keys and packed low bits."""
 
     def lists(a: np.ndarray) -> pa.Array:
         flat = pa.array(np.ascontiguousarray(a).ravel(), pa.int64())
@@ -170,9 +168,9 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
         hasher = Hasher(width)
 
         def emit(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            counts, fp, keys, sig = _signed(texts, hasher)
-            columns = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), lists(keys), lists(sig)]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fp_a", "fp_b", "keys", "sig"])
+            counts, digests, keys, sig = _signed(texts, hasher)
+            columns = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists(keys), lists(sig)]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "keys", "sig"])
 
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -194,7 +192,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
 
 def long_signatures(texts: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, fp_a, long_sig)``: low bits of each of ``LONG`` minima for rows ``(doc_id, fp_a, text)``."""
+    """``(doc_id, digest, long_sig)``: low bits of each of ``LONG`` minima for rows ``(doc_id, digest, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(width)
@@ -205,10 +203,10 @@ def long_signatures(texts: DataFrame, width: int) -> DataFrame:
                     values, counts = hasher.sets(part.column(2).to_pylist())
                     sig = packed(minima(values, counts, _LONG_TIMES, _LONG_PLUS), LONG_BITS)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), pa.array([row.tobytes() for row in sig], pa.binary())], ["doc_id", "fp_a", "long_sig"]
+                        [part.column(0), part.column(1), pa.array([row.tobytes() for row in sig], pa.binary())], ["doc_id", "digest", "long_sig"]
                     )
 
-    return texts.select("doc_id", "fp_a", "text").mapInArrow(run, "doc_id long, fp_a long, long_sig binary")
+    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, long_sig binary")
 
 
 def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
@@ -245,31 +243,41 @@ def shingle_set(raw: bytes, width: int) -> set:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``(a, b)`` pairs of nodes, those whose full sets are similar enough.
+    """Of pairs ``(a, digest_a, b, digest_b)`` of nodes, the links ``(a, b)``: those whose full sets are similar enough.
 
-    The pairs come sorted by their hub, so that its set is made once for many.
+    A hub ``a`` and its members ``b`` come to one task, or, from ``HUB_PART``
+    members on, to as many as it takes; the hub's text goes once to each, ahead
+    of the members, and its set is made once there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hub = None, set()
+        hub: set = set()
         for batch in batches:
             out_a, out_b = [], []
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in range(batch.num_rows):
-                raw = batch.column(2)[k].as_buffer().to_pybytes()
-                if raw != key:
-                    key, hub = raw, shingle_set(raw, width)
-                other = shingle_set(batch.column(3)[k].as_buffer().to_pybytes(), width)
-                same = len(hub & other)
-                if 100 * same >= percent * (len(hub) + len(other) - same):
+                own = shingle_set(batch.column(2)[k].as_buffer().to_pybytes(), width)
+                if b[k] is None:
+                    hub = own
+                    continue
+                same = len(hub & own)
+                if 100 * same >= percent * (len(hub) + len(own) - same):
                     out_a.append(a[k])
                     out_b.append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    left = texts.select(F.col("doc_id").alias("b"), F.col("fp_a").alias("fp_b"), F.col("text").alias("text_b"))
-    right = texts.select(F.col("doc_id").alias("a"), F.col("fp_a"), F.col("text").alias("text_a"))
-    full = pairs.join(left, ["b", "fp_b"]).join(right, ["a", "fp_a"]).select("a", "b", "text_a", "text_b")
-    return full.sortWithinPartitions("a").mapInArrow(run, "a long, b long").distinct()
+    pairs = written(pairs)
+    hub = ["a", "digest_a"]
+    big = pairs.groupBy(*hub).agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts")).where("parts > 1")
+    dealt = written(
+        pairs.join(small(written(big)), hub, "left").withColumn("part", F.pmod(F.xxhash64("b", "digest_b"), F.coalesce(F.col("parts"), F.lit(1))).cast("int")).drop("parts")
+    )
+    released(pairs)
+    members = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("digest").alias("digest_b"), "text"), ["b", "digest_b"])
+    hubs = dealt.select(*hub, "part").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("digest").alias("digest_a"), "text"), hub)
+    full = members.select(*hub, "part", "b", "text").unionByName(hubs.select(*hub, "part", F.lit(None).cast("long").alias("b"), "text"))
+    met = full.repartition(*hub, "part").sortWithinPartitions(*hub, "part", F.col("b").asc_nulls_first())
+    return met.select("a", "b", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -286,57 +294,60 @@ def near_duplicates(
     A-Z lower-cased; a text of fewer words is one shingle). ``component_id`` is
     the smallest id reachable over links and ``kept`` marks that document.
 
-    Equal sets are one node from the start, whatever their number. In each
-    bucket all members are held against one, its hub, so a bucket costs its
+    Texts of equal words in equal order, by a 128-bit cryptographic digest, are
+    one node from the start, whatever their number; all other links are
+    confirmed on full sets. In each bucket all members are held against one, its hub, so a bucket costs its
     size; buckets whose members still lie in several components get a second
     hub, and after ``STAR_ROUNDS`` every pair that lies in two components is
     compared. No bucket is cut short.
 
-    Null or wordless texts have an empty set and are linked with nothing. Rows
-    that share an id are one document that has the links of all of them. Rows
+    Null or wordless texts have an empty set and are linked with nothing. A very
+    long text is held by one task at a time, with its set. Rows that share an id are one document that has the links of all of them. Rows
     without an id get a null component and are kept. Other columns are ignored;
     an empty table gives an empty result.
     """
     sign = written(signatures(docs, width, id_col, text_col))
     some = sign.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    group = ["n_shingles", "fp_a", "fp_b"]
-    first = some.groupBy(*group).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(first)
+    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     reps = written(
-        some.join(small(classes.select(F.col("rep").alias("doc_id"), *group)), ["doc_id", *group], "left_semi")
-        .select("doc_id", "n_shingles", "fp_a", "keys", "sig")
-        .dropDuplicates(["doc_id", "fp_a"])
+        some.join(small(classes.select(F.col("rep").alias("doc_id"), "digest")), ["doc_id", "digest"], "left_semi")
+        .select("doc_id", "n_shingles", "digest", "keys", "sig")
+        .dropDuplicates(["doc_id", "digest"])
     )
+    several = classes.where("n > 1")
     copies = (
-        some.select("doc_id", *group)
-        .join(classes.where("copies > 1"), group)
+        spread_join(some.select("doc_id", "digest"), several.select("digest", "rep"), "digest", counts=several.select("digest", "n"))
         .where(F.col("doc_id") != F.col("rep"))
         .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     )
 
     met = reps.select(F.explode("keys").alias("key"), "doc_id")
-    shared = met.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    buckets = written(met.join(shared.select("key", "hub"), "key"))
+    shared = written(met.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("hub < last").drop("last"))
+    buckets = written(spread_join(met, shared.select("key", "hub"), "key", counts=shared.select("key", "n")))
+    released(shared)
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     texts = written(
         raw.join(small(written(buckets.select("doc_id").distinct())), "doc_id", "left_semi").mapInArrow(
-            _with_fingerprint(width), "doc_id long, fp_a long, text binary"
+            _with_digest, "doc_id long, digest binary, text binary"
         )
     )
-    facts = reps.select("doc_id", "n_shingles", "fp_a", "sig")
+    facts = reps.select("doc_id", "n_shingles", "digest", "sig")
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs ``(a, b)``."""
-        x = facts.select(*(F.col(c).alias(f"{c}_x") for c in facts.columns))
-        y = facts.select(*(F.col(c).alias(f"{c}_y") for c in facts.columns))
+        x = facts.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n_shingles", "digest", "sig")))
+        y = facts.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n_shingles", "digest", "sig")))
+        pairs = written(pairs)
         likely = (
-            pairs.join(x, F.col("a") == F.col("doc_id_x"))
-            .join(y, F.col("b") == F.col("doc_id_y"))
-            .where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
-            .where(estimate(F.col("sig_x"), F.col("sig_y")) >= floor_of(percent))
-            .select("a", F.col("fp_a_x").alias("fp_a"), "b", F.col("fp_a_y").alias("fp_b"))
+            spread_join(pairs, x, "a")
+            .join(y, "b")
+            .where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+            .where(estimate(F.col("sig_a"), F.col("sig_b")) >= floor_of(percent))
+            .select("a", "digest_a", "b", "digest_b")
         )
-        return written(_confirmed(likely, texts, width, percent))
+        out = written(_confirmed(likely, texts, width, percent))
+        released(pairs)
+        return out
 
     links = checked(
         buckets.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -381,7 +392,7 @@ def _pairs_left(members: DataFrame, reps: DataFrame, texts: DataFrame, width: in
     """
     ids = written(members.select("doc_id").distinct())
     sure = long_signatures(texts.join(small(ids), "doc_id", "left_semi"), width)
-    facts = reps.join(small(ids), "doc_id", "left_semi").select("doc_id", "fp_a", "n_shingles", "keys").join(sure, ["doc_id", "fp_a"]).drop("fp_a")
+    facts = reps.join(small(ids), "doc_id", "left_semi").select("doc_id", "digest", "n_shingles", "keys").join(sure, ["doc_id", "digest"]).drop("digest")
     outside = (F.col("component") != F.col("hub.component")).alias("outside")
     sizes = members.groupBy("key").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks_y"),
@@ -456,25 +467,11 @@ def _pairs_left(members: DataFrame, reps: DataFrame, texts: DataFrame, width: in
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_fingerprint(width: int):
-    """Adds to each text the fingerprint by which rows that share an id are told apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(width)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    texts = [b"" if t is None else t for t in part.column(1).to_pylist()]
-                    values, counts = hasher.sets(texts)
-                    fp = np.zeros(len(texts), np.int64)
-                    some = counts > 0
-                    if some.any():
-                        full = counts[some]
-                        fp[some] = np.add.reduceat(_mixed(values + np.uint64(1)), np.cumsum(full) - full).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), part.column(1)], ["doc_id", "fp_a", "text"])
-
-    return run
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each text the digest by which rows that share an id are told apart."""
+    for batch in batches:
+        digests = [digest_of(b"" if t is None else t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), batch.column(1)], ["doc_id", "digest", "text"])
 
 
 def oracle(width: int, percent: int = 80) -> str:

@@ -562,3 +562,24 @@ def test_secret_stretches(spark):
         assert found == want, (text, found, want)
         assert found or i in (3, 5, 6), text
     assert all(got[100 + i] == "" for i in range(30))
+
+
+def test_hashes_keep_words_apart(spark):
+    """Words that a polynomial over powers of two can't tell apart, long words, and equal sets in another order."""
+    thue = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b] for b in thue), "".join("ba"[b] for b in thue))
+    long = "x" * 300
+    rows = [(1, one), (2, two), (3, long), (4, long[:-1] + "y"), (5, long[:100] + "z" + long[101:]), (6, "p q r p q"), (7, "q r p q r"), (8, "P  q\nr p q"), (8, one)]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1), (7, 1), (8, 1), (8, 1)]
+
+
+def test_joins_spread_hot_keys(spark):
+    from terrace.llm.common import spread_join, written
+
+    rows = written(spark.range(3000).select(F.when(F.col("id") % 3 < 2, 7).when(F.col("id") % 2 == 0, F.col("id")).alias("k"), "id"))
+    facts = spark.createDataFrame([(7, "hot"), (8, "cold"), (None, "none")], "k long, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(facts, "k", how).collect()), key=repr)
+        got = spread_join(rows, facts, "k", how, part=100)
+        assert sorted(map(tuple, got.select("k", "id", "v").collect()), key=repr) == want
