@@ -12,11 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Elements whose text is not shown as text.
+UNSEEN = frozenset("head title script style noscript template iframe svg math canvas object audio video select option textarea".split())
 #: Elements whose text never is content.
-SKIPPED = frozenset(
-    "head title nav footer aside form script style noscript template iframe svg math canvas object audio video button select option "
-    "textarea input label fieldset dialog menu".split()
-)
+SKIPPED = UNSEEN | frozenset("nav footer aside form button input label fieldset dialog menu".split())
 #: Elements whose content is not markup.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +55,8 @@ MOST_LINKED = 0.8
 NAMED_SHARE = 0.5
 #: Share of the content's characters that the main element must hold.
 MAIN_SHARE = 0.75
+#: Share of an article's characters that content paths must hold for the article to be taken with its other paths.
+CONTENT_SHARE = 0.5
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)>?",
@@ -73,6 +74,7 @@ class Block:
     path: str
     tag: str
     open: tuple[int, ...]
+    removed: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -115,7 +117,7 @@ def _surrounds(tag: str, attributes: str) -> int:
 
 
 def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
-    """Blocks of text outside skipped elements in page order, and the tag of each element they name.
+    """Blocks of text in page order, and the tag of each element they name; ``removed`` are those in skipped elements.
 
     An element that is skipped for its class or id alone stays if it holds the
     page's main part, an article without such a name, or, where none stands
@@ -143,19 +145,24 @@ def _parsed(html: str, spared: set[int] | None) -> tuple[list[Block], dict[int,
     tags: dict[int, str] = {}
     out: list[Block] = []
     current: Block | None = None
-    skip = links = number = at = 0
+    skip = unseen = links = number = at = 0
     article = 0
 
     def text(raw: str) -> None:
         nonlocal current, seen
-        if skip or not raw:
+        if unseen or not raw:
             return
-        seen += len(raw.strip())
+        if not skip:
+            seen += len(raw.strip())
+        if current is not None and current.removed != bool(skip):
+            if skip:  # a skipped element within a line
+                return
+            flush()
         if current is None:
             if raw.isspace():
                 return
             shown = [(t, n) for t, n, _ in stack if t not in INLINE]
-            current = Block("/".join(t for t, _ in shown), shown[-1][0] if shown else "", tuple(n for _, n in shown))
+            current = Block("/".join(t for t, _ in shown), shown[-1][0] if shown else "", tuple(n for _, n in shown), bool(skip))
         raw = unescape(raw) if "&" in raw else raw
         current.pieces.append(raw)
         if links:
@@ -170,13 +177,14 @@ def _parsed(html: str, spared: set[int] | None) -> tuple[list[Block], dict[int,
             current = None
 
     def close(to: int) -> None:
-        nonlocal skip, links, article
+        nonlocal skip, unseen, links, article
         while len(stack) > to:
             tag, n, skipped = stack.pop()
             if n in began:
                 size, before, around = began[n]
                 named[n] = (seen - size, len(holders) - before, around)
             skip -= skipped
+            unseen -= tag in UNSEEN
             links -= tag == "a"
             article -= tag in CONTAINERS
 
@@ -229,6 +237,7 @@ def _parsed(html: str, spared: set[int] | None) -> tuple[list[Block], dict[int,
         tags[number] = tag
         stack.append((tag, number, skipped))
         skip += skipped
+        unseen += tag in UNSEEN
         links += tag == "a"
         article += tag in CONTAINERS
     text(html[at:])
@@ -239,16 +248,16 @@ def _parsed(html: str, spared: set[int] | None) -> tuple[list[Block], dict[int,
     return out, tags, named
 
 
-def fused_ratios(blocks: list[Block]) -> dict[str, float]:
-    """Per tag path: characters and punctuation a node, smoothed over neighbouring paths, multiplied.
+def fused_ratios(blocks: list[Block]) -> dict[tuple[str, bool], float]:
+    """Per tag path, removed or not: characters and punctuation a node, smoothed over neighbouring paths, multiplied.
 
     Paths follow each other as they first come in the page; each ratio is
     averaged with its neighbours by weights 1, 2, 1. Characters in links don't
     count as text.
     """
-    sums: dict[str, list[float]] = {}
+    sums: dict[tuple[str, bool], list[float]] = {}
     for b in blocks:
-        s = sums.setdefault(b.path, [0, 0, 0])
+        s = sums.setdefault((b.path, b.removed), [0, 0, 0])
         s[0] += max(0, len(b.text) - b.linked)
         s[1] += len(_PUNCTUATION.findall(b.text))
         s[2] += 1
@@ -262,30 +271,49 @@ def fused_ratios(blocks: list[Block]) -> dict[str, float]:
     return {p: t * m for p, t, m in zip(paths, text, marks, strict=True)}
 
 
+def content_paths(fused: dict[tuple[str, bool], float]) -> set[str]:
+    """The paths that are not removed and whose fused ratio reaches the spread of all paths' ratios.
+
+    Removed paths say what text around an article looks like, so they count in
+    the spread, but with no more than the largest ratio of the others.
+    """
+    own = {p: r for (p, removed), r in fused.items() if not removed}
+    if not own:
+        return set()
+    most = max(own.values())
+    least = min(pstdev([min(r, most) for r in fused.values()]), most)
+    return {p for p, r in own.items() if r >= least}
+
+
 def main_text(html: str) -> str:
     """The blocks of a page's article, joined by empty lines.
 
-    Paths whose fused ratio reaches the spread of all paths' ratios hold
-    content. The main element is the innermost one around ``MAIN_SHARE`` of the
-    content's characters. Content are the blocks on content paths in it; if it is
-    an article or the page's main part, all its blocks but those on paths of
-    links; else headings, and short blocks between content, too.
+    Content paths are those whose fused ratio passes the page's threshold. The
+    main element is the innermost one around ``MAIN_SHARE`` of the characters on
+    content paths. In it, blocks on content paths are kept, and others that are
+    headings or lie between such blocks. If it is an article or the page's main
+    part, or lies in one of which content paths make up ``CONTENT_SHARE`` of the
+    characters, all blocks of that are kept. Paths of links never are.
     """
-    blocks, tags = blocks_of(html)
+    everything, tags = blocks_of(html)
+    blocks = [b for b in everything if not b.removed]
     if not blocks:
         return ""
-    fused = fused_ratios(blocks)
-    least = min(pstdev(fused.values()) if len(fused) > 1 else 0.0, max(fused.values()))
+    content = content_paths(fused_ratios(everything))
     linked: dict[str, list[int]] = {}
+    size: dict[int, int] = {}
     for b in blocks:
         s = linked.setdefault(b.path, [0, 0])
         s[0] += b.linked
         s[1] += len(b.text)
     links = {p for p, (a, n) in linked.items() if a > MOST_LINKED * n}
-    chosen = [b.path not in links and fused[b.path] >= least for b in blocks]
+    chosen = [b.path in content and b.path not in links for b in blocks]
     within: dict[int, int] = {}
     total = 0
     for b, c in zip(blocks, chosen, strict=True):
+        if b.path not in links:
+            for n in b.open:
+                size[n] = size.get(n, 0) + len(b.text)
         if c:
             total += len(b.text)
             for n in b.open:
@@ -293,10 +321,10 @@ def main_text(html: str) -> str:
     if not total:
         return ""
     # numbers grow inwards, so the largest that holds enough is the innermost
-    main = max((n for n, size in within.items() if size >= MAIN_SHARE * total), default=None)
-    around = [b.open for b, c in zip(blocks, chosen, strict=True) if c and (main is None or main in b.open)]
-    holder = next((n for n in reversed(around[0]) if tags[n] in CONTAINERS and (main is None or n <= main)), None) if around else None
-    if holder is not None:
+    main = max((n for n, held in within.items() if held >= MAIN_SHARE * total), default=None)
+    around = next((b.open for b, c in zip(blocks, chosen, strict=True) if c and (main is None or main in b.open)), ())
+    holder = next((n for n in reversed(around) if tags[n] in CONTAINERS and (main is None or n <= main)), None)
+    if holder is not None and within[holder] >= CONTENT_SHARE * size[holder]:
         kept = [holder in b.open and b.path not in links for b in blocks]
     else:
         inside = [main is None or main in b.open for b in blocks]
