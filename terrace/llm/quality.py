@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import let, written
+from terrace.llm.common import BROADCAST_ROWS, let, spread_join, written
 
 #: A document fails by itself with fewer words, or with more than so many in a hundred repeated.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Symbols per hundred word characters, duplicate lines, repeated words per hundred that count as softer failures.
 MOST_SYMBOLS_PERCENT, MOST_DUP_LINES, SOFT_REPEATED_PERCENT = 10, 3, 30
-#: A host's shrunk rate of failing documents above which those of its documents with a softer failure go.
-HOST_LIMIT = 0.35
+#: A host is condemned if its shrunk rate of failing documents, less so many posterior deviations, is above all hosts' rate.
+HOST_DEVIATIONS = 0.5
 #: Bounds of the prior's strength, in documents.
-LEAST_STRENGTH, MOST_STRENGTH = 2.0, 10_000.0
+LEAST_STRENGTH, MOST_STRENGTH = 2.0, 200.0
 
 _WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -115,17 +115,19 @@ def judged(
     words or too many repeated ones, and softly (``soft_failed``) with too many
     symbols, duplicate lines or repeated words. Per host, the rate of documents
     with either failure is shrunk to the rate of all hosts by a beta prior whose
-    strength comes from the spread of the hosts' rates. Kept is a document that
-    does not fail, and of hosts whose shrunk rate is above ``HOST_LIMIT`` only
-    those that don't fail softly either: a host's record never condemns a clean
-    document.
+    strength comes from the spread of the hosts' rates. A host is condemned if it
+    is likely worse than hosts at large: if its shrunk rate, less
+    ``HOST_DEVIATIONS`` posterior deviations, is above the rate of all. Kept is a
+    document that does not fail, and of condemned hosts only those that don't
+    fail softly either: a host's record never condemns a clean document.
 
     Hosts are counted before the shuffle, so one with a third of all rows is one
-    row per task; their verdicts join back by name.
+    row per task; their verdicts join back by name, broadcast if there are few,
+    else with the rows of large hosts spread.
 
-    Null or wordless texts have zeroes everywhere and fail. A null host is a
-    host of its own. Repeated rows count each; an empty table gives an empty
-    result; other columns are ignored.
+    Null or wordless texts have zeroes everywhere and fail; long texts are
+    measured whole. A null host is a host of its own. Repeated rows and ids count
+    each; an empty table gives an empty result; other columns are ignored.
     """
     facts = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("_text")), "doc_id", "_text")
     rows = facts.select(
@@ -148,7 +150,7 @@ def judged(
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """``(host, host_rate)``: shrunk rates of failing documents."""
+    """``(host, n, host_rate, condemned)``: shrunk rates of failing documents and what they say of a host."""
     hosts = rows.groupBy("host").agg(
         F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("k")
     )
@@ -165,13 +167,20 @@ def host_rates(rows: DataFrame) -> DataFrame:
     strength = F.when(extra > 1e-9, F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), within / extra - 1))).otherwise(F.lit(MOST_STRENGTH))
     prior = sums.select(m.alias("_m"), strength.alias("_strength"))
     rate = (F.col("k") + F.col("_strength") * F.col("_m")) / (F.col("n") + F.col("_strength"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", F.round(rate, 6).alias("host_rate"))
+    deviation = F.sqrt(F.col("_r") * (1 - F.col("_r")) / (F.col("n") + F.col("_strength") + 1))
+    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("_r", rate)
+    worse = F.round(F.col("_r") - HOST_DEVIATIONS * deviation - F.col("_m"), 9) > 0
+    return shrunk.select("host", "n", F.round("_r", 6).alias("host_rate"), worse.alias("condemned"))
 
 
 def with_host_verdicts(rows: DataFrame) -> DataFrame:
-    rates = host_rates(rows).select(F.col("host").alias("_host"), "host_rate")
-    kept = ~F.col("base_failed") & ~(F.col("soft_failed") & (F.col("host_rate") > HOST_LIMIT))
-    return rows.join(rates, F.col("host").eqNullSafe(F.col("_host")), "left").select(
+    name = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))  # null hosts have a name to meet by, too
+    rates = written(host_rates(rows)).select(name.alias("_name"), "n", "host_rate", "condemned")
+    kept = ~F.col("base_failed") & ~(F.col("soft_failed") & F.col("condemned"))
+    named = rows.withColumn("_name", name)
+    facts = rates.select("_name", "host_rate", "condemned")
+    joined = named.join(F.broadcast(facts), "_name") if rates.count() <= BROADCAST_ROWS else spread_join(named, facts, "_name", counts=rates.select("_name", "n"))
+    return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host", "soft_failed", "host_rate"
     )
 
@@ -206,7 +215,8 @@ prior as (
   select k / n as m, (kk - k * (k / n) - (c - 1) * (k / n) * (1 - k / n)) / nullif(n - nn / n, 0) as extra from sums),
 strong as (
   select m, case when extra > 1e-9 then greatest({LEAST_STRENGTH}, least({MOST_STRENGTH}, m * (1 - m) / extra - 1)) else {MOST_STRENGTH} end as s from prior),
-rates as (select host, round((k + s * m) / (n + s), 6) as host_rate from hosts cross join strong)
+shrunk as (select host, n, m, s, (k + s * m) / (n + s) as r from hosts cross join strong),
+rates as (select host, round(r, 6) as host_rate, round(r - {HOST_DEVIATIONS}::double * sqrt(r * (1 - r) / (n + s + 1)) - m, 9) > 0 as condemned from shrunk)
 select ruled.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (soft_failed and host_rate > {HOST_LIMIT}) as kept, ruled.host, soft_failed, host_rate
+  not base_failed and not (soft_failed and condemned) as kept, ruled.host, soft_failed, host_rate
 from ruled left join rates on ruled.host is not distinct from rates.host"""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import ascii_lower
+from terrace.llm.common import BROADCAST_ROWS, ascii_lower, spread_join, written
 
 #: (rule, verdict); a rule is a host, then a path that starts with ``/``.
 RULES = (
@@ -19,10 +19,11 @@ RULES = (
 )
 #: Suffixes of two names, under which the registered domain has three.
 TWO_NAME_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za")
+_ADDRESS = "^[0-9]+(?:\\.[0-9]+){3}$"
 #: Pages of evidence that the level above is worth, where the data don't say.
-LEAST_STRENGTH, MOST_STRENGTH = 2.0, 200.0
-#: A host is blocked if its posterior rate of bad pages, less so many standard deviations, is above the limit.
-DEVIATIONS, LIMIT = 1.0, 0.5
+LEAST_STRENGTH, MOST_STRENGTH = 2.0, 20.0
+#: A host is blocked if its posterior rate of bad pages, less so many standard deviations, is above the rate of all pages.
+DEVIATIONS = 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -40,16 +41,17 @@ def bare_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), "\\.*(:[0-9]*)?$", "")
 
 
-def suffix_of(name: Column) -> Column:
-    """The public suffix, by the list of two-name suffixes, else the last name."""
-    two = "|".join(s.replace(".", "\\.") for s in TWO_NAME_SUFFIXES)
-    return F.regexp_extract(name, f"(?:^|\\.)({two}|[^.]*)$", 1)
+def suffix_of(name: Column, two_names: Sequence[str] = TWO_NAME_SUFFIXES) -> Column:
+    """The public suffix, by the list of two-name suffixes, else the last name; an IPv4 address is its own."""
+    two = "|".join(s.replace(".", "\\.") for s in two_names)
+    return F.when(name.rlike(_ADDRESS), name).otherwise(F.regexp_extract(name, f"(?:^|\\.)({two}|[^.]*)$", 1))
 
 
-def registered_of(name: Column) -> Column:
+def registered_of(name: Column, two_names: Sequence[str] = TWO_NAME_SUFFIXES) -> Column:
     """The registered domain: one name more than the suffix; the suffix itself if there is no more."""
-    two = "|".join(s.replace(".", "\\.") for s in TWO_NAME_SUFFIXES)
-    return F.coalesce(F.nullif(F.regexp_extract(name, f"(?:^|\\.)([^.]+\\.(?:{two}|[^.]*))$", 1), F.lit("")), name)
+    two = "|".join(s.replace(".", "\\.") for s in two_names)
+    more = F.regexp_extract(name, f"(?:^|\\.)([^.]+\\.(?:{two}|[^.]*))$", 1)
+    return F.when(name.rlike(_ADDRESS), name).otherwise(F.coalesce(F.nullif(more, F.lit("")), name))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -99,18 +101,20 @@ def _prior(groups: DataFrame, over: list[str]) -> DataFrame:
     return sums.select(*over, _rounded(m).alias("_rate"), _rounded(strength).alias("_strength"))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``(host, registered, suffix, pages, bad, mean, bound)`` from rows ``(host, bad)`` of labelled pages.
+def host_reputation(outcomes: DataFrame, two_names: Sequence[str] = TWO_NAME_SUFFIXES) -> DataFrame:
+    """``(host, registered, suffix, pages, bad, mean, bound, base)`` from rows ``(host, bad)`` of labelled pages.
 
-    The rate of bad pages of all labelled pages is the prior of a suffix, a
-    suffix's posterior mean that of its registered domains, and theirs that of
-    their hosts; at each level the strength comes from the spread among the
-    children of one parent. ``bound`` is the host's posterior mean less
+    The rate of bad pages of all labelled pages, ``base``, is the prior of a
+    suffix, a suffix's posterior mean that of its registered domains, and theirs
+    that of their hosts; at each level the strength comes from the spread among
+    the children of one parent. ``bound`` is the host's posterior mean less
     ``DEVIATIONS`` standard deviations. Hosts are counted first, so one host
-    with a third of all pages is one row here.
+    with a third of all pages is one row here, and written down, since every
+    level starts from them.
     """
+    name = F.col("host")
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = hosts.withColumn("registered", registered_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = written(hosts.withColumn("registered", registered_of(name, two_names)).withColumn("suffix", suffix_of(name, two_names)))
     domains = hosts.groupBy("registered", "suffix").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"))
 
@@ -118,9 +122,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         return _rounded((F.col("bad") + F.col("_strength") * F.col(rate)) / (F.col("pages") + F.col("_strength")))
 
     top = _prior(suffixes, [])
-    suffixes = suffixes.crossJoin(F.broadcast(top)).select("suffix", posterior("_rate").alias("_suffix_mean"))
+    suffixes = suffixes.crossJoin(F.broadcast(top)).select("suffix", posterior("_rate").alias("_suffix_mean"), F.col("_rate").alias("base"))
     in_suffix = _prior(domains, ["suffix"]).drop("_rate")
-    domains = domains.join(suffixes, "suffix").join(in_suffix, "suffix").select("registered", posterior("_suffix_mean").alias("_domain_mean"))
+    domains = domains.join(suffixes, "suffix").join(in_suffix, "suffix").select("registered", posterior("_suffix_mean").alias("_domain_mean"), "base")
     in_domain = _prior(hosts, ["registered"]).drop("_rate")
     mean = posterior("_domain_mean")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("pages") + F.col("_strength") + 1))
@@ -129,7 +133,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         .join(in_domain, "registered")
         .withColumn("mean", mean)
         .withColumn("bound", _rounded(F.col("mean") - DEVIATIONS * deviation))
-        .select("host", "registered", "suffix", "pages", "bad", "mean", "bound")
+        .select("host", "registered", "suffix", "pages", "bad", "mean", "bound", "base")
     )
 
 
@@ -144,17 +148,21 @@ def judged_urls(
     rules: Sequence[tuple[str, str]] = RULES,
     id_col: str = "page_id",
     url_col: str = "url",
+    two_names: Sequence[str] = TWO_NAME_SUFFIXES,
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict, bound)``, one row per row of ``pages``.
 
     The longest rule that fits decides; where none does, the host's reputation:
     pages whose document is labelled of poor quality or toxic are bad, others
-    with a label good, and a host whose posterior ``bound`` is above ``LIMIT``
-    is blocked. A host without labelled pages has no verdict against it.
+    with a label good, and a host that is likely worse than pages at large, its
+    posterior ``bound`` being above the rate of all, is blocked. A host without
+    labelled pages has no verdict against it. Bounds join back by host, broadcast
+    if there are few, else with the pages of large hosts spread.
 
     Null urls and those without ``://`` have an empty host and path, fit no rule
     and are allowed unless such pages themselves have a bad record. Repeated
-    pages count each; repeated labels of a document count as one, bad if any is.
+    pages and null ids count each; long urls are read whole; repeated labels of a
+    document count as one, bad if any is.
     Null labels are not labels. Empty tables of pages or labels give an empty
     result or rules only; other columns are ignored.
     """
@@ -169,10 +177,14 @@ def judged_urls(
         .agg(F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
     )
     outcomes = seen.select(F.col("_name").alias("host"), label_key(F.col("path")).alias("_doc")).join(known, "_doc").select("host", "bad")
-    bounds = host_reputation(outcomes).select(F.col("host").alias("_name"), "bound")
+    bounds = written(host_reputation(outcomes, two_names).select(F.col("host").alias("_name"), "bound", "base"))
+    if bounds.count() <= BROADCAST_ROWS:
+        joined = seen.join(F.broadcast(bounds), "_name", "left")
+    else:
+        joined = spread_join(seen, bounds, "_name", "left", counts=seen.groupBy("_name").agg(F.count("*").alias("n")))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("bound") > LIMIT, "block"), F.lit("allow"))
-    return seen.join(bounds, "_name", "left").withColumn("rule", rule).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound")
+    verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("bound") > F.col("base"), "block"), F.lit("allow"))
+    return joined.withColumn("rule", rule).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound")
 
 
 def oracle() -> str:
@@ -206,20 +218,22 @@ known as (
 outcomes as (
   select name as host, bad from named join known on doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1), '') as bigint)),
 hosts as (
-  select host, count(*) as pages, sum(bad)::bigint as bad, regexp_extract(host, '(?:^|\\.)({two}|[^.]*)$', 1) as suffix,
-    coalesce(nullif(regexp_extract(host, '(?:^|\\.)([^.]+\\.(?:{two}|[^.]*))$', 1), ''), host) as registered
+  select host, count(*) as pages, sum(bad)::bigint as bad,
+    case when regexp_matches(host, '{_ADDRESS}') then host else regexp_extract(host, '(?:^|\\.)({two}|[^.]*)$', 1) end as suffix,
+    case when regexp_matches(host, '{_ADDRESS}') then host
+      else coalesce(nullif(regexp_extract(host, '(?:^|\\.)([^.]+\\.(?:{two}|[^.]*))$', 1), ''), host) end as registered
   from outcomes group by host),
 domains as (select registered, suffix, sum(pages)::bigint as pages, sum(bad)::bigint as bad from hosts group by all),
 suffixes as (select suffix, sum(pages)::bigint as pages, sum(bad)::bigint as bad from domains group by all),
-suffix_means as (select suffix, {mean('rate')} as suffix_mean from suffixes cross join {prior('suffixes', '')}),
+suffix_means as (select suffix, rate as base, {mean('rate')} as suffix_mean from suffixes cross join {prior('suffixes', '')}),
 domain_means as (
-  select registered, {mean('suffix_mean')} as domain_mean
+  select registered, base, {mean('suffix_mean')} as domain_mean
   from domains join suffix_means using (suffix) join {prior('domains', 'suffix')} using (suffix)),
 host_means as (
-  select host, pages, strength, {mean('domain_mean')} as mean
+  select host, base, pages, strength, {mean('domain_mean')} as mean
   from hosts join domain_means using (registered) join {prior('hosts', 'registered')} using (registered)),
 bounds as (
-  select host as name, round(mean - {DEVIATIONS} * sqrt(mean * (1 - mean) / (pages + strength + 1)), 9) as bound from host_means),
+  select host as name, base, round(mean - {DEVIATIONS} * sqrt(mean * (1 - mean) / (pages + strength + 1)), 9) as bound from host_means),
 ruled as (select *, case {cases} end as rule from named left join bounds using (name))
-select page_id, host, path, rule, case {verdicts} when bound > {LIMIT} then 'block' else 'allow' end as verdict, bound
+select page_id, host, path, rule, case {verdicts} when bound > base then 'block' else 'allow' end as verdict, bound
 from ruled"""

@@ -583,3 +583,64 @@ def test_joins_spread_hot_keys(spark):
         want = sorted(map(tuple, rows.join(facts, "k", how).collect()), key=repr)
         got = spread_join(rows, facts, "k", how, part=100)
         assert sorted(map(tuple, got.select("k", "id", "v").collect()), key=repr) == want
+
+
+def test_quality_through_hosts(spark, monkeypatch):
+    """The posterior of hosts against plain Python, and other verdicts where it is taken away; null and repeated rows, no rows."""
+    rng = random.Random(8)
+    prose, junk = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
+    share = {"a": 0.5, "b": 0.1, "c": 0.1, "d": 0.2, None: 0.1, "one": 1.0}
+    rows = [(i, junk if rng.random() < share[h] else prose, "en", h, 0) for i, h in enumerate(["a", "b", "c", "d", None] * 30 + ["one"])]
+    rows += [rows[0], (None, junk, "en", "a", 0), (None, None, None, None, None)]
+    got = quality.judged(spark.createDataFrame(rows, DOCS).withColumn("n", F.lit("clash")).withColumn("_name", F.lit("clash"))).collect()
+    hosts = {}
+    for _, t, _, h, _ in rows:
+        n, k = hosts.get(h, (0, 0))
+        hosts[h] = (n + 1, k + (t != prose))
+    total, bad = (sum(v[i] for v in hosts.values()) for i in (0, 1))
+    m = bad / total
+    spread = sum(k * k / n for n, k in hosts.values()) - bad * m - (len(hosts) - 1) * m * (1 - m)
+    extra = spread / (total - sum(n * n for n, _ in hosts.values()) / total)
+    strength = min(200.0, max(2.0, m * (1 - m) / extra - 1)) if extra > 1e-9 else 200.0
+    condemned = set()
+    for h, (n, k) in hosts.items():
+        r = (k + strength * m) / (n + strength)
+        if r - 0.5 * (r * (1 - r) / (n + strength + 1)) ** 0.5 > m:
+            condemned.add(h)
+    assert "a" in condemned and not {"b", "c"} & condemned
+    assert len(got) == len(rows)
+    assert all(r.kept == (not r.base_failed and not (r.soft_failed and r.host in condemned)) for r in got)
+    assert any(r.kept != (not r.base_failed) for r in got)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    again = quality.judged(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_quality_verdicts_depend_on_hosts_of_like_rates(spark):
+    """Among hosts that differ little, the worst of them lose what fails softly."""
+    rng = random.Random(2)
+    prose, junk = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
+    rows = [(i, junk if rng.random() < 0.2 else prose, "en", f"h{i % 20}", 0) for i in range(1000)]
+    got = quality.judged(spark.createDataFrame(rows, DOCS)).collect()
+    gone = {r.host for r in got if not r.kept}
+    assert 0 < len(gone) < 10 and all(r.kept for r in got if not r.soft_failed)
+
+
+def test_reputation_of_awkward_pages(spark, monkeypatch):
+    kind, marks = "page_id long, url string", "doc_id long, quality int, toxic int"
+    empty, none = spark.createDataFrame([], kind), spark.createDataFrame([], marks)
+    assert urls.judged_urls(empty, none).count() == 0
+    pages = [(k, f"http://spam.net/en/{k}") for k in range(20)] + [(20 + k, f"http://h{k % 5}.fine.com/en/{20 + k}") for k in range(60)]
+    pages += [(None, "http://spam.net/x"), (None, None), (3, "http://spam.net/en/3"), (90, "http://10.0.0.7/en/4"), (91, "http://" + "a" * 50_000 + ".net/en/1" + "x" * 50_000)]
+    labels = [(k, int(k >= 20), 0) for k in range(80)] + [(3, 1, None), (3, 0, 0), (None, 0, 1), (25, None, None)]
+    df, lab = spark.createDataFrame(pages, kind).withColumn("verdict", F.lit("clash")).withColumn("bad", F.lit(1)), spark.createDataFrame(labels, marks)
+    got = urls.judged_urls(df, lab).collect()
+    assert len(got) == len(pages)
+    assert {r.verdict for r in got if r.host == "spam.net"} == {"block"}
+    assert {r.verdict for r in got if r.host.endswith("fine.com")} == {"allow"}
+    assert urls.judged_urls(df, none).where("verdict = 'block'").count() == 0
+    one = spark.createDataFrame([("10.0.0.7",), ("a.b.co.uk",), ("x.y.zz",), ("zz",)], "h string")
+    assert [tuple(r) for r in one.select(urls.suffix_of(F.col("h")), urls.registered_of(F.col("h"))).collect()] == [("10.0.0.7", "10.0.0.7"), ("co.uk", "b.co.uk"), ("zz", "y.zz"), ("zz", "zz")]
+    assert one.select(urls.registered_of(F.col("h"), ["y.zz"])).collect()[2][0] == "x.y.zz"
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, urls.judged_urls(df, lab).collect())) == sorted(map(repr, got))
