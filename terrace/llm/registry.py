@@ -24,7 +24,6 @@ def queries() -> dict[str, Query]:
         "op4_quality": lambda s, d: quality.judged(table(s, d, "documents")),
         "op5_urls": lambda s, d: urls.judged_urls(table(s, d, "pages"), table(s, d, "labels")),
         "op6_secrets": lambda s, d: secrets.production(table(s, d, "documents"), table(s, d, "labels")),
-        "op6_secrets_stretches": lambda s, d: secrets.production(table(s, d, "documents"), table(s, d, "labels"), stretches=True),
         "op7_tokens": lambda s, d: tokens.production(table(s, d, "documents")),
         "op8_shards": lambda s, d: sharding.byte_shards(table(s, d, "documents"), SHARDS),
         "op9_contamination": lambda s, d: contamination.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),

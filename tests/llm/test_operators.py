@@ -274,7 +274,7 @@ def test_secrets(spark):
         f"{digest} AKIA{'A1' * 8} AKIAAKIA {digest}{digest}",
         "api_key=AKIA" + "B" * 20 + " apikey:' x API_KEY=\"deadbeef00\"",
         "key qZ7Rt0pLx9Wm3Kd8Vb2Nc6Ys1Hg4Jf5 here",
-        "internationalization_of_everything_2 superlongidentifierName12 éqZ7Rt0pLx9Wm3Kd8Vb2Nc6Ys1Hg4Jf5",
+        "internationalization_of_everything_2 superlongidentifierName12 4465758382889437 SOME_UPPER_NAME_OF_DOCUMENTS",
         ("filler words " * 3000) + f"passwd={digest[:20]}",
     ]
     rows = [(i, t) for i, t in enumerate(texts)]
@@ -534,36 +534,79 @@ def test_html_names_alone_drop_no_article():
         assert html.main_text(page) == want, page
 
 
-def test_secret_stretches(spark):
-    key, path = "qZ7Rt0pLx9Wm3Kd8Vb2Nc6Ys1Hg4Jf5", "the/international/organisation/configures/something/interesting/"
-    texts = [f"key “{key}”", f"中文{key}", key[:19], "qZxRtkpLxQWmzKdJVbwNcXYsHgqJfB", path * 4 + key, "the international organisation über documents", None]
+def secret_model(spark):
     words_ = "the international organisation configures something interesting about documents and identifiers of user names"
     plain = [(100 + i, words_) for i in range(30)]
     labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
-    table = secrets.trained(spark.createDataFrame(plain, "doc_id long, text string"), labels)
+    return plain, labels, secrets.trained(spark.createDataFrame(plain, "doc_id long, text string"), labels)
+
+
+def test_secret_stretches(spark):
+    """The best stretch of each run against all stretches; letters beyond ASCII end runs, and no shape is asked of keys."""
+    key, path = "qZ7Rt0pLx9Wm3Kd8Vb2Nc6Ys1Hg4Jf5", "the/international/organisation/configures/something/interesting/"
+    plain, _, table = secret_model(spark)
     n, short = len(secrets.ALPHABET), "7"
     while len(short) < 16:  # a likely random string of 16 symbols
         at = secrets.ALPHABET.index(short[-1]) * n
         short += max((x for x in secrets.ALPHABET if x not in short), key=lambda x: table[at + secrets.ALPHABET.index(x)])
-    texts[2] = short
-    df = spark.createDataFrame([*enumerate(texts), *plain], "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in secrets.secrets(df, table, stretches=True).collect()}
+    texts = [f"key “{key}”", f"中文{key}", short, "qZxRtkpLxQWmzKdJVbwNcXYsHgqJfB", path * 4 + key, "the international organisation über documents", None, key[:15]]
+    texts += [f"token: {key} and {key}", f"secret=short {key}", "1593" * 8]
+    df = spark.createDataFrame([*enumerate(texts), *plain, (None, key), (7, key), (7, key)], "doc_id long, text string")
+    rows = secrets.secrets(df.withColumn("_base", F.lit("clash")).withColumn("_all", F.lit("clash")), table).collect()
+    assert len(rows) == df.count() and sorted(r.spans for r in rows if r.doc_id in (None, 7) and r.spans) == ["markov:0:31"] * 3
+    got = {r.doc_id: r.spans for r in rows if r.doc_id != 7}
     for i, text in enumerate(texts):
+        if i == 7:
+            continue
         want = []
-        for m in re.finditer(r"[A-Za-z0-9+/_=-]{2,}", text or ""):
+        masked = re.sub("token: " + key, " " * (7 + len(key)), text or "")
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", masked):
             c = [secrets.ALPHABET.index(x) for x in m[0]]
             p = [0]
             for a, b in zip(c, c[1:]):
                 p.append(p[-1] + table[a * n + b])
-            score, s, e = max((p[e] - p[s], -s, e) for s in range(len(p)) for e in range(s + 1, len(p)))
-            if score >= secrets.LEAST_RATIO:
-                want.append((m.start() - s, m.start() + e + 1))
-        found = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x]
+            score, _, s, e = max((p[e] - p[s], -e, s, e) for s in range(len(p)) for e in range(s + 1, len(p)))
+            e += 1
+            while s and m[0][s - 1].isalnum():
+                s -= 1
+            while e < len(m[0]) and m[0][e].isalnum():
+                e += 1
+            if score >= secrets.LEAST_RATIO and re.search("[A-Za-z]", m[0][s:e]):
+                want.append((m.start() + s, m.start() + e))
+        found = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("markov")]
         assert found == want, (text, found, want)
-        assert found or i in (3, 5, 6), text
+        assert found or i in (3, 5, 6, 10), text
     assert all(got[100 + i] == "" for i in range(30))
 
 
+def test_secrets_in_very_many_places(spark):
+    """Matches over several chunks stand where a plain search finds them, and their number costs no square of time."""
+    import time
+
+    _, _, table = secret_model(spark)
+    rng = random.Random(6)
+    one = "".join(f"{'é' * rng.randint(1, 3)} token={rng.getrandbits(40):010x} {rng.getrandbits(140):035x}\n" for _ in range(1300))
+    many = "token=0123456789 " * 60_000
+    df = spark.createDataFrame([(1, one), (2, many)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.secrets(df, table).collect()}
+    assert time.perf_counter() - start < 60
+    assert [s for s in got[1].spans.split(",") if not s.startswith("markov")] == base_spans(one)
+    assert got[2].n_assign == 60_000 and got[2].spans.endswith(f"assign:{17 * 59_999}:{17 * 60_000 - 1}")
+
+
+def test_secret_model_without_labels(spark):
+    """No labels leave the ordinary model even; labelled samples alone tell the two kinds apart."""
+    plain, labels, table = secret_model(spark)
+    docs = spark.createDataFrame([*plain, (1, "token=" + "zqzq" * 6)], "doc_id long, text string")
+    none = secrets.trained(docs, labels.limit(0))
+    at = lambda t, pair: t[secrets.ALPHABET.index(pair[0]) * len(secrets.ALPHABET) + secrets.ALPHABET.index(pair[1])]
+    assert at(none, "th") == pytest.approx(0, abs=700) and at(table, "th") < -1500
+    more = secrets.trained(docs, labels.unionByName(spark.createDataFrame([(1, 0, 1), (1, 0, None)], labels.schema)))
+    assert at(more, "zq") > at(table, "zq") + 300
+    assert secrets.production(docs.limit(0), labels).count() == 0
+
+
 def test_hashes_keep_words_apart(spark):
     """Words that a polynomial over powers of two can't tell apart, long words, and equal sets in another order."""
     thue = [bin(i).count("1") % 2 for i in range(1024)]
