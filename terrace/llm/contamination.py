@@ -1,21 +1,31 @@
-"""Benchmark passages in documents, by a prefix-filtered join of word windows."""
+"""Benchmark passages in documents, by a prefix-filtered join of word windows.
+
+Each window of an item is known by its rarest word, its prefix. A document is
+read once: where a prefix stands, the windows that could lie around it there are
+hashed, and those whose hash an item's window has too are joined with the items'
+windows and compared word by word. What the readers of documents hold of the
+benchmark are two filters and a table of counts, each of a fixed size.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import written
+from terrace.llm.common import small, spread_join, written
+from terrace.llm.hashing import hashed_words, mixed
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
-#: Bytes of benchmark text whose windows are held at a time; more are taken block by block.
-BLOCK_BYTES = 16 << 20
+#: Bits of each filter, and buckets in which words are counted for their rarity; collisions cost time, not results.
+FILTER_BITS, COUNT_BITS = 24, 18
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 20
 
 #: A-Z to a-z, other ASCII but digits to blanks; bytes above belong to words.
 _WORD = bytes(
@@ -28,108 +38,150 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD).split()
 
 
-def windows_of(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
-    if not words:
-        return set()
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-
+class Words:
+    """The words of some texts, end to end: ``owner`` is each one's text, ``first`` each text's first word."""
+
+    def __init__(self, texts: list[bytes]):
+        self.blob = b" ".join(texts).translate(_WORD) + b" "
+        data = np.frombuffer(self.blob, np.uint8)
+        self.starts, self.ends, self.hashes = hashed_words(data, data == 32)
+        edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.starts, edges)
+        self.counts = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(texts)), self.counts)
+
+    def window_hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the windows of ``n`` words from the words ``at``."""
+        with np.errstate(over="ignore"):
+            out = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                out = mixed(out * np.uint64(3) + self.hashes[at + k])
+        return out
+
+    def text(self, at: int, n: int) -> bytes:
+        """The words of a window with one blank between them."""
+        return b" ".join(self.blob[self.starts[at] : self.ends[at + n - 1]].split())
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of batches of about ``CHUNK`` bytes of text, with the texts; null texts are empty."""
+    for batch in batches:
+        begin, held, texts = 0, 0, []
+        for i, value in enumerate(batch.column(text)):
+            raw = value.as_buffer()
+            texts.append(b"" if raw is None else raw.to_pybytes())
+            held += len(texts[-1])
+            if held >= CHUNK:
+                yield batch.slice(begin, i + 1 - begin), texts
+                begin, held, texts = i + 1, 0, []
+        if texts:
+            yield batch.slice(begin), texts
+
+
+def rarity_of(benchmark: DataFrame, bits: int) -> np.ndarray:
+    """How often words stand in the benchmark, by the low ``bits`` bits of their hashes."""
+    buckets = 1 << bits
 
-class Index:
-    """Windows of items under the one word that any text holding them must have.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.int64)
+        for _, texts in _in_chunks(batches, 0):
+            counts += np.bincount((Words(texts).hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
 
-    A window is contained in a text only if all its words are, so a prefix of
-    one word in any fixed order is enough; the order is by rarity, so texts meet
-    as few windows as can be. Each window is kept with where in it that word
-    stands; a text's length and the word's place bound where it can lie.
-    """
+    counted = benchmark.select(F.col("text").cast("binary")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(buckets, np.int64)
+    for row in counted.collect():  # one row a bucket at most
+        out[row["bucket"]] = row["n"]
+    return out
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int, rarity: Counter):
-        owners: dict[tuple[bytes, ...], set[int]] = {}
-        for item, raw in items:
-            for window in windows_of(words_of(raw), size):
-                owners.setdefault(window, set()).add(item)
-        self.by_word: dict[bytes, list[tuple[int, tuple[bytes, ...], frozenset[int]]]] = {}
-        for window, of in owners.items():
-            k = min(range(len(window)), key=lambda i: (rarity[window[i]], window[i], i))
-            self.by_word.setdefault(window[k], []).append((k, window, frozenset(of)))
-
-    def hits(self, words: list[bytes]) -> tuple[set[int], set[int]]:
-        """Places of the words inside any window's occurrence, and the items whose windows occur."""
-        places: set[int] = set()
-        items: set[int] = set()
-        by_word = self.by_word
-        if by_word.keys().isdisjoint(words):
-            return places, items
-        n = len(words)
-        for at in [i for i, w in enumerate(words) if w in by_word]:
-            for k, window, of in by_word[words[at]]:
-                start = at - k
-                end = start + len(window)
-                if start >= 0 and end <= n and tuple(words[start:end]) == window:
-                    places.update(range(start, end))
-                    items |= of
-        return places, items
-
-
-def _vocabulary(items: list[tuple[int, bytes]]) -> set[bytes]:
-    return {w for _, raw in items for w in words_of(raw)}
-
-
-def rarity_of(docs: DataFrame, vocabulary: set[bytes]) -> Counter:
-    """In how many of all documents each word of a bounded vocabulary stands."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                raw = text.as_buffer()
-                if raw is not None:
-                    counts.update(vocabulary.intersection(words_of(raw.to_pybytes())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({bytes(r["word"]): r["n"] for r in counted.collect()})
-
-
-def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
-    """All items with an id and a text, in blocks of about ``limit`` bytes."""
-    block: list[tuple[int, bytes]] = []
-    held = 0
+def windows_of(benchmark: DataFrame, size: int, count_bits: int = COUNT_BITS) -> DataFrame:
+    """``(item_id, n, k, prefix, hash, words)``: an item's windows, each with its rarest word and where in it that stands."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
-    for item, raw in items.toLocalIterator():
-        block.append((item, bytes(raw)))
-        held += len(raw)
-        if held >= limit:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+    rarity = rarity_of(items.select("text"), count_bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _in_chunks(batches, 1):
+            words = Words(texts)
+            spans = np.where(words.counts >= size, words.counts - size + 1, np.minimum(words.counts, 1))
+            owner = np.repeat(np.arange(len(texts)), spans)
+            at = words.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(spans) - spans, spans)
+            length = np.minimum(words.counts, size)[owner]
+            hashes, prefix, place = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+            for n in np.unique(length):
+                mine = np.flatnonzero(length == n)
+                hashes[mine] = words.window_hashes(at[mine], int(n))
+                least = np.full(len(mine), np.iinfo(np.int64).max)
+                for k in range(int(n)):
+                    word = words.hashes[at[mine] + k]
+                    count = rarity[(word & np.uint64(len(rarity) - 1)).astype(np.int64)]
+                    rarer = (count < least) | ((count == least) & (word < prefix[mine]))
+                    least = np.where(rarer, count, least)
+                    prefix[mine] = np.where(rarer, word, prefix[mine])
+                    place[mine] = np.where(rarer, k, place[mine])
+            columns = [
+                part.column(0).take(pa.array(owner)), pa.array(length, pa.int32()), pa.array(place, pa.int32()), pa.array(prefix.view(np.int64)),
+                pa.array(hashes.view(np.int64)), pa.array([words.text(a, n) for a, n in zip(at, length, strict=True)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "n", "k", "prefix", "hash", "words"])
+
+    return items.mapInArrow(run, "item_id long, n int, k int, prefix long, hash long, words binary")
+
+
+def bits_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``2 ** bits`` bits in which those are set that the column ``h`` names by its low bits."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = hashes.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, int(h & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for row in rows.collect():  # one row for 64 bits at most
+        out[row["w"]] = row["b"]
+    return out
+
+
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & np.uint64(64 * len(bits) - 1)
+    return (bits.view(np.uint64)[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) != 0
+
+
+CANDIDATES = "_row long, doc_id long, n_words long, found array<struct<hash: long, n: int, words: binary, starts: array<int>>>"
+
+
+def candidates(docs: DataFrame, prefixes: np.ndarray, hashes: np.ndarray, places: dict[int, list[int]]) -> DataFrame:
+    """``CANDIDATES`` of rows ``(_row, doc_id, text)``: windows whose hash and prefix the filters hold.
+
+    ``places`` has, for each length of a window, the places at which prefixes
+    stand. A window must lie within its document: it starts no earlier than the
+    first word and ends no later than the last.
+    """
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32()), ("words", pa.binary()), ("starts", pa.list_(pa.int32()))]))
 
-def _scan(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, places, items = [], [], []
-            for text in batch.column(1):
-                raw = text.as_buffer()
-                words = [] if raw is None else words_of(raw.to_pybytes())
-                hit, of = index.hits(words)
-                counts.append(len(words))
-                places.append(sorted(hit))
-                items.append(sorted(of))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "n_words", "places", "items"])
-
-    return docs.select("_row", F.col("text").cast("binary")).mapInArrow(run, "_row long, n_words long, places array<int>, items array<long>")
-
-
-def contaminated(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    size: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
-    rare_in_corpus: bool = True,
-) -> DataFrame:
+        for part, texts in _in_chunks(batches, 2):
+            words = Words(texts)
+            found: list[dict] = [{} for _ in texts]
+            total = len(words.hashes)
+            prefix = np.flatnonzero(_held(prefixes, words.hashes))
+            for n, offsets in places.items():
+                may = np.zeros(total, bool)
+                for k in offsets:
+                    may[prefix[prefix >= k] - k] = True
+                at = np.flatnonzero(may[: max(0, total - n + 1)])
+                at = at[words.owner[at] == words.owner[at + n - 1]]
+                window = words.window_hashes(at, n)
+                for a, h in zip(*((x[_held(hashes, window)].tolist()) for x in (at, window.view(np.int64))), strict=True):
+                    doc = int(words.owner[a])
+                    text = words.text(a, n)
+                    found[doc].setdefault((h, n, text), []).append(a - int(words.first[doc]))
+            rows = [[{"hash": h, "n": n, "words": w, "starts": s} for (h, n, w), s in f.items()] for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(words.counts, pa.int64()), pa.array(rows, kind)], ["_row", "doc_id", "n_words", "found"]
+            )
+
+    return docs.select("_row", "doc_id", F.col("text").cast("binary")).mapInArrow(run, CANDIDATES)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, filter_bits: int = FILTER_BITS, count_bits: int = COUNT_BITS) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items)``, one row per row of ``docs``.
 
     A window is ``size`` consecutive words of an item, or all words of a shorter
@@ -138,68 +190,50 @@ def contaminated(
     ``items_sha256`` is the digest of their ids with commas between. Containment
     is checked word by word over whole texts.
 
-    The index goes to the executors and holds at most ``block_bytes`` of
-    benchmark text. A larger benchmark is taken in blocks: each is one more scan
-    of all documents, whose hits are then united by row; no item is left out.
-    Rarity is counted over all documents for the words of the block alone.
+    One scan of the documents, whatever the benchmark's size: it leaves a row a
+    document with its candidates, which are joined with the items' windows by
+    hash, those that very many documents have spread over tasks, and compared by
+    their words. The filters have a fixed size; a benchmark that fills them makes
+    more candidates, not other results.
 
-    Null or wordless texts have no words and no hits. Items without an id, text
-    or words have no windows; rows that share an item id are one item. Repeated
-    documents count each; empty tables give an empty result or no hits; other
-    columns are ignored.
+    Null or wordless texts have no words and no hits; long texts are read whole.
+    Items without an id, text or words have no windows; rows that share an item
+    id are one item. Repeated documents and null ids count each; empty tables
+    give an empty result or no hits; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    blocks = item_blocks(benchmark, block_bytes)
-    first = next(blocks, [])
-    second = next(blocks, None)
-
-    def index(items: list[tuple[int, bytes]]) -> Index:
-        rarity = rarity_of(docs, _vocabulary(items)) if rare_in_corpus and items else Counter(w for _, r in items for w in set(words_of(r)))
-        return Index(items, size, rarity)
-
-    if second is None:
-        found = _whole(rows, index(first))
-    else:
-        # rows need a name under which the hits of all blocks meet; it is fixed by writing it down
-        named = written(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"))
-        parts = written(_scan(named, index(first)))
-        for block in (b for rest in ([second], blocks) for b in rest):
-            parts = parts.unionByName(written(_scan(named, index(block))))
-        met = parts.groupBy("_row").agg(
-            F.max("n_words").alias("n_words"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        )
-        found = named.select("_row", "doc_id").join(met, "_row").drop("_row")
-    texts = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    return found.withColumn("items", texts).select(
+    index = written(windows_of(benchmark, size, count_bits).distinct())
+    places: dict[int, list[int]] = {}
+    for row in index.select("n", "k").distinct().collect():  # at most size * (size + 1) / 2 rows
+        places.setdefault(row["n"], []).append(row["k"])
+    prefixes, hashes = (bits_of(index.select(F.col(c).alias("h")), filter_bits) for c in ("prefix", "hash"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = written(candidates(rows, prefixes, hashes, places))
+    windows = index.groupBy("hash", "n", "words").agg(F.collect_set("item_id").alias("of"))
+    seen = written(found.where(F.size("found") > 0).select("_row", F.inline("found")))
+    same = windows.select("hash", F.col("n").alias("_n"), F.col("words").alias("_words"), "of")
+    hits = spread_join(seen, same, "hash").where("n = _n and words = _words")
+    spans = F.array_sort(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("n")).alias("e"))))))
+    met = hits.groupBy("_row").agg(spans.alias("_spans"), F.array_distinct(F.flatten(F.collect_list("of"))).alias("items"))
+    covered = F.aggregate(
+        "_spans",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
+        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["to"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")),
+        lambda a: a["n"],
+    )
+    met = small(written(met.select("_row", covered.alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"))))
+    out = found.select("_row", "doc_id", "n_words").join(met, "_row", "left")
+    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
+    return out.select(
         "doc_id",
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        "items",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        items.alias("items"),
     )
 
 
-def _whole(rows: DataFrame, index: Index) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, hits, items = [], [], []
-            for text in batch.column(1):
-                raw = text.as_buffer()
-                words = [] if raw is None else words_of(raw.to_pybytes())
-                hit, of = index.hits(words)
-                counts.append(len(words))
-                hits.append(len(hit))
-                items.append(list(of))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items"])
-
-    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>")
-
-
 def digest_of(items: set[int]) -> str:
     """``items_sha256`` of a set of item ids."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

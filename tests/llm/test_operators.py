@@ -307,12 +307,13 @@ def brute_hits(text, items):
     return len(w), len(places), sorted(map(str, found))
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_contamination(spark, docs, block):
+@pytest.mark.parametrize("bits", [24, 6])
+def test_contamination(spark, docs, bits):
+    """Against brute force; filters of very few bits hold everything and change nothing."""
     rows, df = docs
     items = [(1, rows[0][1]), (2, "one two"), (10, rows[5][1][:60]), (3, None), (4, "!!"), (None, "one"), (2, "ONE"), (5, " ".join(words(rows[9][1])[3:30]))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination.contaminated(df, bench, block_bytes=block).collect()
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("clash"))
+    got = contamination.contaminated(df.withColumn("_row", F.lit(0)), bench, filter_bits=bits, count_bits=min(bits, 18)).collect()
     assert len(got) == len(rows)
     want = sorted((str(i), *brute_hits(t, items)[:2], ",".join(brute_hits(t, items)[2])) for i, t, *_ in rows)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r["items"])) for r in got) == want
@@ -321,6 +322,17 @@ def test_contamination(spark, docs, block):
     assert contamination.contaminated(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_by_a_shared_window(spark):
+    """One passage in very many documents and items, windows that overlap, repeat, or lie at either end, and a long text."""
+    passage = " ".join(f"q{i}" for i in range(14))
+    texts = [f"{passage} tail"] * 9000 + [f"head {passage}", passage + " " + passage, " ".join(f"q{i}" for i in range(9)), "w " * 200_000 + passage, "q0 " + passage[3:].upper()]
+    items = [(i, passage) for i in range(3)] + [(7, "tail"), (8, "q5 q6 q5")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in contamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all((got[i].n_words, got[i].n_hit, got[i]["items"]) == (15, 15, ["0", "1", "2", "7"]) for i in range(9000))
+    assert [(got[9000 + i].n_words, got[9000 + i].n_hit) for i in range(5)] == [(15, 14), (28, 28), (9, 0), (200_014, 14), (14, 14)]
+
+
 def test_licenses(spark):
     texts = [
         None,
