@@ -14,7 +14,15 @@ from terrace.llm.contamination import words_of
 #: Phrases that always count, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: (label, template). ``<<optional>>..<</optional>>`` may be missing, ``<<any n>>`` is up to n words.
+#: Fixed value: the conditions that both licenses of this name share.
+BSD_2 = (
+    "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: <<any 2>> redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. <<any 2>> redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+#: Fixed values: (label, template), the wording that licenses ask their users to keep. ``<<optional>>..<</optional>>`` may
+#: be missing, ``<<any n>>`` is up to n words.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit", "released under the <<optional>>terms of the<</optional>> mit license"),
     (
@@ -31,23 +39,64 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "permission to use, copy, modify, and<<optional>>/or<</optional>> distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    ("bsd-2-clause", BSD_2),
     (
-        "bsd-2-clause",
-        "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: <<any 2>> redistributions of source code must retain the above copyright notice, this list of conditions and "
-        "the following disclaimer. <<any 2>> redistributions in binary form must reproduce the above copyright notice, this list of "
-        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "bsd-3-clause",
+        BSD_2 + " <<any 2>> neither the name of <<any 12>> nor the names of <<optional>>its<</optional>> <<optional>>the<</optional>> "
+        "<<any 3>> contributors may be used to endorse or promote products derived from this software without specific prior written "
+        "permission",
     ),
     ("apache-2.0", "licensed under the apache license <<optional>>version<</optional>> 2<<optional>>.0<</optional>>"),
-    ("apache-2.0", "licensed under the apache license version 2.0 (the license); you may not use this file except in compliance with the license"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2.0 (the <<optional>>quot<</optional>> license <<optional>>quot<</optional>>) you may not "
+        "use <<any 3>> except in compliance with the license. you may obtain a copy of the license at <<any 12>> unless required by "
+        "applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties "
+        "or conditions of any kind, either express or implied. see the license for the specific language governing permissions and "
+        "limitations under the license.",
+    ),
+    ("apache-2.0", "apache license version 2.0 january 2004 <<any 8>> terms and conditions for use, reproduction, and distribution"),
     ("gpl-3.0", "licensed under the <<optional>>terms of the<</optional>> gnu general public license <<optional>>version<</optional>> 3"),
+    ("gpl-2.0", "licensed under the <<optional>>terms of the<</optional>> gnu general public license <<optional>>version<</optional>> 2"),
+    *(
+        (
+            f"{label}-{version}.0" if len(version) == 1 else f"{label}-{version}",
+            f"is free software<<optional>>:<</optional>> you can redistribute it and/or modify it under the terms of the gnu {name} "
+            f"general public license as published by the free software foundation<<optional>>, either<</optional>> version {version} of the "
+            "license<<optional>>, or (at your option) any later version<</optional>>",
+        )
+        for label, name, version in (
+            ("gpl", "", "2"),
+            ("gpl", "", "3"),
+            ("lgpl", "lesser", "2.1"),
+            ("lgpl", "lesser", "3"),
+            ("agpl", "affero", "3"),
+        )
+    ),
+    (
+        "gpl",
+        "this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of "
+        "merchantability or fitness for a particular purpose. see the gnu general public license for more details",
+    ),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991"),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "gnu lesser general public license version 2.1 february 1999"),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007"),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with "
+        "this file, you can obtain one at <<any 8>> mozilla.org/mpl/2.0",
+    ),
+    ("mpl-2.0", "mozilla public license <<optional>>,<</optional>> <<any 1>> 2.0"),
     (
-        "gpl-3.0",
-        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as "
-        "published by the free software foundation, <<optional>>either<</optional>> version 3 <<any 12>> of the license",
+        "unlicense",
+        "this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, "
+        "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+        "by any means",
     ),
-    ("cc-by-nc", "licensed under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> cc by-nc <<any 1>>"),
-    ("cc-by-nc", "creative commons attribution<<optional>>-<</optional>>noncommercial <<any 1>>"),
+    ("cc-by-nc", "licensed under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> cc by-nc"),
+    ("cc-by-nc", "creative commons attribution<<optional>>-<</optional>>noncommercial"),
 )
 
 _MARK = re.compile(r"<<(/?optional|any (\d+))>>")
@@ -57,8 +106,9 @@ class Automaton:
     """Templates compiled into one set of states over words.
 
     A state has edges by word, and maybe an edge by any word; edges without a
-    word are folded away when compiling. What a template may leave out at its
-    ends is left out, since texts need not end there.
+    word are folded away when compiling. An optional part at either end of a
+    template makes no difference, since texts need not end there, and is left
+    out; a replaceable part there could not be told from any text, and is refused.
     """
 
     def __init__(self, templates: Sequence[tuple[str, str]]):
@@ -138,7 +188,7 @@ class Automaton:
 
 
 def _parsed(template: str) -> list:
-    """Words, numbers of replaceable words, and lists for optional parts; none of the latter two at the ends."""
+    """Words, numbers of replaceable words, and lists for optional parts; no optional parts that are at an end or have no word."""
     stack: list[list] = [[]]
     at = 0
     for mark in _MARK.finditer(template):
@@ -148,17 +198,21 @@ def _parsed(template: str) -> list:
             stack[-1].append(int(mark[2]))
         elif mark[1] == "optional":
             stack.append([])
+        elif len(stack) == 1:
+            raise ValueError("the end of an optional part has no start")
         else:
             done = stack.pop()
-            stack[-1].append(done)
+            if done:
+                stack[-1].append(done)
     stack[-1] += words_of(template[at:].encode())
     parts = stack.pop()
     if stack:
         raise ValueError("an optional part has no end")
-    while parts and not isinstance(parts[0], bytes):
-        parts.pop(0)
-    while parts and not isinstance(parts[-1], bytes):
-        parts.pop()
+    for end in (0, -1):
+        while parts and isinstance(parts[end], list):
+            parts.pop(end)
+    if not any(isinstance(p, bytes) for p in parts) or isinstance(parts[0], int) or isinstance(parts[-1], int):
+        raise ValueError("a template needs a word, and one before and after any replaceable part")
     return parts
 
 
@@ -199,8 +253,8 @@ def licenses(
     or replaceable. ``score`` is 1 with a template, 0.5 with phrases alone, else
     0. Words are runs of digits, letters and anything beyond ASCII.
 
-    Null or wordless texts have no words and no labels (the empty string).
-    Repeated rows count each; an empty table gives an empty result; other columns
+    Null or wordless texts have no words and no labels (the empty string). Long
+    texts are read whole, one at a time. Repeated rows and null ids count each; an empty table gives an empty result; other columns
     are ignored. The automaton depends on the templates alone; a text is read
     once, with a bounded set of states.
     """

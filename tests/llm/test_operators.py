@@ -359,6 +359,54 @@ def test_automaton_regions():
         assert bool(a.labels(licenses.words_of(text.encode()))) == want, text
 
 
+def template_pattern(template):
+    """A pattern over words with blanks between, by another reading of a template's marks."""
+    out, first = "", True
+    for piece in re.split(r"(<<optional>>|<</optional>>|<<any \d+>>)", template):
+        if piece == "<<optional>>":
+            out += "(?:"
+        elif piece == "<</optional>>":
+            out += ")?"
+        elif piece.startswith("<<any"):
+            out += "(?: [^ ]+){0,%s}" % piece[6:-2]
+        else:
+            out += "".join(f" {w}" for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", piece.lower()))
+    return re.compile(out.replace("(?:)?", "") + "(?= )")
+
+
+def test_licenses_against_patterns(spark):
+    """Notices as templates have them, with parts left out, filled, or broken, in null, repeated and very long rows."""
+    rng = random.Random(12)
+    texts = [None, "", "x" * 100_000 + " MIT License", "mit license " * 30_000]
+    for label, template in licenses.TEMPLATES:
+        for _ in range(6):
+            text = re.sub(r"<<optional>>((?:(?!<<optional>>).)*?)<</optional>>", lambda m: m[1] if rng.random() < 0.5 else " ", template)
+            text = re.sub(r"<</?optional>>", " ", re.sub(r"<<any (\d+)>>", lambda m: " w" * rng.randint(0, int(m[1]) + 1) + " ", text))
+            w = text.split(" ")
+            if rng.random() < 0.3:
+                w[rng.randrange(len(w))] = "broken"
+            texts.append("Before. " + " ".join(x.capitalize() if rng.random() < 0.1 else x for x in w) + " After.")
+    rows = [*enumerate(texts), (5, texts[5]), (None, "MIT License")]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    patterns = [(label, template_pattern(t)) for label, t in licenses.TEMPLATES]
+    want, several = [], set()
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        line = " " + " ".join(w) + " "
+        spots = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        own = {label for label, p in patterns if len(line) < 90_000 and p.search(line)}
+        several |= own
+        want.append((str(i), len(w), len(spots), min((k for k, _ in spots), default=None), max((k for k, _ in spots), default=None), ",".join(sorted({x for _, x in spots} | own))))
+    assert sorted(((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in got), key=repr) == sorted(want, key=repr)
+    assert several == {label for label, _ in licenses.TEMPLATES}
+
+
+def test_templates_that_are_refused():
+    for bad in ("<<any 2>> a", "a <<any 2>>", "<<optional>>x<</optional>> <<any 1>> b", "a <<optional>>b", "a b<</optional>>", "<<optional>>a<</optional>>", ""):
+        with pytest.raises(ValueError):
+            licenses.Automaton([("x", bad)])
+
+
 def test_html():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>"
