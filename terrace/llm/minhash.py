@@ -361,10 +361,11 @@ def near_duplicates(
         placed = written(placed)
         parts = (
             placed.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("doc_id", "component")).alias("hub"))
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("doc_id", "component")).alias("hub"), F.count("*").alias("n"))
             .where("low < high")
         )
-        open_ = written(placed.join(parts.select("key", "hub"), "key"))
+        parts = written(parts)
+        open_ = written(spread_join(placed, parts.select("key", "hub"), "key", counts=parts.select("key", "n")))
         if open_.isEmpty():
             break
         if done < STAR_ROUNDS - 1:
@@ -394,11 +395,13 @@ def _pairs_left(members: DataFrame, reps: DataFrame, texts: DataFrame, width: in
     sure = long_signatures(texts.join(small(ids), "doc_id", "left_semi"), width)
     facts = reps.join(small(ids), "doc_id", "left_semi").select("doc_id", "digest", "n_shingles", "keys").join(sure, ["doc_id", "digest"]).drop("digest")
     outside = (F.col("component") != F.col("hub.component")).alias("outside")
-    sizes = members.groupBy("key").agg(
+    sizes = written(members.groupBy("key").agg(
+        F.count("*").alias("n"),
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks_y"),
         F.ceil(F.sum((F.col("component") != F.col("hub.component")).cast("long")) / BLOCK).cast("int").alias("blocks_x"),
-    )
-    full = members.select("key", "doc_id", "component", outside).join(sizes, "key").join(written(facts), "doc_id")
+    ))
+    dealt = spread_join(members.select("key", "doc_id", "component", outside), sizes.drop("n"), "key", counts=sizes.select("key", "n"))
+    full = dealt.join(written(facts), "doc_id")
     own = F.xxhash64("doc_id")
     keep = ["key", "doc_id", "component", "n_shingles", "keys", "long_sig"]
     x = full.where("outside").select(
