@@ -28,16 +28,9 @@ def queries() -> dict[str, Query]:
         "op8_shards": lambda s, d: sharding.byte_shards(table(s, d, "documents"), SHARDS),
         "op9_contamination": lambda s, d: contamination.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_licenses": lambda s, d: licenses.licenses(table(s, d, "documents")),
-        "pipeline": _pipeline,
     }
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {

@@ -21,8 +21,8 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     ``slot`` counts a shard's documents from 0 in the same order. The law is
     ``bytes``; ``grown_shard`` is null, as it is for any law but ``key``.
 
-    One scan of the texts leaves a few numbers a document. These are dealt out
-    by ranges, each range is summed, the sums of all ranges (one row each) give
+    One scan of the texts leaves a few numbers a document, written down before
+    ranges are sampled from them. These are dealt out by ranges, each range is summed, the sums of all ranges (one row each) give
     every range its offset, and running sums inside the ranges do the rest: no
     task sees more than one range. Rows of one id are dealt out by checksum,
     size and place of origin, so that a repeated id doesn't fill one range.
@@ -32,12 +32,12 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     than documents leave shards empty; an empty table gives an empty result.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(
+    rows = written(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.monotonically_increasing_id().alias("_origin"),
-    )
+    ))
     order = ["doc_id", "text_crc32", "size", "_origin"]
     dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
