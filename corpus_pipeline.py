@@ -22,50 +22,71 @@ SHARDS = 24
 SHINGLE, SIMILARITY = 5, 80
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique ``_row``, which is fixed by writing it down with the texts."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "zstd")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique key, fixed by writing it down with the texts, and the key's name, which no column has."""
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "zstd"), name
 
 
-def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents whose ``_row`` is in ``rows``, by a semi join."""
-    return keyed.join(small(written(rows.select("_row"))), "_row", "left_semi").drop("_row")
+def _only(keyed: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """The documents whose key is among ``rows``, by a semi join."""
+    return keyed.join(small(written(rows)), name, "left_semi").drop(name)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    keyed = _keyed(docs)
-    return _only(keyed, quality.judged(keyed, "_row").where("kept").select(F.col("doc_id").alias("_row")))
+    """Documents that the quality rules keep.
+
+    Null, empty and wordless texts fail; long ones are judged whole. Each row has a
+    verdict of its own, also where it shares its id, has none, or comes again. A
+    null source is a host. No documents give none; other columns come along.
+    """
+    keyed, row = _keyed(docs)
+    return _only(keyed, row, quality.judged(keyed, row).where("kept").select(F.col("doc_id").alias(row)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id, a null id only where there is no other.
 
-    Rows are linked by their own texts, whatever their ids. Of rows that share the
-    smallest id, one stays, by a hash of text, language and source.
+    Rows are linked by their own texts, whatever their ids, so of repeated rows one
+    stays. Of rows that share the smallest id, one stays, by a hash of text, language
+    and source. Null and wordless texts are like no other and stay, each of them; long
+    texts are compared whole. No documents give none; other columns come along.
     """
-    keyed = _keyed(docs)
-    groups = minhash.near_duplicates(keyed, SHINGLE, SIMILARITY, "_row").select(F.col("doc_id").alias("_row"), "component_id")
-    names = keyed.select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text", "lang", "source").alias("_hash"))
-    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", "_row")
-    return _only(keyed, names.join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("_first")).select("_first._row"))
+    keyed, row = _keyed(docs)
+    groups = minhash.near_duplicates(keyed, SHINGLE, SIMILARITY, row).select(F.col("doc_id").alias(row), "component_id")
+    names = keyed.select(row, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text", "lang", "source").alias("_hash"))
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", row)
+    return _only(keyed, row, names.join(groups, row).groupBy("component_id").agg(F.min(order).alias("_first")).select(f"_first.{row}"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
-    keyed = _keyed(docs)
-    found = contamination.contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _only(keyed, found.where("not contaminated").select(F.col("doc_id").alias("_row")))
+    """Documents without a word inside a benchmark window.
+
+    Each row has a verdict of its own. Null and wordless texts have no such word and
+    stay; long ones are searched whole. No documents give none, no benchmark leaves
+    all; other columns come along.
+    """
+    keyed, row = _keyed(docs)
+    found = contamination.contaminated(keyed.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _only(keyed, row, found.where("not contaminated").select(F.col("doc_id").alias(row)))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the target weights, each at most once and whole."""
-    keyed = _keyed(docs)
-    return _only(keyed, mixing.production(keyed, max_epochs=1, row_col="_row"))
+    """Documents drawn to the target weights, each at most once and whole.
+
+    The document in which a quota ends is the last one drawn of its leaf, and comes
+    whole. Rows of one id or none are drawn one by one; a null language or source is
+    the name ``?``. Texts without words cost nothing and are drawn if they come before
+    their leaf's end. No documents give none; other columns come along.
+    """
+    keyed, row = _keyed(docs)
+    return _only(keyed, row, mixing.production(keyed, max_epochs=1, row_col=row).select(row))
 
 
 def balanced_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each document."""
+    """Shard and slot of each document, in order of id; null ids first, null texts of size 8, repeated rows each by itself."""
     return sharding.byte_shards(docs, SHARDS)
 
 
