@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import released, small, spread_join, written
 from terrace.llm.components import components
+from terrace.llm.hashing import hashed_words, mixed, stream
 
 #: 38 bands of 5: a pair of similarity 0.8 meets in none with probability 3e-7.
 BANDS, ROWS, HASHES, BITS = 38, 5, 192, 2
@@ -37,63 +38,29 @@ HUB_PART = 256
 #: Members of a bucket that are compared at a time when its pairs are.
 BLOCK = 2048
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _stream(n: int, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * _MIX)
-
-
-#: A value for each byte at each of the first places in a word; later places are mixed as they come.
-PLACES = 64
-with np.errstate(over="ignore"):
-    _BYTE = _stream(256, 11)
-    _PLACED = _mixed((_BYTE[None, :] + np.arange(PLACES, dtype=np.uint64)[:, None] * _MIX).ravel())
-_TIMES = _stream(HASHES, 13) | np.uint64(1)
-_PLUS = _stream(HASHES, 14)
-_BAND = _stream(BANDS * ROWS, 15) | np.uint64(1)
-_LONG_TIMES = _stream(LONG, 16) | np.uint64(1)
-_LONG_PLUS = _stream(LONG, 17)
+_TIMES = stream(HASHES, 13) | np.uint64(1)
+_PLUS = stream(HASHES, 14)
+_BAND = stream(BANDS * ROWS, 15) | np.uint64(1)
+_LONG_TIMES = stream(LONG, 16) | np.uint64(1)
+_LONG_PLUS = stream(LONG, 17)
 
 
 class Hasher:
-    """Shingle hashes of many texts at once, word by word over their bytes.
-
-    A word's hash is the mixed sum of its bytes' values, each mixed with the
-    byte's place first, so that no arithmetic between places makes words equal.
-    """
+    """Shingle hashes of many texts at once."""
 
     def __init__(self, width: int):
         self.width = width
 
     def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingle hashes of each text, ascending and end to end, and how many each has."""
-        blob = b" ".join(texts).lower() + b" "
-        data = np.frombuffer(blob, np.uint8)
-        space = _SPACE[data]
-        turns = np.flatnonzero(np.diff(space, prepend=True))
-        if len(turns) == 0:
-            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-        starts, ends = turns[0::2], turns[1::2]
-        begun = np.zeros(len(data), np.int64)
-        begun[starts] = starts
-        place = np.arange(len(data)) - np.maximum.accumulate(begun)
-        values = _PLACED[np.minimum(place, PLACES - 1) * 256 + data]
-        late = np.flatnonzero((place >= PLACES) & ~space)
-        values[late] = _mixed(_BYTE[data[late]] + place[late].astype(np.uint64) * _MIX)
-        values[space] = 0
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values, out=sums[1:])
-        words = _mixed(sums[ends] - sums[starts])
+        data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+        starts, _, words = hashed_words(data, _SPACE[data])
+        if not len(words):
+            return words, np.zeros(len(texts), np.int64)
         edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
         first = np.searchsorted(starts, edges)
         counts = np.diff(first)
@@ -101,10 +68,10 @@ class Hasher:
         owner = np.repeat(np.arange(len(texts)), spans)
         at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(spans) - spans, spans)
         length = np.minimum(counts, self.width)[owner]
-        got = length.astype(np.uint64) * _MIX
+        got = length.astype(np.uint64) * _STEP
         for k in range(self.width):
             there = k < length
-            got = np.where(there, _mixed(got * np.uint64(3) + words[np.minimum(at + k, len(words) - 1)]), got)
+            got = np.where(there, mixed(got * np.uint64(3) + words[np.minimum(at + k, len(words) - 1)]), got)
         order = np.lexsort((got, owner))
         got, owner = got[order], owner[order]
         new = np.ones(len(got), bool)
@@ -145,10 +112,10 @@ def _signed(texts: list[bytes], hasher: Hasher) -> list:
     if some.any():
         low = minima(values, counts[some])
         wide = low[: BANDS * ROWS].astype(np.uint64) * _BAND[:, None]
-        wide = _mixed(wide).reshape(BANDS, ROWS, -1)
+        wide = mixed(wide).reshape(BANDS, ROWS, -1)
         band = np.zeros((BANDS, wide.shape[2]), np.uint64)
         for r in range(ROWS):
-            band = _mixed(band * np.uint64(5) + wide[:, r])
+            band = mixed(band * np.uint64(5) + wide[:, r])
         keys[some] = band.T.view(np.int64)
         sig[some] = packed(low)
     return [counts, [digest_of(t) if k else None for t, k in zip(texts, counts, strict=True)], keys, sig]
