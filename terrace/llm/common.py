@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few numbers a row may be broadcast (some 40 MB when hashed).
-BROADCAST_ROWS = 300_000
+#: Rows up to which a table of a few numbers a row may be broadcast (some 12 MB when hashed, so that ten fit a small driver).
+BROADCAST_ROWS = 100_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -73,12 +73,12 @@ def released(df: DataFrame) -> None:
             _written[:] = [w for w in _written if w[1].rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to have at most ``rows`` rows, else as it is.
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``BROADCAST_ROWS`` rows, else as it is.
 
     Meant for tables of ``written``, where the count reads only file footers.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, part: int = 4000) -> DataFrame:

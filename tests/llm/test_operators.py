@@ -747,3 +747,20 @@ def test_reputation_of_awkward_pages(spark, monkeypatch):
     assert one.select(urls.registered_of(F.col("h"), ["y.zz"])).collect()[2][0] == "x.y.zz"
     monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
     assert sorted(map(repr, urls.judged_urls(df, lab).collect())) == sorted(map(repr, got))
+
+
+@pytest.mark.parametrize("name", ["near", "mix", "contaminated"])
+def test_joins_beyond_broadcast(spark, docs, monkeypatch, name):
+    """The same rows where no side is small enough to be broadcast."""
+    from terrace.llm import common
+
+    rows, df = docs
+    items = spark.createDataFrame([(1, rows[0][1]), (2, "one two")], "item_id long, text string")
+    make = {
+        "near": lambda: minhash.near_duplicates(df),
+        "mix": lambda: mixing.production(df),
+        "contaminated": lambda: contamination.contaminated(df, items),
+    }[name]
+    want = sorted(map(repr, make().collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, make().collect())) == want
