@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few numbers a row may be broadcast (some 12 MB when hashed, so that ten fit a small driver).
-BROADCAST_ROWS = 100_000
+#: Rows up to which a table of a few numbers a row may be broadcast (a few MB when hashed, so that many fit a small driver).
+BROADCAST_ROWS = 20_000
+#: Bitmaps of 4 KB, for 32,768 row numbers each, up to which row numbers are broadcast (32 MB).
+BROADCAST_BITMAPS = 8192
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -81,6 +83,33 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it the name of no column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def having(keyed: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose number ``key`` is in ``rows (key)``: a semi join that leaves wide rows where they are.
+
+    The numbers, from ``monotonically_increasing_id``, become bitmaps, a row for
+    each 32,768 numbers, which are broadcast up to ``BROADCAST_BITMAPS``, some 200
+    million rows; a broadcast of the numbers themselves would end at far fewer.
+    Beyond that the same semi join is shuffled.
+    """
+    number = F.col(key) + 1  # the functions below count buckets from 1
+    bucket, held = free_name(keyed, "_bucket"), free_name(keyed, "_bits")
+    named = rows.select(F.bitmap_bucket_number(number).alias(bucket), F.bitmap_bit_position(number).alias("_p"))
+    bits = written(named.groupBy(bucket).agg(F.bitmap_construct_agg("_p").alias(held)))
+    if bits.count() > BROADCAST_BITMAPS:
+        return keyed.join(rows, key, "left_semi").select(*keyed.columns)
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring(held, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return keyed.join(F.broadcast(bits), F.bitmap_bucket_number(number) == F.col(bucket)).where(is_set).select(*(F.col(c) for c in keyed.columns))
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, part: int = 4000) -> DataFrame:
     """``rows`` joined with ``facts`` on ``key``, a key with very many rows spread over several tasks.
 

@@ -764,3 +764,16 @@ def test_joins_beyond_broadcast(spark, docs, monkeypatch, name):
     want = sorted(map(repr, make().collect()))
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(map(repr, make().collect())) == want
+
+
+@pytest.mark.parametrize("most", [8192, 0])
+def test_rows_by_number(spark, monkeypatch, most):
+    from terrace.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BITMAPS", most)
+    keyed = common.written(spark.range(0, 90_000, 1, 3).select(F.col("id").alias("v"), F.monotonically_increasing_id().alias("k"), F.lit("clash").alias("_bucket"), F.lit("clash").alias("_bits")))
+    rows = keyed.where("v % 7 = 3 or v in (0, 32767, 32768, 89999)").select("k")
+    got = common.having(keyed, "k", rows)
+    assert got.columns == keyed.columns
+    assert sorted(r.v for r in got.collect()) == sorted(v for v in range(90_000) if v % 7 == 3 or v in (0, 32767, 32768, 89999))
+    assert common.having(keyed, "k", rows.limit(0)).count() == 0
