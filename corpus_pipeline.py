@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import contamination, minhash, mixing, quality, sharding
-from terrace.llm.common import small, table, written
+from terrace.llm.common import free_name, having, table, written
 
 #: Shards of the last stage.
 SHARDS = 24
@@ -24,15 +24,13 @@ SHINGLE, SIMILARITY = 5, 80
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a unique key, fixed by writing it down with the texts, and the key's name, which no column has."""
-    name = "_row"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name(docs, "_row")
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "zstd"), name
 
 
 def _only(keyed: DataFrame, name: str, rows: DataFrame) -> DataFrame:
-    """The documents whose key is among ``rows``, by a semi join."""
-    return keyed.join(small(written(rows)), name, "left_semi").drop(name)
+    """The documents whose key is among ``rows``."""
+    return having(keyed, name, written(rows)).drop(name)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
