@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrace.functions.numeric import safe_path
+
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one row has, with their number."""
@@ -32,6 +34,18 @@ def overlaps(df: DataFrame, by: list[str], start: str, end: str, identity: str)
     return df.withColumn("reaches", F.max(end).over(order)).where(F.col(start) < F.col("reaches")).select(*by, identity, start, "reaches")
 
 
+def listed(df: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """The rows whose name a list has, however often: a semi join."""
+    return df.join(names.select(name), name, "left_semi").select(*df.columns)
+
+
+def list_problems(df: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """``(name, code)`` of the entries of a list that are no safe path, come twice, or name nothing in ``df``."""
+    counted = names.groupBy(name).agg(F.count("*").alias("_n")).join(df.select(name).distinct().withColumn("_there", F.lit(True)), name, "left")
+    code = F.when(~safe_path(F.col(name)), "path").when(F.col("_n") > 1, "duplicate").when(F.col("_there").isNull(), "missing")
+    return counted.withColumn("code", code).where("code is not null").select(name, "code")
+
+
 def patched(old: DataFrame, new: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of touched keys replaced by those of ``new``, and gone where ``new`` has none."""
     return old.join(touched.select(*keys).distinct(), keys, "left_anti").unionByName(new.join(touched.select(*keys).distinct(), keys, "left_semi"))

@@ -54,3 +54,32 @@ def owners(df: DataFrame, axes: tuple[str, str, str] = ("bx", "by", "bz")) -> Da
     out = df.select(*axes).withColumn("_k", F.explode(steps))
     moved = out.select(*((F.col(axis) - F.col(f"_k.d{a}")).alias(axis) for a, axis in enumerate(axes)))
     return moved.where(" and ".join(f"{axis} >= 0" for axis in axes)).distinct()
+
+
+def cluster_of(x: Column, y: Column, depth: Column, size: tuple[int, int], range_: tuple[float, float], cells: tuple[int, int, int]) -> Column:
+    """The cell of a grid over the image and the logarithm of depth in which a pixel lies."""
+    part = F.log(depth / range_[0]) / F.log(F.lit(range_[1] / range_[0]))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(0.999999), part))
+
+    def cell(value: Column, n: int) -> Column:
+        return F.least(F.lit(n - 1), F.floor(value * n).cast("int"))
+
+    return (cell(inside, cells[2]) * cells[1] + cell(y / size[1], cells[1])) * cells[0] + cell(x / size[0], cells[0])
+
+
+def lit_by(pixels: DataFrame, lights: DataFrame, cluster: str) -> DataFrame:
+    """Each pixel with the lights of its cluster: an equi join on the cluster's number."""
+    return pixels.join(lights, cluster)
+
+
+def picked(ids: DataFrame, x: int, y: int, identity: str, depth: str) -> DataFrame:
+    """``(x, y, identity)``: the nearest thing at a pixel, the smaller id on ties; no row where nothing is."""
+    at = ids.where((F.col("x") == x) & (F.col("y") == y))
+    return at.groupBy("x", "y").agg(F.min(F.struct(depth, identity))[identity].alias(identity))
+
+
+def far_to_near(df: DataFrame, by: list[str], at: tuple[Column, Column, Column], eye: tuple[float, float, float], ordinal: str) -> DataFrame:
+    """Adds ``place``, from 1, in each group's order by squared distance from ``eye``, the farthest first, then by ``ordinal``."""
+    away = [c - e for c, e in zip(at, eye, strict=True)]
+    d = away[0] * away[0] + away[1] * away[1] + away[2] * away[2]
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(d.desc(), ordinal)))

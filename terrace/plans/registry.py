@@ -30,10 +30,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from terrace.plans import capture  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from terrace.plans import capture  # noqa: F401  registers its queries
+
     return dict(_SQL)
 
 
