@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.operators.graph import cut
+from terrace.operators.lineage import cut
 
 AXES = "xyz"
 
@@ -47,23 +47,51 @@ def moments(df: DataFrame, weight: str | None = None) -> DataFrame:
     return df.agg(*sums)
 
 
-def fitted(row) -> Similarity:
-    """The least-squares similarity of a row of ``moments``; raises if the source has no extent or is on a line."""
+def _centred(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Means of source and target, the covariance of target by source, and the source's variance; raises where no fit is possible."""
     w = float(row["w"] or 0)
     if (row["n"] or 0) < 3 or w <= 0:
         raise ValueError("at least three pairs are needed")
     ms, mt = (np.array([row[f"{p}{a}"] / w for a in AXES]) for p in "st")
     cov = np.array([[row[f"t{a}s{b}"] / w for b in AXES] for a in AXES]) - np.outer(mt, ms)
     var = sum(row[f"s{a}s{a}"] / w for a in AXES) - ms @ ms
-    u, d, vt = np.linalg.svd(cov)
+    d = np.linalg.svd(cov, compute_uv=False)
+    if "txtx" in row and sum(row[f"t{a}t{a}"] / w for a in AXES) - mt @ mt <= 1e-18:
+        raise ValueError("the targets lie in one place")
     if var <= 1e-18 or d[1] <= 1e-9 * max(d[0], 1e-300):
         raise ValueError("the points lie on a line or in one place")
-    sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
-    rotation = u @ np.diag(sign) @ vt
-    scale = float((d * sign).sum() / var)
+    return ms, mt, cov, float(var)
+
+
+def _whole(scale: float, rotation: np.ndarray, ms: np.ndarray, mt: np.ndarray, scales: tuple[float, float]) -> Similarity:
+    if not np.isfinite(scale) or not scales[0] <= scale <= scales[1]:
+        raise ValueError(f"the scale {scale} is out of bounds")
     return Similarity(scale, rotation, mt - scale * rotation @ ms)
 
 
+def fitted(row, scales: tuple[float, float] = (0.0, float("inf"))) -> Similarity:
+    """The least-squares similarity of a row of ``moments``, by singular values; raises if points are degenerate or the scale is out of bounds."""
+    ms, mt, cov, var = _centred(row)
+    u, d, vt = np.linalg.svd(cov)
+    sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
+    return _whole(float((d * sign).sum() / var), u @ np.diag(sign) @ vt, ms, mt, scales)
+
+
+def horn(row, scales: tuple[float, float] = (0.0, float("inf"))) -> Similarity:
+    """The same in closed form: the turn is the quaternion of the largest eigenvalue of a symmetric 4 x 4 matrix."""
+    ms, mt, cov, var = _centred(row)
+    s = cov.T  # source by target
+    n = np.empty((4, 4))
+    n[0, 0] = np.trace(s)
+    n[0, 1:] = n[1:, 0] = [s[1, 2] - s[2, 1], s[2, 0] - s[0, 2], s[0, 1] - s[1, 0]]
+    n[1:, 1:] = s + s.T - np.trace(s) * np.eye(3)
+    w, *v = np.linalg.eigh(n)[1][:, -1]
+    v = np.array(v)
+    skew = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    rotation = (w * w - v @ v) * np.eye(3) + 2 * np.outer(v, v) + 2 * w * skew
+    return _whole(float((rotation * cov).sum() / var), rotation, ms, mt, scales)
+
+
 def fit(df: DataFrame, weight: str | None = None) -> Similarity:
     return fitted(moments(df, weight).first())
 
@@ -140,11 +168,12 @@ def robust_fit(df: DataFrame, start: Similarity, tolerance: float, delta: float,
         seen = current.residual(df).where(F.col("residual") <= tolerance)
         weighted = seen.withColumn("_w", F.least(F.lit(1.0), F.lit(delta) / F.greatest(F.col("residual"), F.lit(1e-12))))
         row = moments(weighted, "_w").first()
-        state = (row["n"], seen.agg(F.sum(F.xxhash64(*[f"{p}{a}" for p in "st" for a in AXES]) % 1_000_003)).first()[0])
+        used = cut(seen.select(*(f"{p}{a}" for p in "st" for a in AXES)))
         current = fitted(row)
-        if state == before:
+        # the pairs themselves are compared, as many times as each comes
+        if before is not None and used.exceptAll(before).isEmpty() and before.exceptAll(used).isEmpty():
             break
-        before = state
+        before = used
     return current
 
 

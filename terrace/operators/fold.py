@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.numeric import finite
+
 
 def ordered_rows(df: DataFrame, by: list[str], order: list[str], columns: dict[str, Column], out: str = "rows") -> DataFrame:
     """``(*by, rows)``: each key's rows as an array of structs in the given order.
@@ -16,6 +21,61 @@ def ordered_rows(df: DataFrame, by: list[str], order: list[str], columns: dict[s
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
 
 
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}
+
+
+def sequential(
+    df: DataFrame, by: list[str], order: list[str], fields: dict[str, Column], keep: dict[str, Column], step: Callable[[object, tuple], tuple[object, tuple]], out: dict[str, str]
+) -> DataFrame:
+    """``(*by, *keep, *out)``: a row for each row, from a fold over each key's rows in order.
+
+    ``step(state, fields)`` gives the next state and the values of ``out``; the
+    first state is None. Rows are sorted by key and order and stream through a
+    task that holds one state, whatever a key's number of rows.
+    """
+    columns = [*(F.col(c) for c in by), *(v.alias(f"_k{i}") for i, v in enumerate(keep.values())), *(v.alias(f"_f{i}") for i, v in enumerate(fields.values()))]
+    rows = df.select(*columns, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *(f"_o{i}" for i in range(len(order))))
+    kinds = [rows.schema[i].dataType.simpleString() for i in range(len(by) + len(keep))]
+    names = [*by, *keep, *out]
+    n, m, end = len(by), len(by) + len(keep), len(by) + len(keep) + len(fields)
+    added_kinds = [_ARROW[kind] for kind in out.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            made: list[tuple] = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)
+            values = zip(*(batch.column(i).to_pylist() for i in range(m, end)), strict=True)
+            for k, v in zip(keys, values, strict=True):
+                if k != key:
+                    key, state = k, None
+                state, one = step(state, v)
+                made.append(one)
+            added = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(added_kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(m)), *added], names)
+
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, [*kinds, *out.values()], strict=True))
+    return dealt.mapInArrow(run, schema)
+
+
+def saturating_step(most: float, kind: str = "double") -> Callable[[Column, Column], Column]:
+    """One observation ``x (s, w)`` put into a state ``a (v, w, n)``, which is rounded to ``kind``."""
+
+    def step(a: Column, x: Column) -> Column:
+        grown = F.least(F.lit(float(most)), a["w"].cast("double") + x["w"])
+        part = F.least(x["w"], grown)
+        mean = (a["v"].cast("double") * (grown - part) + x["s"] * part) / grown
+        return F.struct(mean.cast(kind).alias("v"), grown.cast(kind).alias("w"), (a["n"] + 1).alias("n"))
+
+    return step
+
+
+def usable(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """Rows whose value and weight are finite and whose weight is positive."""
+    return df.where(finite(F.col(value)) & finite(F.col(weight)) & (F.col(weight) > 0))
+
+
 def saturating_mean(
     df: DataFrame,
     by: list[str],
@@ -32,20 +92,10 @@ def saturating_mean(
     ``single`` rounds the state to 32 bits after each step. Rows whose value or
     weight isn't finite, or whose weight isn't positive, are left out.
     """
-    from terrace.functions.numeric import finite
-
     kind = "float" if single else "double"
-    usable = df.where(finite(F.col(value)) & finite(F.col(weight)) & (F.col(weight) > 0))
-    rows = ordered_rows(usable, by, order, {"s": F.col(value).cast("double"), "w": F.col(weight).cast("double")})
-
-    def step(a: Column, x: Column) -> Column:
-        grown = F.least(F.lit(float(most)), a["w"].cast("double") + x["w"])
-        part = F.least(x["w"], grown)
-        mean = (a["v"].cast("double") * (grown - part) + x["s"] * part) / grown
-        return F.struct(mean.cast(kind).alias("v"), grown.cast(kind).alias("w"), (a["n"] + 1).alias("n"))
-
+    rows = ordered_rows(usable(df, value, weight), by, order, {"s": F.col(value).cast("double"), "w": F.col(weight).cast("double")})
     start = F.struct(F.lit(0.0).cast(kind).alias("v"), F.lit(0.0).cast(kind).alias("w"), F.lit(0).cast("long").alias("n"))
-    folded = rows.select(*by, F.aggregate("rows", start, step).alias("_a"))
+    folded = rows.select(*by, F.aggregate("rows", start, saturating_step(most, kind)).alias("_a"))
     return folded.select(*by, F.col("_a.v").alias("mean"), F.col("_a.w").alias("weight"), F.col("_a.n").alias("observations"))
 
 
@@ -55,6 +105,45 @@ def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str, most: f
     return out.select(*by, (F.col("_vw") / F.nullif(F.col("weight"), F.lit(0.0))).alias("mean"), "weight", "observations", (F.col("weight") > most).alias("saturated"))
 
 
+#: Verdicts by which a row is taken.
+TAKEN = ("first-frame", "useful-motion", "stationary-refresh")
+
+
+def verdict(last: tuple[float, float] | None, row: tuple, policy: dict[str, float]) -> str:
+    """What an admission policy says of a row ``(at, position, pending, depth, clipped, sharpness)`` after the last one taken.
+
+    Checks in this order: pending writes, depth, exposure, sharpness, first,
+    rate, motion, stationary refresh; what passes none has too little motion.
+    Null measures pass their check.
+    """
+    at, position, pending, depth, clipped, sharpness = row
+
+    def above(x: float | None, limit: float) -> bool:
+        return x is not None and x > limit
+
+    def below(x: float | None, limit: float) -> bool:
+        return x is not None and x < limit
+
+    if above(pending, policy["pending"]):
+        return "writer-pressure"
+    if below(depth, policy["depth"]):
+        return "unusable-depth"
+    if above(clipped, policy["clipped"]):
+        return "extreme-exposure"
+    if below(sharpness, policy["sharpness"]):
+        return "unusably-soft"
+    if last is None:
+        return "first-frame"
+    elapsed = None if at is None else at - last[0]
+    if below(elapsed, policy["interval"]):
+        return "rate-limited"
+    if position is not None and last[1] is not None and abs(position - last[1]) >= policy["motion"]:
+        return "useful-motion"
+    if elapsed is not None and elapsed >= policy["stationary"]:
+        return "stationary-refresh"
+    return "insufficient-motion"
+
+
 def admission(
     df: DataFrame,
     by: list[str],
@@ -68,47 +157,18 @@ def admission(
     keep: dict[str, Column],
     policy: dict[str, float],
 ) -> DataFrame:
-    """Each row's ``(accepted, reason)`` by a policy that compares with the last accepted row of its key.
+    """Each row's ``(accepted, reason)`` by a policy that compares with the last accepted row of its key: ``verdict``.
 
-    Checks in this order: pending writes, depth, exposure, sharpness, first,
-    rate, motion, stationary refresh; what passes none has too little motion.
-    ``position`` is a number or an expression over which ``abs`` of a difference
-    measures motion. Null measures pass their check.
+    ``position`` is a number; the size of its difference measures motion.
     """
-    columns = {"t": at, "p": position, "q": pending, "d": depth, "c": clipped, "s": sharpness} | keep
-    rows = ordered_rows(df, by, order, columns)
-    p = policy
 
-    def step(a: Column, x: Column) -> Column:
-        elapsed, motion = x["t"] - a["t"], F.abs(x["p"] - a["p"])
-        reason = (
-            F.when(x["q"] > p["pending"], "writer-pressure")
-            .when(x["d"] < p["depth"], "unusable-depth")
-            .when(x["c"] > p["clipped"], "extreme-exposure")
-            .when(x["s"] < p["sharpness"], "unusably-soft")
-            .when(a["t"].isNull(), "first-frame")
-            .when(elapsed < p["interval"], "rate-limited")
-            .when(motion >= p["motion"], "useful-motion")
-            .when(elapsed >= p["stationary"], "stationary-refresh")
-            .otherwise("insufficient-motion")
-        )
-        taken = reason.isin("first-frame", "useful-motion", "stationary-refresh")
-        row = F.struct(*(x[k].alias(k) for k in keep), taken.alias("accepted"), reason.alias("reason"))
-        return F.struct(
-            F.when(taken, x["t"]).otherwise(a["t"]).alias("t"),
-            F.when(taken, x["p"]).otherwise(a["p"]).alias("p"),
-            F.concat(a["out"], F.array(row)).alias("out"),
-        )
+    def step(last: tuple | None, row: tuple) -> tuple[object, tuple]:
+        reason = verdict(last, row, policy)
+        taken = reason in TAKEN
+        return ((row[0], row[1]) if taken and row[0] is not None else last), (taken, reason)
 
-    schema = rows.schema["rows"].dataType.elementType
-    kept = ",".join(f"{k}:{schema[k].dataType.simpleString()}" for k in keep)
-    start = F.struct(
-        F.lit(None).cast(schema["t"].dataType).alias("t"),
-        F.lit(None).cast(schema["p"].dataType).alias("p"),
-        F.array().cast(f"array<struct<{kept},accepted:boolean,reason:string>>").alias("out"),
-    )
-    done = rows.select(*by, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("_r"))
-    return done.select(*by, "_r.*")
+    fields = {"t": at, "p": position, "q": pending, "d": depth, "c": clipped, "s": sharpness}
+    return sequential(df, by, order, fields, keep, step, {"accepted": "boolean", "reason": "string"})
 
 
 def keyframes(
@@ -126,42 +186,32 @@ def keyframes(
     """Each row's ``(selected, reason, gap)``: chosen by how far it is from the last chosen row, not the last row.
 
     ``rejected`` is a reason to drop a row for itself, null if there is none.
-    After ``most_gap`` rows a quarter of the change is enough.
+    After ``most_gap`` rows a quarter of the change is enough. ``gap`` is the
+    number of rows since the last chosen one; null before the first.
     """
-    rows = ordered_rows(df, by, order, {"m": measure, "r": rejected.cast("string")} | keep)
-
-    def step(a: Column, x: Column) -> Column:
-        gap = a["i"] - a["at"]
-        change = F.abs(x["m"] - a["m"])
-        wanted = F.when(gap >= most_gap, least_change * 0.25).otherwise(least_change)
-        reason = (
-            F.when(x["r"].isNotNull(), x["r"])
-            .when(a["at"].isNull(), "sequence-start")
-            .when(gap < least_gap, "minimum-spacing")
-            .when(change > most_change, "appearance-discontinuity")
-            .when(change < wanted, "near-duplicate")
-            .when(gap >= most_gap, "maximum-gap")
-            .otherwise("useful-change")
-        )
-        taken = x["r"].isNull() & reason.isin("sequence-start", "maximum-gap", "useful-change")
-        row = F.struct(*(x[k].alias(k) for k in keep), taken.alias("selected"), reason.alias("reason"))
-        return F.struct(
-            (a["i"] + 1).alias("i"),
-            F.when(taken, a["i"]).otherwise(a["at"]).alias("at"),
-            F.when(taken, x["m"]).otherwise(a["m"]).alias("m"),
-            F.concat(a["out"], F.array(row)).alias("out"),
-        )
 
-    schema = rows.schema["rows"].dataType.elementType
-    kept = ",".join(f"{k}:{schema[k].dataType.simpleString()}" for k in keep)
-    start = F.struct(
-        F.lit(0).alias("i"),
-        F.lit(None).cast("int").alias("at"),
-        F.lit(None).cast(schema["m"].dataType).alias("m"),
-        F.array().cast(f"array<struct<{kept},selected:boolean,reason:string>>").alias("out"),
-    )
-    done = rows.select(*by, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("_r"))
-    return done.select(*by, "_r.*")
+    def step(state: tuple | None, row: tuple) -> tuple[object, tuple]:
+        i, at, held = state or (0, None, None)
+        value, reason = row
+        gap = None if at is None else i - at
+        change = None if value is None or held is None else abs(value - held)
+        if reason is None:
+            if gap is None:
+                reason = "sequence-start"
+            elif gap < least_gap:
+                reason = "minimum-spacing"
+            elif change is not None and change > most_change:
+                reason = "appearance-discontinuity"
+            elif change is not None and change < least_change * (0.25 if gap >= most_gap else 1):
+                reason = "near-duplicate"
+            else:
+                reason = "maximum-gap" if gap >= most_gap else "useful-change"
+            taken = reason in ("sequence-start", "maximum-gap", "useful-change")
+        else:
+            taken = False
+        return ((i + 1, i, value) if taken else (i + 1, at, held)), (taken, reason, gap)
+
+    return sequential(df, by, order, {"m": measure, "r": rejected.cast("string")}, keep, step, {"selected": "boolean", "reason": "string", "gap": "int"})
 
 
 def composite(

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators.lineage import cut
+
 
 def occurring_together(df: DataFrame, group: str, item: str) -> DataFrame:
     """``(a, b, n)`` with a < b: how many groups hold both items; groups of one item give none."""
@@ -43,16 +45,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the session's checkpoint folder; the folder is set to a temporary one only where there is none."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrace-"))
-    return df.checkpoint()
-
-
 def dependencies(uses: DataFrame) -> DataFrame:
     """``(pass, needs)`` from uses ``(pass, resource, mode)`` in order of pass: what must have run before.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators.lineage import cut
+
 
 def pixels_of(df: DataFrame, image: str, values: str, width: int) -> DataFrame:
     """An array of row-major values as pixels."""
@@ -47,9 +49,10 @@ def neighbourhood(pixels: DataFrame) -> DataFrame:
 
 
 def dilated(pixels: DataFrame, rounds: int = 1) -> DataFrame:
-    """Empty (null) pixels filled with the mean of their filled four neighbours, round by round."""
+    """Empty (null) pixels filled with the mean of their filled four neighbours, round by round; rounds are cut from each other."""
     steps = [(1, 0), (-1, 0), (0, 1), (0, -1)]
-    for _ in range(rounds):
+    for k in range(rounds):
+        pixels = cut(pixels) if k else pixels
         near = _moved(pixels.where("value is not null"), steps).groupBy("image", "x", "y").agg(F.avg("value").alias("_near"))
         pixels = pixels.join(near, ["image", "x", "y"], "left").select("image", "x", "y", F.coalesce("value", "_near").alias("value"))
     return pixels

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +95,29 @@ def skinned(vertices: DataFrame, influences: DataFrame, joints: DataFrame, verte
         return F.coalesce(x, F.col("xyz"[r]))
 
     return met.select(vertex, *(moved(r).alias(a) for r, a in enumerate("xyz")))
+
+
+def in_world(vertices: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """``vertices (.., x, y, z, nx, ny, nz)`` moved by a 4 x 4 matrix, the normals by its inverse turned over, of length one."""
+    turn = np.linalg.inv(np.asarray(matrix, float)[:3, :3]).T
+
+    def sums(rows: np.ndarray, fields: str, last: bool) -> list[Column]:
+        return [sum((float(rows[r][k]) * F.col(f) for k, f in enumerate(fields.split())), F.lit(float(rows[r][3]) if last else 0.0)) for r in range(3)]
+
+    places, normals = sums(np.asarray(matrix, float), "x y z", True), sums(turn, "nx ny nz", False)
+    moved = vertices.select(*(c for c in vertices.columns if c not in "x y z nx ny nz".split()), *(p.alias(a) for p, a in zip(places, "xyz", strict=True)), *(n.alias(f"n{a}") for n, a in zip(normals, "xyz", strict=True)))
+    size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    return moved.withColumn("_l", F.nullif(size, F.lit(0.0))).withColumns({f"n{a}": F.col(f"n{a}") / F.col("_l") for a in "xyz"}).drop("_l")
+
+
+def wound(triangles: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """``triangles (.., a, b, c)`` with two corners exchanged if the matrix mirrors, so that they face as before."""
+    if np.linalg.det(np.asarray(matrix, float)[:3, :3]) >= 0:
+        return triangles
+    return triangles.withColumns({"b": F.col("c"), "c": F.col("b")})
+
+
+def byte_colour(x: Column) -> Column:
+    """A colour in [0, 1] as a whole number from 0 to 255; NaN and null are 0."""
+    clean = F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), clean)) * 255 + 0.5).cast("int")

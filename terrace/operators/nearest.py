@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.operators.graph import cut
+from terrace.operators.lineage import cut
 
 #: Most rows of the right side that are held by every task at a time.
 MOST_HELD = 100_000

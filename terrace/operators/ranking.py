@@ -22,12 +22,11 @@ def best(df: DataFrame, by: list[str], keys: list[Column], ordinal: str, take: l
 def latest_valid(df: DataFrame, by: list[str], order: str, valid: Column, take: list[str]) -> DataFrame:
     """The newest row that is valid, and how many newer ones were rejected."""
     ok = df.withColumn("_ok", valid)
-    last = ok.groupBy(*by).agg(
-        F.max(F.when(F.col("_ok"), F.struct(order, *take))).alias("_b"),
-        F.collect_list(F.when(~F.col("_ok"), F.col(order))).alias("_bad"),
-    )
-    rejected = F.size(F.filter("_bad", lambda x: x > F.col("_b")[order])).cast("long")
-    return last.where("_b is not null").select(*by, "_b.*", rejected.alias("rejected"))
+    last = ok.where("_ok").groupBy(*by).agg(F.max(F.struct(order, *take)).alias("_b"))
+    bad = ok.where("_ok is null or not _ok").select(*by, F.col(order).alias("_at"))
+    newer = F.count_if(F.col("_at") > F.col("_b")[order])
+    counted = last.join(bad, by, "left").groupBy(*by).agg(F.first("_b").alias("_b"), newer.cast("long").alias("rejected"))
+    return counted.select(*by, "_b.*", "rejected")
 
 
 def quotas(df: DataFrame, kind: str, order: list[Column], limits: dict[str, int], slots: dict[str, int]) -> DataFrame:

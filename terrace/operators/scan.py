@@ -1,8 +1,8 @@
 """Prefix sums over whole tables, offsets and run-length ranges.
 
-A window without a partition key runs in one task. These scans sort into ranges,
-sum each range, and add to each the sum of all before: the one unpartitioned
-window sees a row per range.
+A window without a partition key runs in one task. These scans deal rows out by
+ranges of the whole order, sum each range, and add to each the sum of all before:
+the one unpartitioned window sees a row per range.
 """
 
 from __future__ import annotations
@@ -10,19 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators.lineage import cut
+
 
 def exclusive_scan(df: DataFrame, order: list[str], value: str, out: str, cap: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all rows before in ``order``; with a cap, ``overflowed`` marks what exceeds it.
 
-    ``order`` must identify rows. Ranges are cut by quantiles of the first
-    column, so that the plan gives the same cuts whenever a part of it is run
-    again; rows equal in it share a range.
+    ``order`` must identify rows, by columns of any type that sorts. Ranges are
+    cut by a sample of the whole order, so a first column with one frequent value
+    is cut as well, and are fixed by a checkpoint before sums are made of them.
     """
-    first = order[0]
-    bounds = df.agg(F.percentile_approx(first, [k / 64 for k in range(1, 64)], 10_000)).first()[0] or []
-    cuts = sorted(set(bounds))
-    array = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast(f"array<{df.schema[first].dataType.simpleString()}>")
-    ranged = df.withColumn("_range", F.size(F.filter(array, lambda c: c < F.col(first))))
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_s"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))

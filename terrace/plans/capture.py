@@ -496,3 +496,59 @@ def pinhole_files(read):
     text = F.concat_ws(" ", F.col("s_nationkey").cast("string"), F.lit("480"), F.col("s_acctbal").cast("string"), F.lit("500.5"), F.lit("3e2"), F.lit("240"))
     made = scans.pinhole(read("supplier").select("s_suppkey", text.alias("text")))
     return made.select("s_suppkey", F.nullif("width", F.lit(0)).cast("int").alias("width"), F.round("fx", 2).alias("fx"), "code")
+
+
+def _gap_sql() -> str:
+    """The SQL of ``keyframe_select`` with the number of rows since the last chosen one."""
+    from terrace.plans.registry import _SQL
+
+    sql = _SQL["keyframe_select"].replace("''::varchar as reason from o where i = 0", "''::varchar as reason, null::bigint as gap from o where i = 0").replace(", x\n  from f join o", ", x, o.i - f.at\n  from f join o")
+    return sql[: sql.rindex("select user_id")] + "select user_id, event_id, gap::int as gap from f where i >= 0"
+
+
+@query(_gap_sql())
+def keyframe_gap(read):
+    from terrace.operators import fold
+
+    rejected = F.when(F.col("event_type") == "purchase", "relative-blur").when(F.col("value") < 1, "underexposed")
+    out = fold.keyframes(read("events"), ["user_id"], ["ts", "event_id"], F.col("value").cast("double"), rejected, {"event_id": F.col("event_id")}, 2, 5, 10.0, 60.0)
+    return out.select("user_id", "event_id", "gap")
+
+
+@query("""
+with k as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events),
+b as (select *, max((event_type = 'purchase')::int) over (partition by user_id order by i rows unbounded preceding) as f from k where i >= 2 and i < 12)
+select user_id, event_id from b where f = 0""")
+def replayed(read):
+    """Each user's events from the third, ten at most, up to the first that fails."""
+    from terrace.sources import scans
+
+    line = F.struct("ts", "event_id")
+    return scans.replay(read("events").withColumn("at", line), "user_id", "at", 2, 10, F.col("event_type") == "purchase").select("user_id", "event_id")
+
+
+@query("select unnest(['svd', 'horn']) as form, 2.0::double as scale, [0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.0]::double[] as rotation, [1.0, 3.0, -1.0]::double[] as translation")
+def similarity_forms(read):
+    """Both fits of pairs whose transform is known: the SQL states it."""
+    from terrace.operators import align
+
+    e = _e(read)
+    pairs = e.select(*(F.col(f"e{k + 1}").alias(f"s{a}") for k, a in enumerate("xyz")), (2 * F.col("e2") + 1).alias("tx"), (3 - 2 * F.col("e1")).alias("ty"), (2 * F.col("e3") - 1).alias("tz"))
+    row = align.moments(pairs).first()
+    rows = []
+    for form, fit in (("svd", align.fitted(row)), ("horn", align.horn(row, (0.1, 10.0)))):
+        clean = lambda v: [round(float(x), 6) + 0.0 for x in v]
+        rows.append((form, round(fit.scale, 6), clean(fit.rotation.ravel()), clean(fit.translation)))
+    return e.sparkSession.createDataFrame(rows, "form string, scale double, rotation array<double>, translation array<double>")
+
+
+@query(f"select vec_id, round(2 * e1 + 1, 5) as x, round(-3 * e2, 5) as y, round(e4 / 2 / sqrt(e4 * e4 / 4 + e5 * e5 / 9 + e6 * e6), 5) as nx, floor(greatest(0, least(1, e7)) * 255 + 0.5)::int as red, vec_id + 2 as b from {_E}")
+def exported_mesh(read):
+    """Vertices and triangles as a file of a mesh has them, under a transform that mirrors."""
+    import numpy as np
+
+    m = np.array([[2.0, 0, 0, 1], [0, -3, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
+    v = _e(read).select("vec_id", *(F.col(f"e{k + 1}").alias(n) for k, n in enumerate(("x", "y", "z", "nx", "ny", "nz"))), meshes.byte_colour(F.col("e7")).alias("red"))
+    t = _e(read).select("vec_id", F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), (F.col("vec_id") + 2).alias("c"))
+    made = meshes.in_world(v, m).join(meshes.wound(t, m).select("vec_id", "b"), "vec_id")
+    return made.select("vec_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("nx", 5).alias("nx"), "red", "b")

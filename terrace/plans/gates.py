@@ -33,8 +33,8 @@ def fingerprint(df: DataFrame, by: list[str], order: str, fields: list[str], out
     return rows.select(*by, F.sha2(F.array_join(F.transform("_rows", lambda x: x["r"]), ""), 256).alias(out))
 
 
-def markdown(df: DataFrame, columns: list[str], most: int = 1000) -> str:
-    """A report table of at most ``most`` rows."""
-    rows = df.select(*columns).limit(most).collect()
+def markdown(df: DataFrame, columns: list[str]) -> str:
+    """A report table of all rows, which come to the driver one partition at a time."""
     line = "| {} |".format
-    return "\n".join([line(" | ".join(columns)), line(" | ".join("---" for _ in columns)), *(line(" | ".join(str(v) for v in r)) for r in rows)])
+    rows = (line(" | ".join(str(v) for v in r)) for r in df.select(*columns).toLocalIterator())
+    return "\n".join([line(" | ".join(columns)), line(" | ".join("---" for _ in columns)), *rows])

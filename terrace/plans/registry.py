@@ -152,13 +152,14 @@ def digit_histogram(read):
 # --- neighbours and metrics ------------------------------------------------------------------------
 
 
-def _labelled(read, label: int) -> DataFrame:
-    return read("embeddings").where(F.col("label") == label).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+def _labelled(read, odd: int) -> DataFrame:
+    """All vectors, in two parts: those of even and those of odd labels."""
+    return read("embeddings").where(F.col("label") % 2 == odd).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
 
 
 _DISTANCES = """
 with d as (select a.vec_id as x, b.vec_id as y, list_distance(a.embedding::double[], b.embedding::double[]) as d
-  from embeddings a, embeddings b where a.label = 0 and b.label = 1),
+  from embeddings a, embeddings b where a.label % 2 = 0 and b.label % 2 = 1),
 f as (select x, min(d) as d from d group by x), g as (select y, min(d) as d from d group by y)"""
 
 
@@ -200,26 +201,12 @@ def crop_box(read):
     return e.where("label <> 0").join(F.broadcast(box)).where(inside).select("vec_id")
 
 
-@query("""
-with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings where label = 3),
-a as (select degrees(acos(greatest(-1, least(1, (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x ** 2 + a.y ** 2 + a.z ** 2) * sqrt(b.x ** 2 + b.y ** 2 + b.z ** 2)))))) as d
-  from p a, p b where a.vec_id < b.vec_id)
-select round(max(d), 4) as degrees, count(*) as pairs from a""")
-def max_pair_angle(read):
-    from terrace.functions.geometry import angle
-
-    p = read("embeddings").where("label = 3").select("vec_id", *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
-    q = p.select(*(F.col(c).alias(f"{c}2") for c in p.columns))
-    d = F.degrees(angle(tuple(F.col(a) for a in "xyz"), tuple(F.col(f"{a}2") for a in "xyz")))
-    return p.join(q, F.col("vec_id") < F.col("vec_id2")).agg(F.round(F.max(d), 4).alias("degrees"), F.count("*").alias("pairs"))
-
-
 @query("""
 with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings),
 a as (select a.label, degrees(acos(greatest(-1, least(1, (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x ** 2 + a.y ** 2 + a.z ** 2) * sqrt(b.x ** 2 + b.y ** 2 + b.z ** 2)))))) as d
   from p a, p b where a.label = b.label and a.vec_id < b.vec_id)
 select label, round(max(d), 4) as degrees, count(*) as pairs from a group by label""")
-def max_pair_angle_by_label(read):
+def max_pair_angle(read):
     from terrace.functions.geometry import angle
 
     p = read("embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
@@ -404,18 +391,12 @@ def track_length_stats(read):
 
 
 @query("""
-with recursive e as (select distinct o_custkey as u, 1000000 + (o_orderkey // 40) as v from orders where o_orderpriority like '1%'),
+with recursive e as (select distinct o_custkey as u, 1000000000000 + (o_orderkey // 40) as v from orders),
 s as (select u, v from e union select v, u from e),
 r as (select u, u as m from s union select s.v, r.m from r join s on s.u = r.u where r.m < s.v)
 select u::bigint as id, min(m)::bigint as component from r group by 1""")
 def connected_components(read):
-    e = read("orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("a"), F.expr("1000000 + o_orderkey div 40").alias("b"))
-    return graph.components(e)
-
-
-@query()
-def connected_components_all(read):
-    """As ``connected_components``, over all orders; tested against union-find."""
+    """Customers and blocks of forty orders, over all orders."""
     e = read("orders").select(F.col("o_custkey").alias("a"), F.expr("1000000000000 + o_orderkey div 40").alias("b"))
     return graph.components(e)
 
@@ -573,9 +554,8 @@ def name_intersect(read):
 
 @query("select distinct event_type as field from events where event_type not in ('view', 'click')")
 def unknown_fields(read):
-    events = read("events")
-    known = events.where("event_type in ('view', 'click')").select(F.col("event_type").alias("field"))
-    return events.select(F.col("event_type").alias("field")).exceptAll(known).distinct()
+    fields = read("events").select(F.col("event_type").alias("field")).distinct()
+    return fields.join(fields.where("field in ('view', 'click')"), "field", "left_anti")
 
 
 # --- images ------------------------------------------------------------------------------------------
@@ -665,7 +645,8 @@ f as (
 select user_id, event_id, reason in ('sequence-start', 'maximum-gap', 'useful-change') as selected, reason from f where i >= 0""")
 def keyframe_select(read):
     rejected = F.when(F.col("event_type") == "purchase", "relative-blur").when(F.col("value") < 1, "underexposed")
-    return fold.keyframes(read("events"), ["user_id"], ["ts", "event_id"], F.col("value").cast("double"), rejected, {"event_id": F.col("event_id")}, 2, 5, 10.0, 60.0)
+    out = fold.keyframes(read("events"), ["user_id"], ["ts", "event_id"], F.col("value").cast("double"), rejected, {"event_id": F.col("event_id")}, 2, 5, 10.0, 60.0)
+    return out.drop("gap")
 
 
 # --- fitting -----------------------------------------------------------------------------------------

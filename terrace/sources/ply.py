@@ -7,6 +7,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -165,6 +167,33 @@ def _triangle(values: list[int]) -> tuple[int, int, int]:
     return values[1], values[2], values[3]
 
 
+#: Columns of a cloud of splats (fixed values of the format), and how many colour terms may follow them.
+SPLAT = ("x", "y", "z", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
+COLOUR_TERMS = (0, 9, 24, 45)
+
+
+def splat_columns(names: list[str]) -> tuple[int, list[str]]:
+    """How many further colour terms a cloud of splats has, and its unknown columns; raises if it is none.
+
+    All of ``SPLAT`` must be there, each name once; terms ``f_rest_0`` on must be
+    as many as some degree has, without a gap.
+    """
+    missing = [c for c in SPLAT if c not in names]
+    if missing or len(set(names)) != len(names):
+        raise ValueError(f"columns are missing or come twice: {missing or names}")
+    terms = {n for n in names if n.startswith("f_rest_")}
+    if len(terms) not in COLOUR_TERMS or terms != {f"f_rest_{k}" for k in range(len(terms))}:
+        raise ValueError(f"{len(terms)} colour terms belong to no degree, or have a gap")
+    return len(terms), [n for n in names if n not in SPLAT and n not in terms]
+
+
+def splats(df: DataFrame) -> DataFrame:
+    """Rows of a cloud of splats with ``rest``, an array of the further colour terms, in place of their columns; unknown ones go."""
+    terms, _ = splat_columns([c for c in df.columns if c != "idx"])
+    rest = F.array(*(F.col(f"f_rest_{k}") for k in range(terms))) if terms else F.array().cast("array<double>")
+    return df.select("idx", *SPLAT, rest.alias("rest"))
+
+
 def write_ply(path: str, vertices: list[tuple], triangles: list[tuple[int, int, int]], columns: tuple[str, ...] = ("x", "y", "z")) -> None:
     """A binary file of float columns and triangles; written aside and renamed once whole."""
     head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(vertices)}", *(f"property float {c}" for c in columns)]

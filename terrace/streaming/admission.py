@@ -8,29 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "source string, at double, accepted boolean, reason string"
-
+from terrace.operators.fold import TAKEN, verdict
 
-def step(last: tuple[float, float] | None, row, policy: dict[str, float]) -> tuple[bool, str]:
-    """The verdict on one sample ``(at, position, pending, depth, clipped, sharpness)`` after the last accepted one."""
-    if row.pending > policy["pending"]:
-        return False, "writer-pressure"
-    if row.depth < policy["depth"]:
-        return False, "unusable-depth"
-    if row.clipped > policy["clipped"]:
-        return False, "extreme-exposure"
-    if row.sharpness < policy["sharpness"]:
-        return False, "unusably-soft"
-    if last is None:
-        return True, "first-frame"
-    elapsed = row.at - last[0]
-    if elapsed < policy["interval"]:
-        return False, "rate-limited"
-    if abs(row.position - last[1]) >= policy["motion"]:
-        return True, "useful-motion"
-    if elapsed >= policy["stationary"]:
-        return True, "stationary-refresh"
-    return False, "insufficient-motion"
+OUT = "source string, at double, accepted boolean, reason string"
 
 
 class Admission(StatefulProcessor):
@@ -52,7 +32,8 @@ class Admission(StatefulProcessor):
                 out.append((key[0], row.at, False, "out-of-order"))
                 continue
             newest = row.at
-            accepted, reason = step(last, row, self.policy)
+            reason = verdict(last, (row.at, row.position, row.pending, row.depth, row.clipped, row.sharpness), self.policy)
+            accepted = reason in TAKEN
             if accepted:
                 last = (row.at, row.position)
             out.append((key[0], row.at, accepted, reason))

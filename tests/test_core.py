@@ -446,7 +446,7 @@ def test_components_of_all_orders(spark):
     for c, o in rows:
         x, y = sorted((find(c), find(10**12 + o // 40)))
         parent[y] = x
-    got = {r.id: r.component for r in registry.queries()["connected_components_all"](spark, DATA).collect()}
+    got = {r.id: r.component for r in registry.queries()["connected_components"](spark, DATA).collect()}
     assert got == {x: find(x) for x in parent}
 
 
@@ -454,7 +454,7 @@ def test_pairs_of_all_groups_in_blocks(spark):
     df = spark.createDataFrame([(i, i % 3 if i else None) for i in range(40)], "i long, g int")
     got = [(r.i, r.i2) for r in nearest.paired(df, "g", "i", block=4).collect()]
     assert sorted(got) == [(i, j) for i in range(1, 40) for j in range(i + 1, 40) if i % 3 == j % 3]
-    assert {r.label for r in registry.queries()["max_pair_angle_by_label"](spark, DATA).collect()} == set(range(10))
+    assert {r.label for r in registry.queries()["max_pair_angle"](spark, DATA).collect()} == set(range(10))
 
 
 def test_consensus_draws_from_all_pairs(spark):
