@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.lineage import cut
+from terrace.operators.nearest import paired
 
 
 def occurring_together(df: DataFrame, group: str, item: str) -> DataFrame:
-    """``(a, b, n)`` with a < b: how many groups hold both items; groups of one item give none."""
+    """``(a, b, n)`` with a < b: how many groups hold both items; groups of one item give none.
+
+    Large groups are dealt out in blocks, of which every two meet in a place of their own.
+    """
     items = df.select(group, item).distinct()
-    other = items.select(group, F.col(item).alias("b"))
-    pairs = items.select(group, F.col(item).alias("a")).join(other, group).where("a < b")
+    pairs = paired(items, group, item).select(F.col(item).alias("a"), F.col(f"{item}2").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 

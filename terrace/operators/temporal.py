@@ -10,16 +10,19 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, value: st
     """``left`` with the nearest right row of its key: ``matched_at`` and ``matched``; null beyond the tolerance.
 
     A tie between an earlier and a later row goes to the later, and among rows of
-    one time to the smallest value. Both sides go through one window per key, so
-    no pairs are made; keys should be fine enough for one key's rows to be sorted
-    in a task (add a coarse time bucket on both sides where they are not).
+    one time to the smallest value. Both sides go through windows, so no pairs are
+    made. A window is a key and a bucket of time as wide as the tolerance, into
+    which the right rows of the buckets before and after it come too: all that
+    can match. So a key with very many rows is spread over its buckets.
     """
     best = right.groupBy(*by, at).agg(F.min(value).alias("_v"))
-    both = left.select(*by, at, F.struct(*left.columns).alias("_row"), F.lit(None).cast(best.schema["_v"].dataType).alias("_v")).unionByName(
-        best.select(*by, at, F.lit(None).cast(f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in left.schema)}>").alias("_row"), "_v")
+    bucket = F.floor(F.col(at) / (tolerance or 1.0))
+    around = F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")
+    both = left.select(*by, at, bucket.alias("_bucket"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(best.schema["_v"].dataType).alias("_v")).unionByName(
+        best.select(*by, at, around, F.lit(None).cast(f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in left.schema)}>").alias("_row"), "_v")
     )
     hit = F.when(F.col("_row").isNull(), F.struct(F.col(at).alias("at"), F.col("_v").alias("v")))
-    order = Window.partitionBy(*by).orderBy(at)
+    order = Window.partitionBy(*by, "_bucket").orderBy(at)
     # a right row of the same time counts as later, so ranges, not rows
     earlier = F.last(hit, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
     later = F.first(hit, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))

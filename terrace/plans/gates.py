@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def issues(df: DataFrame, rules: dict[str, tuple[str, Column]], context: list[str]) -> DataFrame:
@@ -27,10 +32,36 @@ def rolled_up(df: DataFrame, by: list[str], status: str, order: tuple[str, ...])
 
 
 def fingerprint(df: DataFrame, by: list[str], order: str, fields: list[str], out: str = "fingerprint") -> DataFrame:
-    """``(*by, fingerprint)``: SHA-256 of each group's rows in order, every field ended by a NUL."""
+    """``(*by, fingerprint)``: SHA-256 of each group's rows in order, every field ended by a NUL.
+
+    Rows stream through a digest, so a group may have any number of them.
+    """
     row = F.concat(*(F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit("\u0000")) for f in fields))
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("_rows"))
-    return rows.select(*by, F.sha2(F.array_join(F.transform("_rows", lambda x: x["r"]), ""), 256).alias(out))
+    rows = df.select(*by, F.col(order).alias("_o"), row.alias("_r"))
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "_o", "_r").drop("_o")
+    n = len(by)
+    kinds = [(name, rows.schema[name].dataType) for name in by]
+    schema = ", ".join([*(f"`{name}` {kind.simpleString()}" for name, kind in kinds), f"`{out}` string"])
+    arrow = pa.schema([*((name, to_arrow_type(kind)) for name, kind in kinds), (out, pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, digest.hexdigest()), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)
+            for k, text in zip(keys, batch.column(n).to_pylist(), strict=True):
+                if k != key:
+                    if key is not None:
+                        yield ended()
+                    key, digest = k, hashlib.sha256()
+                digest.update(text.encode())
+        if key is not None:
+            yield ended()
+
+    return dealt.mapInArrow(run, schema)
 
 
 def markdown(df: DataFrame, columns: list[str]) -> str:
