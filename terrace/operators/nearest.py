@@ -52,6 +52,18 @@ def _best(x: DataFrame, y: DataFrame, left_id: str, blocks: int) -> DataFrame:
     return pairs.groupBy(left_id).agg(F.min("_m").alias("_b"))
 
 
+def cropped(points: DataFrame, reference: DataFrame, axes: list[str], pad: float) -> DataFrame:
+    """The points within the reference's box, made wider by ``pad`` on all sides; none without a reference.
+
+    The box is one row, whatever the input.
+    """
+    box = reference.agg(*(f(a).alias(f"_{n}_{a}") for a in axes for f, n in ((F.min, "low"), (F.max, "high"))))
+    met = points.join(F.broadcast(box))
+    for a in axes:
+        met = met.where(F.col(a).between(F.col(f"_low_{a}") - pad, F.col(f"_high_{a}") + pad))
+    return met.select(*points.columns)
+
+
 def paired(points: DataFrame, group: str, identity: str, block: int = 2048) -> DataFrame:
     """Pairs of rows of one ``group``, the smaller ``identity`` first, the second row's columns ending in 2.
 

@@ -42,3 +42,23 @@ def counters(frames: DataFrame, by: list[str], dropped: Column, failed: Column,
     state = F.when(dropped, "dropped").when(failed, "failed").when(rejected, "rejected").otherwise("accepted")
     sums = frames.withColumn("_state", state).groupBy(*by)
     return sums.agg(*(F.count_if(F.col("_state") == s).alias(s) for s in ("accepted", "dropped", "failed", "rejected")))
+
+
+def reasons(rows: DataFrame, why: dict[str, Column], otherwise: str = "used") -> DataFrame:
+    """``(reason, n)``: rows by the first reason that holds of them, ``otherwise`` where none does."""
+    reason = F.lit(otherwise)
+    for name, holds in reversed(why.items()):
+        reason = F.when(holds, name).otherwise(reason)
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def spread(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(*by, mean, deviation, rmse, n)``: mean, population deviation and root mean square; nulls count in ``n`` alone."""
+    square = F.avg(F.col(value) * F.col(value))
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.sqrt(square).alias("rmse"), F.count("*").alias("n"))
+
+
+def stops(rows: DataFrame, by: list[str], value: str, floor: float = 1e-6) -> DataFrame:
+    """``(*by, spread)``: how many times the largest value is the double of the smallest, both raised by ``floor``."""
+    ratio = (F.max(value) + F.lit(floor)) / (F.min(value) + F.lit(floor))
+    return rows.groupBy(*by).agg(F.log2(ratio).alias("spread"))

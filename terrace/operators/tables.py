@@ -39,6 +39,14 @@ def listed(df: DataFrame, names: DataFrame, name: str) -> DataFrame:
     return df.join(names.select(name), name, "left_semi").select(*df.columns)
 
 
+def shared(df: DataFrame, others: list[DataFrame], name: str) -> DataFrame:
+    """The distinct names that ``df`` and all of the others have."""
+    out = df.select(name)
+    for other in others:
+        out = out.intersect(other.select(name))
+    return out
+
+
 def list_problems(df: DataFrame, names: DataFrame, name: str) -> DataFrame:
     """``(name, code)`` of the entries of a list that are no safe path, come twice, or name nothing in ``df``."""
     counted = names.groupBy(name).agg(F.count("*").alias("_n")).join(df.select(name).distinct().withColumn("_there", F.lit(True)), name, "left")

@@ -83,3 +83,9 @@ def far_to_near(df: DataFrame, by: list[str], at: tuple[Column, Column, Column],
     away = [c - e for c, e in zip(at, eye, strict=True)]
     d = away[0] * away[0] + away[1] * away[1] + away[2] * away[2]
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(d.desc(), ordinal)))
+
+
+def digit_counts(df: DataFrame, key: str, place: int, bits: int = 4) -> DataFrame:
+    """``(digit, n)``: how many keys have each digit at a place, digits being ``bits`` wide; counted before the shuffle."""
+    digit = F.shiftright(F.col(key).cast("long"), place * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return df.groupBy(digit.alias("digit")).agg(F.count("*").alias("n"))

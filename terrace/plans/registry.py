@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import quantile, splats
 from terrace.functions.numeric import id_colour, nearest_cell, pearson_distance, radical_inverse, safe_path
-from terrace.operators import align, bake, fold, graph, images, nearest, ranking, scan, tables, temporal, tiles, voxels
+from terrace.operators import align, bake, fold, graph, images, nearest, ranking, runs, scan, tables, temporal, tiles, voxels
 from terrace.plans import gates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,34 +119,32 @@ def median_of_medians_gain(read):
 
 @query("select p_brand, round(log2((max(p_retailprice) + 1e-6) / (min(p_retailprice) + 1e-6)), 6) as spread, min(p_size) as low, max(p_size) as high from part group by 1")
 def exposure_spread(read):
-    spread = F.log2((F.max("p_retailprice") + 1e-6) / (F.min("p_retailprice") + 1e-6))
-    return read("part").groupBy("p_brand").agg(r6(spread, "spread"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    sizes = read("part").groupBy("p_brand").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    return runs.stops(read("part"), ["p_brand"], "p_retailprice").join(sizes, "p_brand").select("p_brand", r6(F.col("spread"), "spread"), "low", "high")
 
 
 @query("select event_type, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as deviation, round(sqrt(avg(value * value)), 6) as rmse, count(*) as n from events group by 1")
 def mean_deviation_rmse(read):
-    return read("events").groupBy("event_type").agg(
-        r6(F.avg("value"), "mean"), r6(F.stddev_pop("value"), "deviation"), r6(F.sqrt(F.avg(F.col("value") * F.col("value"))), "rmse"), F.count("*").alias("n")
-    )
+    out = runs.spread(read("events"), ["event_type"], "value")
+    return out.select("event_type", *(r6(F.col(c), c) for c in ("mean", "deviation", "rmse")), "n")
 
 
 @query("select l_shipmode_gain as gain, n, blend from (select l_linestatus as l_shipmode_gain, count(*) as n, round(sum(l_extendedprice * l_discount * l_quantity) / sum(l_quantity), 6) as blend from lineitem group by 1)")
 def weighted_blend(read):
-    blend = F.sum(F.col("l_extendedprice") * F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity")
-    return read("lineitem").groupBy(F.col("l_linestatus").alias("gain")).agg(F.count("*").alias("n"), r6(blend, "blend"))
+    rows = read("lineitem").select(F.col("l_linestatus").alias("gain"), (F.col("l_extendedprice") * F.col("l_discount")).alias("colour"), "l_quantity")
+    return fold.weighted_mean(rows, ["gain"], "colour", "l_quantity", 1e18).select("gain", F.col("observations").alias("n"), r6(F.col("mean"), "blend"))
 
 
 @query("""
 select case when value is null then 'missing' when value < 0 then 'negative' when value < 5 then 'small' else 'used' end as reason, count(*) as n from events group by 1""")
 def skip_reasons(read):
     v = F.col("value")
-    reason = F.when(v.isNull(), "missing").when(v < 0, "negative").when(v < 5, "small").otherwise("used")
-    return read("events").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return runs.reasons(read("events"), {"missing": v.isNull(), "negative": v < 0, "small": v < 5})
 
 
 @query("select (l_orderkey // 16) % 16 as digit, count(*) as n from lineitem group by 1")
 def digit_histogram(read):
-    return read("lineitem").groupBy(F.expr("(l_orderkey div 16) % 16").alias("digit")).agg(F.count("*").alias("n"))
+    return tiles.digit_counts(read("lineitem"), "l_orderkey", 1)
 
 
 # --- neighbours and metrics ------------------------------------------------------------------------
@@ -195,10 +193,7 @@ select vec_id from embeddings where embedding[1] between (select quantile_cont(e
  and embedding[2] between (select min(embedding[2]) from embeddings where label = 0) - 0.1 and (select max(embedding[2]) from embeddings where label = 0) + 0.1 and label <> 0""".replace("quantile_cont(embedding[1], 0.0)", "min(embedding[1])"))
 def crop_box(read):
     e = read("embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    pad = 0.1
-    box = e.where("label = 0").agg(*(f(a).alias(f"{n}{a}") for a in "xy" for f, n in ((F.min, "low"), (F.max, "high"))))
-    inside = (F.col("x").between(F.col("lowx") - pad, F.col("highx") + pad)) & (F.col("y").between(F.col("lowy") - pad, F.col("highy") + pad))
-    return e.where("label <> 0").join(F.broadcast(box)).where(inside).select("vec_id")
+    return nearest.cropped(e.where("label <> 0"), e.where("label = 0"), ["x", "y"], 0.1).select("vec_id")
 
 
 @query("""
@@ -548,8 +543,8 @@ def patch_upsert(read):
 @query("select n_name from nation where n_nationkey in (select c_nationkey from customer) intersect select n_name from nation where n_nationkey in (select s_nationkey from supplier)")
 def name_intersect(read):
     n = read("nation")
-    customers = n.join(read("customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_name")
-    return customers.intersect(n.join(read("supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_name"))
+    customers = n.join(read("customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left_semi")
+    return tables.shared(customers, [n.join(read("supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")], "n_name")
 
 
 @query("select distinct event_type as field from events where event_type not in ('view', 'click')")
