@@ -552,3 +552,128 @@ def exported_mesh(read):
     t = _e(read).select("vec_id", F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), (F.col("vec_id") + 2).alias("c"))
     made = meshes.in_world(v, m).join(meshes.wound(t, m).select("vec_id", "b"), "vec_id")
     return made.select("vec_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("nx", 5).alias("nx"), "red", "b")
+
+
+# --- volumes, streams and models --------------------------------------------------------------------------
+
+
+@query(f"""
+with b as (select list(e1 order by e1) as a, list(e2 order by e2) as b, list(e3 order by e3) as c, count(*) as n from {_E}),
+q as (select [a[1 + i], b[1 + i], c[1 + i]] as lo, [a[1 + j], b[1 + j], c[1 + j]] as hi from (select *, least(n - 1, floor(0.005::double * (n - 1)))::bigint as i, least(n - 1, floor(0.995::double * (n - 1)))::bigint as j from b)),
+v as (select *, greatest(0.01, list_max(list_transform(range(1, 4), lambda k: hi[k] - lo[k] + 0.2)) / 127) as voxel from q)
+select unnest(range(0, 3))::int as axis, unnest(list_transform(range(1, 4), lambda k: round(lo[k] - 0.1, 6))) as origin, round(voxel, 8) as voxel, round(greatest(4 * voxel, 0.04), 8) as truncation,
+  unnest(list_transform(range(1, 4), lambda k: ceil((hi[k] - lo[k] + 0.2) / voxel - 1e-9)::int + 1)) as cells from v""")
+def auto_bounds(read):
+    found = voxels.bounds(_e(read), ["e1", "e2", "e3"], 0.1, 0.01, 128)
+    rows = [(k, round(float(o), 6), round(float(found["voxel"]), 8), round(float(found["truncation"]), 8), int(n)) for k, (o, n) in enumerate(zip(found["origin"], found["cells"], strict=True))]
+    return read("embeddings").sparkSession.createDataFrame(rows, "axis int, origin double, voxel double, truncation double, cells int")
+
+
+@query(f"select vec_id as ray, (1 + abs(floor(e4 / 0.25) - floor(e1 / 0.25)) + abs(floor(e5 / 0.25) - floor(e2 / 0.25)) + abs(floor(e6 / 0.25) - floor(e3 / 0.25)))::bigint as cells from {_E}")
+def ray_cell_counts(read):
+    """A ray passes one cell, and one more at each side of a cell that it crosses."""
+    rays = _e(read).select(F.col("vec_id").alias("ray"), *(F.col(f"e{k + 1}").alias(f"o{a}") for k, a in enumerate("xyz")), *(F.col(f"e{k + 4}").alias(f"e{a}") for k, a in enumerate("xyz")))
+    return voxels.ray_cells(rays, size=0.25).groupBy("ray").agg(F.count("*").alias("cells"))
+
+
+@query(f"""
+with p as (select vec_id, label as camera, floor(4 + e1 * 2)::int as px, floor(4 + e2 * 2)::int as py, abs(e3) + 0.5 as z from {_E}),
+n as (select camera, px, py, min(z) as near from p group by all)
+select p.vec_id from p join n using (camera, px, py) where z <= near * 1.1::double + 1e-4""")
+def visible_points(read):
+    from terrace.operators import bake
+
+    at = [F.floor(4 + F.col(f"e{k}") * 2).cast("int") for k in (1, 2)]
+    p = _e(read).select("vec_id", F.col("label").alias("camera"), at[0].alias("px"), at[1].alias("py"), (F.abs(F.col("e3")) + 0.5).alias("z"))
+    nearest = p.groupBy("camera", "px", "py").agg(F.min("z").alias("depth"))
+    return bake.visible(p, nearest, ["camera"], 0.1).select("vec_id")
+
+
+@query("""
+with recursive o as (select user_id, value::double as s, (1 + event_id % 3)::double as w, row_number() over (partition by user_id order by event_id % 2, ts, event_id) as i from events),
+f as (
+  select user_id, 0::bigint as i, 0::double as v, 0::double as wt from o where i = 1
+  union all
+  select f.user_id, o.i, (f.v * (least(20.0, f.wt + w) - least(w, least(20.0, f.wt + w))) + s * least(w, least(20.0, f.wt + w))) / least(20.0, f.wt + w), least(20.0, f.wt + w)
+  from f join o on o.user_id = f.user_id and o.i = f.i + 1)
+select user_id, round(v, 5) as mean, wt::double as weight, i as observations from f qualify row_number() over (partition by user_id order by i desc) = 1""")
+def fused_batches(read):
+    """Two micro-batches, even events and then odd ones, put into one state."""
+    from terrace.streaming import fusion
+
+    e = read("events").withColumn("w", (1 + F.col("event_id") % 3).cast("double"))
+    state = None
+    for k in (0, 1):
+        state = fusion.fused(state, e.where(F.col("event_id") % 2 == k), ["user_id"], ["ts", "event_id"], "value", "w", 20.0)
+    return state.select("user_id", F.round("mean", 5).alias("mean"), "weight", "observations")
+
+
+@query("select 2.0::double as scale, [0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.0]::double[] as rotation, [1.0, 3.0, -1.0]::double[] as translation")
+def consensus_fit(read):
+    """Pairs of which those of four labels in ten are wrong; the transform of the others is known and the SQL states it."""
+    from terrace.operators import align
+
+    e = _e(read)
+    wrong = F.col("label") < 4
+    good = (2 * F.col("e2") + 1, 3 - 2 * F.col("e1"), 2 * F.col("e3") - 1)
+    pairs = e.select("vec_id", *(F.col(f"e{k + 1}").alias(f"s{a}") for k, a in enumerate("xyz")), *(F.when(wrong, 9 * F.col(f"e{k + 4}")).otherwise(t).alias(f"t{a}") for k, (a, t) in enumerate(zip("xyz", good, strict=True))))
+    fit = align.consensus(pairs, "vec_id", 1e-3, trials=64)
+    clean = lambda v: [round(float(x), 5) + 0.0 for x in v]
+    return e.sparkSession.createDataFrame([(round(fit.scale, 5), clean(fit.rotation.ravel()), clean(fit.translation))], "scale double, rotation array<double>, translation array<double>")
+
+
+@query("""
+select p_partkey, case when p_partkey % 7 = 0 then 'path' when p_partkey % 5 = 0 then 'sha256' when p_size <= 3 then 'stride' when p_partkey % 3 = 0 then 'size' end as code from part""")
+def plane_records(read):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    path = F.when(k % 7 == 0, F.lit("a/../b")).otherwise(F.concat(F.lit("planes/"), k.cast("string")))
+    sha = F.when(k % 5 == 0, F.lit("abc")).otherwise(F.sha2(F.col("p_name"), 256))
+    plane = F.struct(
+        path.alias("path"), sha.alias("sha256"), (size - 3).alias("width"), F.lit(2).alias("height"), (size - 3).alias("row_stride"), F.lit(1).alias("bytes_per_pixel"),
+        ((size - 3) * 2 + F.when(k % 3 == 0, 1).otherwise(0)).cast("long").alias("byte_count"),
+    )
+    return read("part").select("p_partkey", manifest.plane_code(plane).alias("code"))
+
+
+@query("""
+select s_suppkey as camera_id, case s_suppkey % 3 when 0 then 'PINHOLE' when 1 then 'SIMPLE_PINHOLE' else 'FISHEYE' end as model, s_nationkey + 1 as width,
+  case s_suppkey % 3 when 0 then null when 1 then null else 'unknown-model' end as code, 4 as params, round(s_acctbal::double, 2) as focal from supplier where s_suppkey % 3 <> 1
+union all select s_suppkey, 'SIMPLE_PINHOLE', s_nationkey + 1, 'parameters', 4, round(s_acctbal::double, 2) from supplier where s_suppkey % 3 = 1""")
+def sfm_cameras(read):
+    from terrace.sources import sfm
+
+    model = F.when(F.col("s_suppkey") % 3 == 0, "PINHOLE").when(F.col("s_suppkey") % 3 == 1, "SIMPLE_PINHOLE").otherwise("FISHEYE")
+    line = F.concat_ws(" ", F.col("s_suppkey").cast("string"), model, (F.col("s_nationkey") + 1).cast("string"), F.lit("480"), F.col("s_acctbal").cast("string"), F.lit("1 2 3"))
+    made = sfm.cameras_of(read("supplier").select(line.alias("line")))
+    return made.select("camera_id", "model", "width", "code", F.size("params").alias("params"), F.round(F.get("params", F.lit(0)), 2).alias("focal"))
+
+
+@query("select event_id as image_id, round(value::double, 2) as tx, user_id as camera_id, event_type || '/' || event_id as name, (event_id % 4)::int as observations, case when event_id % 5 = 0 then 'quaternion' end as code from events")
+def sfm_images(read):
+    """Records of two lines each, the second with as many observations as it has."""
+    from terrace.sources import sfm
+
+    k = F.col("event_id").cast("string")
+    first = F.concat_ws(" ", k, F.when(F.col("event_id") % 5 == 0, "2").otherwise("1"), F.lit("0 0 0"), F.col("value").cast("string"), F.lit("0 0"), F.col("user_id").cast("string"), F.concat_ws("/", "event_type", k))
+    second = F.concat_ws(" ", F.transform(F.when(F.col("event_id") % 4 > 0, F.sequence(F.lit(1), (F.col("event_id") % 4).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.lit("1.5 2.5 -1")))
+    lines = read("events").select(F.col("user_id").alias("file"), F.posexplode(F.array(first, second)).alias("i", "line"), "event_id")
+    made = sfm.images_of(lines.select("file", (F.col("event_id") * 2 + F.col("i")).alias("at"), "line"))
+    return made.select("image_id", F.round("tx", 2).alias("tx"), "camera_id", "name", "observations", "code")
+
+
+@query(f"""
+with q as (select vec_id, abs(e5) + 0.1 as a, abs(e6) + 0.1 as b, abs(e7) + 0.1 as c, {_unit_sql('q', 1, 2, 3, 4)}, abs(e8) + 1 as z, e9 as x from {_E}),
+m as (select *, 1 - 2 * (qy * qy + qz * qz) as r00, 2 * (qx * qy - qw * qz) as r01, 2 * (qx * qz + qw * qy) as r02, 2 * (qx * qz - qw * qy) as r20, 2 * (qy * qz + qw * qx) as r21, 1 - 2 * (qx * qx + qy * qy) as r22 from q),
+v as (select *, r00 * r00 * a * a + r01 * r01 * b * b + r02 * r02 * c * c as xx, r00 * r20 * a * a + r01 * r21 * b * b + r02 * r22 * c * c as xz, r20 * r20 * a * a + r21 * r21 * b * b + r22 * r22 * c * c as zz from m)
+select vec_id, round(xx, 5) as xx, round((100 / z) ** 2 * xx - 2 * (100 / z) * (100 * x / (z * z)) * xz + (100 * x / (z * z)) ** 2 * zz + 0.3, 3) as wide from v""")
+def projected_splats(read):
+    from terrace.functions import splats
+
+    e = _units(read)
+    cov = splats.covariance(_quat("q"), tuple(F.abs(F.col(f"e{k}")) + 0.1 for k in (5, 6, 7)))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    e = e.select("vec_id", "e8", "e9", *(cov[i][k].alias(f"c{i}{k}") for i in range(3) for k in range(3)))
+    held = tuple(tuple(F.col(f"c{i}{k}") for k in range(3)) for i in range(3))
+    view = ((one, zero, zero), (zero, one, zero), (zero, zero, one))
+    xx, _, _ = splats.projected_covariance(held, view, (F.col("e9"), zero, F.abs(F.col("e8")) + 1), F.lit(100.0), F.lit(100.0))
+    return e.select("vec_id", F.round("c00", 5).alias("xx"), F.round(xx, 3).alias("wide"))

@@ -27,9 +27,14 @@ def _fields(line: str = "line") -> Column:
 
 
 def cameras(spark: SparkSession, path: str) -> DataFrame:
-    """``(camera_id, model, width, height, params, code)``; ``code`` names what is wrong with a line."""
+    """``cameras_of`` the lines of texts."""
+    return cameras_of(_lines(spark, path))
+
+
+def cameras_of(lines: DataFrame) -> DataFrame:
+    """``(camera_id, model, width, height, params, code)`` of rows ``(line)``; ``code`` names what is wrong with a line."""
     f = _fields()
-    rows = _lines(spark, path).where("trim(line) <> '' and not startswith(line, '#')").select(f.alias("f"))
+    rows = lines.where("trim(line) <> '' and not startswith(line, '#')").select(f.alias("f"))
     want = F.lit(None).cast("int")
     for model, n in CAMERA_MODELS.items():
         want = F.when(F.get("f", F.lit(1)) == model, n).otherwise(want)
@@ -45,8 +50,13 @@ def cameras(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """``(image_id, qw.., tx.., camera_id, name, observations, code)``: records of two lines each."""
-    kept = _lines(spark, path).where("not startswith(line, '#')")
+    """``images_of`` the lines of texts."""
+    return images_of(_lines(spark, path))
+
+
+def images_of(lines: DataFrame) -> DataFrame:
+    """``(image_id, qw.., tx.., camera_id, name, observations, code)`` of rows ``(file, at, line)``: records of two lines each."""
+    kept = lines.where("not startswith(line, '#')")
     order = Window.partitionBy("file").orderBy("at")
     # comment lines fall out first; a record's second line may be empty, trailing empty lines are not records
     numbered = kept.withColumn("_n", F.row_number().over(order) - 1).withColumn("_next", F.lead("line").over(order))
@@ -69,8 +79,13 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def points(spark: SparkSession, path: str) -> DataFrame:
-    """``(point_id, x, y, z, r, g, b, error, track)``, ``track`` an array of ``(image_id, point2d)``."""
-    rows = _lines(spark, path).where("trim(line) <> '' and not startswith(line, '#')").select(_fields().alias("f"))
+    """``points_of`` the lines of texts."""
+    return points_of(_lines(spark, path))
+
+
+def points_of(lines: DataFrame) -> DataFrame:
+    """``(point_id, x, y, z, r, g, b, error, track)`` of rows ``(line)``, ``track`` an array of ``(image_id, point2d)``."""
+    rows = lines.where("trim(line) <> '' and not startswith(line, '#')").select(_fields().alias("f"))
     g = [F.get("f", F.lit(k)) for k in range(8)]
     track = F.transform(pairs_of(F.slice("f", 9, 1 << 20)), lambda p: F.struct(p["a"].try_cast("long").alias("image_id"), p["b"].try_cast("long").alias("point2d")))
     return rows.select(
