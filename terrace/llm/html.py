@@ -41,11 +41,13 @@ SURROUNDING = frozenset(
     "nav navbar navigation menu sidebar footer masthead ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice alert newsletter subscribe subscription signup popup modal overlay share sharing social related "
     "recommended recommendations breadcrumb breadcrumbs pagination pager comment comments reply replies respond disqus widget login search "
-    "toolbar".split()
+    "toolbar banner copyright commentlist adsbygoogle".split()
 )
+#: Names of headers, which are a site's only outside an article.
+HEADERS = frozenset(("header",))
 HOLDERS = frozenset(
-    "area bar block bottom box button buttons container group inner item items left link links list panel posts right section slot top unit "
-    "wrap wrapper".split()
+    "area banner bar block bottom box button buttons container content form group inner item items left link links list panel posts right "
+    "section slot thread tools top unit wrap wrapper".split()
 )
 QUALIFIERS = frozenset("has have hide no non not with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -63,7 +65,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
 
@@ -85,35 +87,36 @@ def _attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(raw):
         value = m[2] or m[3] or m[4] or ""
-        out.setdefault(m[1].lower(), (unescape(value) if "&" in value else value).lower())
+        out.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
     return out
 
 
-def _named(token: str) -> bool:
-    """Whether a token of a class or id says that its element surrounds an article."""
-    words = _PARTS.findall(token)
+def _named(token: str) -> str:
+    """The word of a token of a class or id that says what surrounds an article its element is; empty if none does."""
+    words = [w.lower() for w in _PARTS.findall(token)]
     if not QUALIFIERS.isdisjoint(words):
-        return False
+        return ""
     while len(words) > 1 and words[-1] in HOLDERS:
         words.pop()
-    return bool(words) and words[-1] in SURROUNDING
+    return words[-1] if words and (words[-1] in SURROUNDING or words[-1] in HEADERS) else ""
 
 
 def _surrounds(tag: str, attributes: str) -> int:
-    """Whether an element is not part of an article: 2 by its kind, role or style, 1 by its class or id alone, else 0."""
+    """Whether an element is not part of an article: 2 by its kind, role or style, 1 by its class or id alone, 3 as a header by these, else 0."""
     if tag in SKIPPED:
         return 2
     if not attributes or tag in ("html", "body"):
         return 0
     by = _attributes(attributes)
     if (
-        by.get("role", "").strip() in ROLES
-        or "display:none" in by.get("style", "").replace(" ", "")
-        or by.get("aria-hidden") == "true"
-        or by.get("hidden", "until-found") != "until-found"
+        by.get("role", "").strip().lower() in ROLES
+        or "display:none" in by.get("style", "").replace(" ", "").lower()
+        or by.get("aria-hidden", "").lower() == "true"
+        or by.get("hidden", "until-found").lower() != "until-found"
     ):
         return 2
-    return int(any(_named(t) for k in ("class", "id") for t in by.get(k, "").split()))
+    found = {_named(t) for k in ("class", "id") for t in by.get(k, "").split()} - {""}
+    return 0 if not found else 3 if found <= HEADERS else 1
 
 
 def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
@@ -229,6 +232,8 @@ def _parsed(html: str, spared: set[int] | None) -> tuple[list[Block], dict[int,
                 close(depth)
         number += 1
         why = _surrounds(tag, m[3])
+        if why == 3:
+            why = 0 if article else 1
         skipped = why == 2 or (why == 1 and spared is not None and number not in spared) or (tag == "header" and not article)
         if why == 1 and spared is None and not skip and not skipped:
             began[number] = (seen, len(holders), sum(n in holders for _, n, _ in stack))

@@ -115,3 +115,15 @@ def test_awkward_tables(spark):
     rows = [(None, None, None), (None, "u", "<p>A, b.</p>"), (1, "u", "\n "), (1, "u", "<p")]
     got = html.extracted(spark.createDataFrame(rows, kind).withColumn("n_chars", F.lit("clash"))).collect()
     assert sorted((str(r.page_id), r.text) for r in got) == [("1", ""), ("1", ""), ("None", ""), ("None", "A, b.")]
+
+
+def test_names_of_what_surrounds_an_article():
+    story = "<p>A long story, with commas, and more of it, so that it is one.</p><p>Its second part, just as long, ends here, at last.</p>"
+    want = "A long story, with commas, and more of it, so that it is one.\n\nIts second part, just as long, ends here, at last."
+    gone = "cookie-banner gdpr_banner site-header pageHeader header banner newsletter-signup cookieConsent sidebarRight commentsSection comment-thread ad-slot AD related-posts subscribe-form copyright share-tools"
+    for name in gone.split():
+        extra = f"<div class='{name}'><p>Words that surround, one by one, an article; as they do.</p></div>"
+        for page in (f"<body>{extra}<div id=main>{story}</div></body>", f"<body><article>{story}</article>{extra}</body>"):
+            assert html.main_text(page) == want, (name, page)
+    for name in "article-header post-content has-sidebar main-content story-body entry no-ads adventure commentary headline".split():
+        assert html.main_text(f"<article><div class='{name}'><h1>Title</h1>{story}</div></article>") == "Title\n\n" + want, name
