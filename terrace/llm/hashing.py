@@ -7,6 +7,8 @@ import numpy as np
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Places in a word for which each byte's value is kept in a table; later places are mixed as they come.
 PLACES = 64
+#: Bytes that are hashed at a time.
+SEGMENT = 1 << 22
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,7 +34,23 @@ def hashed_words(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     A word's hash is the mixed sum of its bytes' values, each mixed with the
     byte's place first, so that no arithmetic between places makes words equal.
+    Bytes are taken ``SEGMENT`` at a time, cut behind a gap, so that what is held
+    for each byte is held for a part of a very long text alone.
     """
+    parts, at = [], 0
+    while True:
+        end = min(len(data), at + SEGMENT)
+        end += int(np.argmax(gap[end - 1 :])) if end < len(data) else 0
+        starts, ends, hashes = _hashed(data[at:end], gap[at:end])
+        if at == 0 and end == len(data):
+            return starts, ends, hashes
+        parts.append((starts + at, ends + at, hashes))
+        at = end
+        if at == len(data):
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _hashed(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     turns = np.flatnonzero(np.diff(gap, prepend=True))
     starts, ends = turns[0::2], turns[1::2]
     if not len(starts):

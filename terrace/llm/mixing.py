@@ -107,11 +107,14 @@ def mixed(
 
     Whole epochs need no order: only the documents whose key lies in the one
     hash range in which a quota ends are put in order, within leaf and range,
-    so a leaf with a third of all rows is spread like any other.
+    so a leaf with a third of all rows is spread like any other. There, rows of
+    one id and size are a group for each part of the table that holds some, and
+    only the group in which the quota ends is put in order, so an id, or none,
+    that a third of all rows share is spread as well.
 
     Null language or source is the name ``?``; null ids sort as the text ``?``.
     Documents without tokens go with whole epochs, and with a part of one if
-    they come before its end. Repeated rows count each. A weight of 0 takes
+    they come before its end. Repeated rows count each; long texts are counted whole. A weight of 0 takes
     nothing; a budget above what epochs allow is lowered to that. An empty table
     gives an empty result; other columns are ignored, but for ``row_col``: if
     named, that unique key of the input's rows comes last in the order and in the
@@ -128,6 +131,8 @@ def mixed(
             F.coalesce(F.col("source"), F.lit("?")).alias("source"),
             tokens.cast("long").alias("n_tokens"),
             name.alias("_name"),
+            F.shiftright(F.monotonically_increasing_id(), 33).alias("_part"),
+            F.monotonically_increasing_id().alias("_origin"),
             *row,
         )
     )
@@ -165,13 +170,27 @@ def mixed(
     )
     started = partial.join(small(written(cut)), [*LEVELS, "_range"])
     all_of = started.where("not _ends").select(*keep, F.col("n_tokens").alias("take_tokens"))
-    line = Window.partitionBy(*LEVELS, "_range").orderBy("order_key", "doc_id", "n_tokens", *row).rowsBetween(Window.unboundedPreceding, 0)
-    part_of = (
-        started.where("_ends")
-        .withColumn("_start", F.col("_before") + F.sum("n_tokens").over(line) - F.col("n_tokens"))
+    # in the range of the end, rows that tie are told apart by where they were written, so that many of one id are many groups
+    tie = ["order_key", "n_tokens", "_part"]
+    last = started.where("_ends")
+    line = Window.partitionBy(*LEVELS).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
+    ties = (
+        last.groupBy(*LEVELS, *tie)
+        .agg(F.sum("n_tokens").alias("_in"), F.max("_before").alias("_above"), F.max("_rest").alias("_most"))
+        .withColumn("_first", F.col("_above") + F.sum("_in").over(line) - F.col("_in"))
+        .where("_first < _most")
+        .select(*LEVELS, *tie, "_first", (F.col("_first") + F.col("_in") <= F.col("_most")).alias("_fits"))
+    )
+    placed = last.join(small(written(ties)), [*LEVELS, *tie])
+    inside = Window.partitionBy(*LEVELS, *tie).orderBy(*row, "_origin").rowsBetween(Window.unboundedPreceding, 0)
+    fits = placed.where("_fits").select(*keep, F.col("n_tokens").alias("take_tokens"))
+    ends = (
+        placed.where("not _fits")
+        .withColumn("_start", F.col("_first") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
         .where("_start < _rest")
         .select(*keep, F.least(F.col("n_tokens"), F.col("_rest") - F.col("_start")).alias("take_tokens"))
     )
+    part_of = fits.unionByName(ends)
     out = whole.unionByName(all_of).unionByName(part_of)
     return out.select(*(c for c in out.columns if c not in row), *row)
 

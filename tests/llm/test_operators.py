@@ -777,3 +777,35 @@ def test_rows_by_number(spark, monkeypatch, most):
     assert got.columns == keyed.columns
     assert sorted(r.v for r in got.collect()) == sorted(v for v in range(90_000) if v % 7 == 3 or v in (0, 32767, 32768, 89999))
     assert common.having(keyed, "k", rows.limit(0)).count() == 0
+
+
+def test_mixing_of_one_id(spark):
+    """Many rows of one id or none, equal or not, are drawn to the token; other columns, even of names used inside, don't matter."""
+    rows = [(None, "a b c", "en", "src0", 0)] * 300 + [(7, "a b", "en", "src0", 0)] * 300 + [(7, " ".join("x" * (k % 5 + 1)), "en", "src0", 0) for k in range(50)] + [(8, "w " * 30_000, "de", "src0", 0)]
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    for name in ("_part", "_origin", "_name", "epoch", "take_tokens"):
+        df = df.withColumn(name, F.lit("clash"))
+    weights = {"domain": ({}, 1), "lang": ({}, 1), "source": ({}, 1)}
+    for budget in (1, 100, 901, 1700, 2500):
+        got = mixing.mixed(df, F.lit("d"), weights, budget=budget, max_epochs=1).collect()
+        assert sum(r.take_tokens for r in got) == budget
+        assert sum(r.take_tokens < r.n_tokens for r in got) <= 2 and all(0 <= r.take_tokens <= r.n_tokens for r in got)
+
+
+def test_word_hashes_by_segments(monkeypatch):
+    """Cuts of a long text change no word: those of one byte at a time, within words, in gaps and at the end."""
+    import numpy as np
+
+    from terrace.llm import hashing
+
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 9, 70, 300]))) for _ in range(200)).encode() + b"   "
+    for raw in (text, b" ", b"   ", b"x ", b"x" * 500 + b" "):
+        data = np.frombuffer(raw, np.uint8)
+        gap = data == 32
+        monkeypatch.setattr(hashing, "SEGMENT", 1 << 22)
+        want = hashing.hashed_words(data, gap)
+        for size in (1, 2, 7, 64, 1000):
+            monkeypatch.setattr(hashing, "SEGMENT", size)
+            assert all(np.array_equal(a, b) for a, b in zip(want, hashing.hashed_words(data, gap)))
+        assert [raw[s:e] for s, e in zip(*want[:2])] == raw.split()
