@@ -54,6 +54,21 @@ def list_problems(df: DataFrame, names: DataFrame, name: str) -> DataFrame:
     return counted.withColumn("code", code).where("code is not null").select(name, "code")
 
 
+def budgets(df: DataFrame, limits: dict[str, tuple[Column, int]]) -> DataFrame:
+    """``(budget, used, most, exceeded)``: a row for each budget ``name: (aggregate, most)``, all of one pass over ``df``."""
+    used = df.agg(*(F.coalesce(x.cast("long"), F.lit(0).cast("long")).alias(name) for name, (x, _) in limits.items()))
+    rows = F.array(*(F.struct(F.lit(name).alias("budget"), F.col(name).alias("used"), F.lit(most).cast("long").alias("most")) for name, (_, most) in limits.items()))
+    return used.select(F.inline(rows)).withColumn("exceeded", F.col("used") > F.col("most"))
+
+
+def within(df: DataFrame, limits: dict[str, tuple[Column, int]]) -> DataFrame:
+    """``df`` if it is within all of its budgets; a ValueError that names the first one exceeded, before anything is written."""
+    bad = budgets(df, limits).where("exceeded").first()
+    if bad is not None:
+        raise ValueError(f"{bad['budget']} is {bad['used']}, above its budget of {bad['most']}")
+    return df
+
+
 def patched(old: DataFrame, new: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of touched keys replaced by those of ``new``, and gone where ``new`` has none."""
     return old.join(touched.select(*keys).distinct(), keys, "left_anti").unionByName(new.join(touched.select(*keys).distinct(), keys, "left_semi"))

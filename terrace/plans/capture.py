@@ -677,3 +677,23 @@ def projected_splats(read):
     view = ((one, zero, zero), (zero, one, zero), (zero, zero, one))
     xx, _, _ = splats.projected_covariance(held, view, (F.col("e9"), zero, F.abs(F.col("e8")) + 1), F.lit(100.0), F.lit(100.0))
     return e.select("vec_id", F.round("c00", 5).alias("xx"), F.round(xx, 3).alias("wide"))
+
+
+@query("""
+select 'rows' as budget, count(*)::bigint as used, 1000::bigint as most, count(*) > 1000 as exceeded from lineitem union all
+select 'keys', count(distinct l_partkey), 100000, count(distinct l_partkey) > 100000 from lineitem union all
+select 'largest', max(n), 40, max(n) > 40 from (select max(l_linenumber)::bigint as n from lineitem)""")
+def budget_guards(read):
+    limits = {"rows": (F.count("*"), 1000), "keys": (F.countDistinct("l_partkey"), 100_000), "largest": (F.max("l_linenumber"), 40)}
+    return tables.budgets(read("lineitem"), limits)
+
+
+@query(f"""
+with r as (select vec_id as ray, floor(e1 / 0.5)::bigint as x, floor(e2 / 0.5)::bigint as y from {_E}),
+c as (select distinct ray, x + i as cx, y + j as cy from r, range(-1, 2) as a(i), range(-1, 2) as b(j))
+select ray, cx, cy, 0::bigint as cz from c where cx between 0 and 3 and cy between 0 and 3""")
+def ray_footprints(read):
+    """Segments of no length, with the cells beside theirs, within a grid of one layer."""
+    at = {"x": F.col("e1"), "y": F.col("e2"), "z": F.lit(0.25)}
+    rays = _e(read).select(F.col("vec_id").alias("ray"), *(v.alias(f"{p}{a}") for p in "oe" for a, v in at.items()))
+    return voxels.ray_cells(rays, size=0.5, around=1, cells=(4, 4, 1))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import geometry as g
-from terrace.operators import align, fold, images, meshes, rigs, scan, tiles, voxels
+from terrace.operators import align, fold, images, meshes, rigs, scan, tables, tiles, voxels
 from terrace.operators.tables import Versions
 from terrace.plans import gates
 from terrace.sources import ply, records, scans
@@ -243,3 +243,26 @@ def test_slerp_goes_the_shorter_way(spark):
     out = g.slerp((F.col("a"), F.col("b"), zero, zero), (F.col("c"), F.col("d"), zero, zero), F.col("t"))
     rows = df.select(out[0].alias("w"), out[1].alias("x")).collect()
     assert (rows[0].w, rows[0].x) == (pytest.approx(math.cos(math.pi / 8)), pytest.approx(math.sin(math.pi / 8))) and (rows[1].w, rows[1].x) == (1.0, 0.0)
+
+
+def test_ray_cells_by_small_steps(spark):
+    """Each cell that many points of a segment lie in is there, and none that is not next to one."""
+    rng = np.random.default_rng(5)
+    rays = [(k, *map(float, rng.uniform(-3, 3, 6))) for k in range(40)] + [(40, 0.0, 0.0, 0.0, -2.0, 0.0, 0.0), (41, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5), (42, 1.0, float("inf"), 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rays, "ray int, ox double, oy double, oz double, ex double, ey double, ez double")
+    got = {}
+    for r in voxels.ray_cells(df, size=0.7).collect():
+        got.setdefault(r.ray, []).append((r.cx, r.cy, r.cz))
+    assert 42 not in got and got[41] == [(0, 0, 0)] and sorted(got[40]) == [(-3, 0, 0), (-2, 0, 0), (-1, 0, 0), (0, 0, 0)]
+    for k, *p in rays[:40]:
+        o, e = np.array(p[:3]), np.array(p[3:])
+        seen = {tuple(map(int, c)) for c in np.floor((o + (e - o) * np.linspace(0, 1, 20_001)[:, None]) / 0.7)}
+        assert seen <= set(got[k]) and len(got[k]) == len(set(got[k])) == 1 + int(np.abs(np.floor(o / 0.7) - np.floor(e / 0.7)).sum())
+
+
+def test_budgets_raise(spark):
+    df = spark.range(10)
+    assert tables.within(df, {"rows": (F.count("*"), 10)}).count() == 10
+    with pytest.raises(ValueError, match="rows is 10, above its budget of 9"):
+        tables.within(df, {"rows": (F.count("*"), 9)})
+    assert tables.within(df.limit(0), {"sum": (F.sum("id"), 0)}).count() == 0
