@@ -7,7 +7,7 @@ the one or two ranks that count are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("upper_median", "linear", "truncated", "ceil_rank", "rounded")
@@ -43,23 +43,37 @@ def linear(value: Column, q: float) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str], value: str, q: float, kind: str, out: str) -> DataFrame:
-    """``(*by, out)``. Equal values of a group are counted first, so a large group shrinks to its distinct values."""
-    from pyspark.sql import Window
+    """``(*by, out)`` over groups of any size.
+
+    Equal values of a group are counted first, so a group shrinks to its distinct
+    values. These are dealt out by ranges of group and value; a running sum over
+    the ranges, a row for each group in each, names the one or two in which a
+    group's place lies, and values are put in order within these alone.
+    """
+    from terrace.operators.lineage import cut
 
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_of = Window.partitionBy(*by)
+    ranged = cut(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    group = Window.partitionBy(*by)
+    line = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
     placed = (
-        counts.withColumn("_upto", F.sum("_n").over(order))
-        .withColumn("_all", F.sum("_n").over(all_of))
-        .withColumn("_place", position(F.col("_all"), q, kind))
+        sums.withColumn("_before", F.sum("_in").over(line) - F.col("_in"))
+        .withColumn("_place", position(F.sum("_in").over(group), q, kind))
+        .where((F.col("_before") <= F.ceil("_place")) & (F.col("_before") + F.col("_in") > F.floor("_place")))
     )
+    held_in = placed.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_range").alias("_at"), "_before", "_place")
+    same = F.col("_range") == F.col("_at")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = ranged.join(held_in, same).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
 
     def held(place: Column) -> Column:
         return (F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)
 
     low, high = F.floor("_place"), F.ceil("_place")
-    ends = placed.groupBy(*by).agg(
+    ends = near.groupBy(*by).agg(
         F.max(F.when(held(low), F.col(value))).alias("_low"),
         F.max(F.when(held(high), F.col(value))).alias("_high"),
         F.first(F.col("_place") - low).alias("_part"),

@@ -7,6 +7,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,6 +19,10 @@ SCALARS = {"char": "b", "uchar": "B", "short": "h", "ushort": "H", "int": "i", "
 ALIASES = {"int8": "char", "uint8": "uchar", "int16": "short", "uint16": "ushort", "int32": "int", "uint32": "uint", "float32": "float", "float64": "double"}
 
 
+#: Rows that are read at a time.
+BATCH = 1 << 17
+
+
 @dataclass
 class Element:
     """A table of a PLY file: its rows, scalar columns, and whether it is a list of indices."""
@@ -72,9 +78,9 @@ def read_header(path: str) -> Header:
 class PlyDataSource(DataSource):
     """``spark.read.format("ply").option("element", "vertex").load(path)``: rows with their ``idx``.
 
-    Vertices of a binary file have a fixed size, so byte ranges of them are read
-    in parallel; faces are triangles ``a, b, c`` and read in order. The path must
-    be readable on every machine.
+    Vertices and triangles ``a, b, c`` of a binary file have a fixed size, so byte
+    ranges of them are read in parallel, as arrays; a text file is read in order.
+    The path must be readable on every machine.
     """
 
     @classmethod
@@ -110,11 +116,11 @@ class PlyReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         n = self.element.rows
-        if not self.header.binary or self.element.listed:
+        if not self.header.binary:
             return [Rows(0, n)]
         return [Rows(k, min(n, k + self.step)) for k in range(0, n, self.step)] or [Rows(0, 0)]
 
-    def read(self, partition: Rows) -> Iterator[tuple]:
+    def read(self, partition: Rows) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         yield from (self._binary if self.header.binary else self._text)(partition)
 
     def _before(self) -> list[Element]:
@@ -135,23 +141,27 @@ class PlyReader(DataSourceReader):
                 else:
                     yield (k, *(float(w) if t in ("float", "double") else int(w) for w, (_, t) in zip(words, self.element.columns, strict=True)))
 
-    def _binary(self, partition: Rows) -> Iterator[tuple]:
+    def _binary(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         e = self.element
         if any(x.listed for x in self._before()):
             raise ValueError("an element behind a list can't be found without reading it")
+        if e.listed:
+            kind = np.dtype([("n", "<" + SCALARS[e.listed[1]]), ("abc", "<" + SCALARS[e.listed[2]], 3)])
+        else:
+            kind = np.dtype([(name, "<" + SCALARS[t]) for name, t in e.columns])
         start = self.header.size + sum(x.stride * x.rows for x in self._before())
         with open(self.path, "rb") as f:
-            if e.listed:
-                count, index = ("<" + SCALARS[t] for t in e.listed[1:])
-                f.seek(start)
-                for k in range(e.rows):
-                    n = struct.unpack(count, _exactly(f, struct.calcsize(count)))[0]
-                    yield (k, *_triangle([n, *struct.unpack("<" + index[1] * n, _exactly(f, n * struct.calcsize(index)))]))
-                return
-            f.seek(start + partition.first * e.stride)
-            code = "<" + "".join(SCALARS[t] for _, t in e.columns)
-            for k in range(partition.first, partition.last):
-                yield (k, *struct.unpack(code, _exactly(f, e.stride)))
+            f.seek(start + partition.first * kind.itemsize)
+            for k in range(partition.first, partition.last, BATCH):
+                n = min(BATCH, partition.last - k)
+                rows = np.frombuffer(_exactly(f, n * kind.itemsize), kind)
+                if e.listed and (rows["n"] != 3).any():
+                    raise ValueError("only triangles are supported")
+                if e.listed:
+                    columns = {name: rows["abc"][:, i].astype(np.int64) for i, name in enumerate("abc")}
+                else:
+                    columns = {name: rows[name].astype(np.float64 if t in ("float", "double") else np.int64) for name, t in e.columns}
+                yield pa.RecordBatch.from_pydict({"idx": np.arange(k, k + n), **columns})
 
 
 def _exactly(f, n: int) -> bytes:

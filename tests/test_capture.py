@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import geometry as g
+from terrace.functions import quantile
 from terrace.operators import align, fold, images, meshes, rigs, scan, tables, tiles, voxels
 from terrace.operators.tables import Versions
 from terrace.plans import gates
@@ -266,3 +267,41 @@ def test_budgets_raise(spark):
     with pytest.raises(ValueError, match="rows is 10, above its budget of 9"):
         tables.within(df, {"rows": (F.count("*"), 9)})
     assert tables.within(df.limit(0), {"sum": (F.sum("id"), 0)}).count() == 0
+
+
+def test_ply_ranges(spark, tmp_path):
+    """Vertices and triangles in ranges of rows; a polygon and a cut-off file are refused."""
+    spark.dataSource.register(ply.PlyDataSource)
+    path = str(tmp_path / "a.ply")
+    vertices, triangles = [(float(k), -float(k), 0.5) for k in range(1000)], [(k, k + 1, k + 2) for k in range(998)]
+    ply.write_ply(path, vertices, triangles)
+    read = lambda **o: spark.read.format("ply").options(path=path, rowsPerPartition="37", **o).load()
+    got = read(element="vertex")
+    assert got.rdd.getNumPartitions() == 28
+    assert sorted(map(tuple, got.collect())) == [(k, *v) for k, v in enumerate(vertices)]
+    with pytest.raises(Exception, match="without reading|no element|cut off"):
+        read(element="edge").collect()
+    faces = str(tmp_path / "f.ply")
+    head = b"ply\nformat binary_little_endian 1.0\nelement face 4\nproperty list uchar int vertex_indices\nend_header\n"
+    row = lambda n: bytes([n]) + b"".join(int(k).to_bytes(4, "little") for k in range(n))
+    for body, want in ((row(3) * 4, 4), (row(3) * 3 + row(4), None), (row(3) * 3, None)):
+        with open(faces, "wb") as f:
+            f.write(head + body)
+        df = spark.read.format("ply").options(path=faces, element="face", rowsPerPartition="2").load()
+        if want:
+            assert sorted(map(tuple, df.collect())) == [(k, 0, 1, 2) for k in range(4)]
+        else:
+            with pytest.raises(Exception, match="triangles|cut off"):
+                df.collect()
+
+
+@pytest.mark.parametrize("kind,q", [("linear", 0.9), ("upper_median", 0.5), ("ceil_rank", 0.25), ("rounded", 0.33), ("truncated", 1.0)])
+def test_ranked_over_ranges(spark, kind, q):
+    """One group over many ranges, small groups, a null group, ties and nulls, against the array form."""
+    rng = np.random.default_rng(7)
+    rows = [("big", float(x)) for x in rng.normal(size=3000)] + [(None, float(k % 3)) for k in range(50)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r.q for r in quantile.ranked(df, ["g"], "v", q, kind, "q").collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(quantile.exact(F.collect_list("v"), q, kind).alias("q")).where("q is not null").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert quantile.ranked(df, [], "v", q, kind, "q").count() == 1 and quantile.ranked(df.limit(0), [], "v", q, kind, "q").first().q is None
