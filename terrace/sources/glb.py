@@ -1,4 +1,4 @@
-"""GLB files: meshes, nodes and animations of a scene as rows.
+"""GLB files: meshes, morphs, skins, materials, nodes and animations of a scene as rows.
 
 A file is one binary value, read in one task. Everything that a row refers to
 is checked against the bytes that are there; what isn't raises ``ValueError``.
@@ -27,6 +27,10 @@ PBR_TEXTURES = ("baseColorTexture", "metallicRoughnessTexture")
 VERTICES = "path string, mesh int, primitive int, idx long, pos array<double>, normal array<double>, uv array<double>"
 FACES = "path string, mesh int, primitive int, material int, idx long, a long, b long, c long"
 NODES = "path string, node int, parent int, name string, mesh int, world array<double>"
+JOINTS = "path string, skin int, joint long, node int, inverse array<double>"
+INFLUENCES = "path string, mesh int, primitive int, idx long, joint long, weight double"
+MORPHS = "path string, mesh int, primitive int, target int, idx long, dpos array<double>, dnormal array<double>"
+MATERIALS = "path string, material int, name string, colour array<double>, metallic double, roughness double, image int"
 KEYS = "path string, animation int, node int, property string, interpolation string, seconds double, value array<double>"
 
 
@@ -220,3 +224,73 @@ def key_rows(files: DataFrame) -> DataFrame:
                     yield path, a, target.get("node"), target["path"], sampler.get("interpolation", "LINEAR"), t, value
 
     return _rows(files, KEYS, make)
+
+
+def joint_rows(files: DataFrame) -> DataFrame:
+    """Joints of every skin with their node and inverse bind matrix, column by column; the identity where a skin gives none."""
+
+    def make(path: str, g: Glb) -> Iterator[tuple]:
+        for s, skin in enumerate(g.doc.get("skins", [])):
+            joints = skin["joints"]
+            inverse = g.accessor(skin["inverseBindMatrices"]) if "inverseBindMatrices" in skin else np.tile(np.eye(4).ravel(), (len(joints), 1))
+            if inverse.shape != (len(joints), 16):
+                raise ValueError(f"skin {s} has another number of matrices than of joints")
+            for j, (node, m) in enumerate(zip(joints, inverse.tolist(), strict=True)):
+                g.part("nodes", node)
+                yield path, s, j, node, m
+
+    return _rows(files, JOINTS, make)
+
+
+def influence_rows(files: DataFrame) -> DataFrame:
+    """What joints move each vertex, with weights above 0 that add up to 1."""
+
+    def make(path: str, g: Glb) -> Iterator[tuple]:
+        for m, p, primitive, places, _ in g.primitives():
+            given = primitive["attributes"]
+            if ("JOINTS_0" in given) != ("WEIGHTS_0" in given):
+                raise ValueError("joints come without weights, or weights without joints")
+            if "JOINTS_0" not in given:
+                continue
+            joints, weights = g.accessor(given["JOINTS_0"]), np.asarray(g.accessor(given["WEIGHTS_0"]), float)
+            if joints.shape != weights.shape or joints.shape != (len(places["POSITION"]), 4) or weights.min() < 0:
+                raise ValueError("joints or weights don't belong to the vertices")
+            total = weights.sum(axis=1, keepdims=True)
+            weights = np.divide(weights, total, out=np.zeros_like(weights), where=total > 0)
+            for i, k in zip(*np.nonzero(weights), strict=True):
+                yield path, m, p, int(i), int(joints[i, k]), float(weights[i, k])
+
+    return _rows(files, INFLUENCES, make)
+
+
+def morph_rows(files: DataFrame) -> DataFrame:
+    """How far every target of a primitive moves each vertex, and its normal where given."""
+
+    def make(path: str, g: Glb) -> Iterator[tuple]:
+        for m, p, primitive, places, _ in g.primitives():
+            for t, target in enumerate(primitive.get("targets", [])):
+                moved = {k: g.accessor(target[k]) for k in ("POSITION", "NORMAL") if k in target}
+                if any(x.shape != (len(places["POSITION"]), 3) for x in moved.values()):
+                    raise ValueError("a target doesn't belong to the vertices")
+                columns = [moved[k].tolist() if k in moved else [None] * len(places["POSITION"]) for k in ("POSITION", "NORMAL")]
+                for i, values in enumerate(zip(*columns, strict=True)):
+                    yield path, m, p, t, i, *values
+
+    return _rows(files, MORPHS, make)
+
+
+def material_rows(files: DataFrame) -> DataFrame:
+    """Materials with their base colour, how metallic and rough they are, and the image of their colours."""
+
+    def make(path: str, g: Glb) -> Iterator[tuple]:
+        for i, material in enumerate(g.doc.get("materials", [])):
+            look = material.get("pbrMetallicRoughness", {})
+            image = None
+            if "baseColorTexture" in look:
+                image = g.part("textures", look["baseColorTexture"]["index"]).get("source")
+                if image is not None:
+                    g.part("images", image)
+            colour = [float(x) for x in look.get("baseColorFactor", (1, 1, 1, 1))]
+            yield path, i, material.get("name"), colour, float(look.get("metallicFactor", 1)), float(look.get("roughnessFactor", 1)), image
+
+    return _rows(files, MATERIALS, make)

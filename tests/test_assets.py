@@ -126,3 +126,48 @@ def test_assets(spark, tmp_path):
     assert (r.name, r.cameras, r.vertices, r.triangles, r.materials, r.images, r.confidence) == ("sound", 1, 4, 2, 1, 1, 0.5)
     assert got["each"].confidence is None
     assert assets.assets(spark, str(tmp_path)).where(F.size("codes") == 0).count() == 2
+
+
+def rigged(**more):
+    """Three vertices with two joints and a target that moves them."""
+    parts = [
+        np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]], "<f4"), np.array([[0, 1, 0, 0], [1, 0, 0, 0], [1, 1, 0, 0]], "u1"), np.array([[3, 1, 0, 0], [1, 0, 0, 0], [0, 0, 0, 0]], "<f4"),
+        np.array([np.eye(4).ravel(), 2 * np.eye(4).ravel()], "<f4"), np.array([[0, 0, 1], [0, 0, 2], [0, 0, 3]], "<f4"),
+    ]
+    views, at = [], 0
+    for x in parts:
+        views.append({"buffer": 0, "byteOffset": at, "byteLength": x.nbytes})
+        at += x.nbytes
+    kinds = [(5126, "VEC3", 3), (5121, "VEC4", 3), (5126, "VEC4", 3), (5126, "MAT4", 2), (5126, "VEC3", 3)]
+    doc = {
+        "buffers": [{"byteLength": at}],
+        "bufferViews": views,
+        "accessors": [{"bufferView": k, "componentType": c, "type": t, "count": n} for k, (c, t, n) in enumerate(kinds)],
+        "meshes": [{"primitives": [{"attributes": {"POSITION": 0, "JOINTS_0": 1, "WEIGHTS_0": 2}, "targets": [{"POSITION": 4}]}]}],
+        "nodes": [{}, {}],
+        "skins": [{"joints": [1, 0], "inverseBindMatrices": 3}, {"joints": [0]}],
+        "materials": [{"name": "m", "pbrMetallicRoughness": {"baseColorFactor": [1, 0, 0, 1], "metallicFactor": 0, "baseColorTexture": {"index": 0}}}, {}],
+        "textures": [{"source": 0}],
+        "images": [{"uri": "data:image/png;base64,AA=="}],
+    } | more
+    return packed(doc, b"".join(x.tobytes() for x in parts))
+
+
+def test_skins_morphs_and_materials(spark):
+    files = spark.createDataFrame([("a", bytearray(rigged()))], "path string, content binary")
+    joints = glb.joint_rows(files).orderBy("skin", "joint").collect()
+    assert [(j.skin, j.joint, j.node, j.inverse[0]) for j in joints] == [(0, 0, 1, 1.0), (0, 1, 0, 2.0), (1, 0, 0, 1.0)]
+    held = sorted((r.idx, r.joint, r.weight) for r in glb.influence_rows(files).collect())
+    assert held == [(0, 0, 0.75), (0, 1, 0.25), (1, 1, 1.0)]
+    assert [(r.target, r.idx, r.dpos, r.dnormal) for r in glb.morph_rows(files).orderBy("idx").collect()] == [(0, k, [0, 0, k + 1.0], None) for k in range(3)]
+    one, two = glb.material_rows(files).orderBy("material").collect()
+    assert (one.name, one.colour, one.metallic, one.roughness, one.image) == ("m", [1, 0, 0, 1], 0, 1, 0) and (two.name, two.colour, two.image) == (None, [1, 1, 1, 1], None)
+    for make, bad in (
+        (glb.joint_rows, {"skins": [{"joints": [0], "inverseBindMatrices": 3}]}),
+        (glb.joint_rows, {"skins": [{"joints": [7]}]}),
+        (glb.influence_rows, {"meshes": [{"primitives": [{"attributes": {"POSITION": 0, "JOINTS_0": 1}}]}]}),
+        (glb.morph_rows, {"meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "targets": [{"POSITION": 3}]}]}]}),
+        (glb.material_rows, {"textures": []}),
+    ):
+        with pytest.raises(Exception, match="ValueError"):
+            make(spark.createDataFrame([("a", bytearray(rigged(**bad)))], "path string, content binary")).collect()
