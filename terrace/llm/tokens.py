@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm.common import shared_dir
@@ -23,7 +23,7 @@ KEY = ["source", "lang", "tokenizer"]
 COUNTS = "doc_id long, tokenizer string, source string, lang string, n_tokens long"
 STATE = "doc_id long, tokenizer string, source string, lang string, n_docs long, n_tokens long"
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-#: Parts of the state table by document; a batch rewrites only those that its documents lie in.
+#: Parts of the state table by document unless named; a batch rewrites only those that its documents lie in.
 BUCKETS = 64
 
 
@@ -88,8 +88,9 @@ class Rollup:
     and the parts of the state that it touched, written under another name and
     renamed once whole: it counts fully or not at all, and a batch whose id has
     been committed changes nothing, whatever it holds. The state lies in
-    ``BUCKETS`` parts; of each the newest batch that has it is the true one, and
-    older ones go after the commit. One writer at a time.
+    ``buckets`` parts, as many for the folder's whole life: enough that one of them
+    is a few GB at most. Of each part the newest batch that has it is the true one,
+    and older ones go after the commit. One writer at a time.
 
     The rows of one id and tokenizer in a batch are one document that counts all
     of them, in each source and language they name; with a ``delete`` among them
@@ -100,8 +101,8 @@ class Rollup:
     third of all rows is a few rows a task.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -109,6 +110,9 @@ class Rollup:
     def _fs(self):
         return self._path(".").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(self.buckets)).cast("int")
+
     def _names(self, folder: str) -> list[str]:
         fs, top = self._fs(), self._path(folder)
         return sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
@@ -151,11 +155,11 @@ class Rollup:
                 F.sum(F.when(gone, 0).otherwise(F.coalesce(F.col("n_tokens"), F.lit(0)))).cast("long").alias("n_tokens"),
                 F.max(gone).alias("gone"),
             )
-            .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(BUCKETS)).cast("int"))
+            .withColumn("bucket", self._bucket())
             .write.parquet(f"{self.folder}/{room}/new")
         )
         new = self.spark.read.parquet(f"{self.folder}/{room}/new")
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # a row a bucket at most
         parts = self._parts()
         old = self._state({b: parts[b] for b in (f"bucket={k}" for k in touched) if b in parts})
         named = new.groupBy("doc_id", "tokenizer", "bucket").agg(F.max("gone").alias("_gone"))
@@ -163,8 +167,7 @@ class Rollup:
         stays = old.alias("x").join(named.alias("y"), same, "left_anti")
         leaves = old.alias("x").join(named.alias("y"), same, "left_semi")
         comes = new.alias("x").join(named.where("not _gone").alias("y"), same, "left_semi").where("n_docs > 0").select(*group, "n_docs", "n_tokens")
-        bucket = F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(BUCKETS)).cast("int")
-        after = stays.unionByName(comes).withColumn("bucket", bucket)
+        after = stays.unionByName(comes).withColumn("bucket", self._bucket())
         after.repartition("bucket", F.pmod(F.xxhash64(*group), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.folder}/{room}/state")
         fs = self._fs()
         for k in touched:  # a part that has become empty stands for itself

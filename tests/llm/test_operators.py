@@ -427,8 +427,9 @@ def test_html_table(spark):
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (3, 16), (3, 16), (4, 20000 * 6 - 1)]
 
 
-def test_rollup(spark, tmp_path):
-    roll = tokens.Rollup(spark, str(tmp_path / "roll"))
+@pytest.mark.parametrize("buckets", [64, 1])
+def test_rollup(spark, tmp_path, buckets):
+    roll = tokens.Rollup(spark, str(tmp_path / "roll"), buckets)
     kind = "op string, doc_id long, tokenizer string, source string, lang string, n_tokens long"
     put = lambda name, rows: roll.commit(name, spark.createDataFrame(rows, kind).withColumn("bucket", F.lit("clash")))
     first = [("insert", 1, "t", "s", "en", 10), ("insert", 2, "t", "s", "en", 5), ("insert", 3, "t", None, None, 7), ("insert", None, "t", "s", "en", 1), ("insert", 4, None, "s", "en", 9)]
