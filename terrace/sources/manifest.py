@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.numeric import safe_path
+from terrace.operators.scan import numbered
 
 PLANE = "struct<path:string,width:int,height:int,row_stride:int,bytes_per_pixel:int,byte_count:bigint,sha256:string>"
 POSE = "struct<qw:double,qx:double,qy:double,qz:double,tx:double,ty:double,tz:double>"
@@ -57,19 +58,40 @@ def confidence(level: Column) -> Column:
     return F.when(level == 0, 0).when(level == 1, 128).when(level == 2, 255).otherwise(F.raise_error(F.lit("confidence level out of range")))
 
 
+def tail_bytes(spark: SparkSession, path: str, step: int = 1 << 16) -> int:
+    """How many bytes of a file come after its last line end; read from its end, ``step`` bytes at a time."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = at = fs.getFileStatus(where).getLen()
+    stream = fs.open(where)
+    try:
+        while at > 0:
+            n = min(step, at)
+            at -= n
+            stream.seek(at)
+            found = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)).rfind(b"\n")
+            if found >= 0:
+                return size - (at + found + 1)
+    finally:
+        stream.close()
+    return size
+
+
 def recovered(spark: SparkSession, path: str, schema: str = "frame_id long, timestamp_ns long") -> tuple[DataFrame, int]:
     """Frames of a journal of JSON lines and the bytes cut off at its end.
 
     Only lines with their line end count. Raises if one of these isn't a record,
-    if ids don't go up by one from 1, or if time goes back.
+    if ids don't go up by one from 1, or if time goes back. A large journal is read
+    in parts, and lines are numbered by ranges of their places.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("t"), F.length("content").alias("n"))
-    parts = raw.select(F.split("t", "\n").alias("l"), "n")
-    tail = parts.select(F.octet_length(F.element_at("l", -1))).first()[0]
-    lines = parts.select(F.posexplode(F.slice("l", 1, F.size("l") - 1)).alias("place", "line")).where("line <> ''")
-    rows = lines.select("place", F.from_json("line", schema).alias("f")).select("place", "f.*")
-    order = Window.orderBy("place")
-    bad = rows.withColumn("_t", F.lag("timestamp_ns", 1, 0).over(order)).withColumn("_k", F.row_number().over(order))
-    if not bad.where("frame_id is null or timestamp_ns is null or frame_id <> _k or timestamp_ns < _t").isEmpty():
+    tail = tail_bytes(spark, path)
+    text = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_in"))
+    lines = numbered(text.where("value <> ''"), ["_at", "_in"], "_k")
+    if tail:
+        lines = lines.where(F.col("_k") < lines.count() - 1)
+    rows = lines.select("_k", F.from_json("value", schema).alias("f")).select("_k", "f.*")
+    after = rows.select((F.col("frame_id") + 1).alias("frame_id"), F.col("timestamp_ns").alias("_t"))
+    back = rows.join(after, "frame_id").where("timestamp_ns < _t or timestamp_ns < 0")
+    if not rows.where("frame_id is null or timestamp_ns is null or timestamp_ns < 0 or frame_id <> _k + 1").isEmpty() or not back.isEmpty():
         raise ValueError("the journal's frames are not in order")
-    return rows.drop("place"), tail
+    return rows.drop("_k"), tail

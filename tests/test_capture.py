@@ -13,7 +13,7 @@ from terrace.functions import quantile
 from terrace.operators import align, fold, images, meshes, rigs, scan, tables, tiles, voxels
 from terrace.operators.tables import Versions
 from terrace.plans import gates
-from terrace.sources import ply, records, scans
+from terrace.sources import manifest, ply, records, scans
 from terrace.streaming import fusion, journal, meshing
 
 
@@ -305,3 +305,26 @@ def test_ranked_over_ranges(spark, kind, q):
     want = {r.g: r.q for r in df.groupBy("g").agg(quantile.exact(F.collect_list("v"), q, kind).alias("q")).where("q is not null").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert quantile.ranked(df, [], "v", q, kind, "q").count() == 1 and quantile.ranked(df.limit(0), [], "v", q, kind, "q").first().q is None
+
+
+def test_long_journal(spark, tmp_path, monkeypatch):
+    """A journal in several parts, and a tail longer than a step back from its end."""
+    path = str(tmp_path / "j.ndjson")
+    lines = "".join(json.dumps({"frame_id": k, "timestamp_ns": 10 * k}) + "\n" for k in range(1, 3001))
+    for tail in ("", '{"frame', "x" * 300):
+        with open(path, "w") as f:
+            f.write(lines + tail)
+        assert manifest.tail_bytes(spark, path, 64) == len(tail)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        try:
+            rows, cut_off = manifest.recovered(spark, path)
+            assert cut_off == len(tail) and sorted(map(tuple, rows.collect())) == [(k, 10 * k) for k in range(1, 3001)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for bad in (lines + '{"frame_id": 3002, "timestamp_ns": 99999}\n', lines + '{"frame_id": 3001, "timestamp_ns": 1}\n', "no\n" + lines):
+        with open(path, "w") as f:
+            f.write(bad)
+        with pytest.raises(ValueError):
+            manifest.recovered(spark, path)
+    open(path, "w").close()
+    assert manifest.recovered(spark, path)[0].count() == 0
