@@ -178,14 +178,16 @@ def cascade_splits(read):
 
 
 @query("""
-select event_id, [round(greatest(0, least(1, y + 1.5748 * v)), 6), round(greatest(0, least(1, y - 0.1873 * u - 0.4681 * v)), 6), round(greatest(0, least(1, y + 1.8556 * u)), 6)] as rgb,
+select event_id, [floor(greatest(0, least(1, y + 1.5748 * v)) * 100000 + 0.5)::bigint, floor(greatest(0, least(1, y - 0.1873 * u - 0.4681 * v)) * 100000 + 0.5)::bigint,
+  floor(greatest(0, least(1, y + 1.8556 * u)) * 100000 + 0.5)::bigint] as rgb,
   round(0.2126::double * (event_id % 7) + 0.7152::double * (event_id % 11) + 0.0722::double * (event_id % 13), 6) as luma, round(1 / (1 + exp(-greatest(-30, least(30, value::double)))), 6) as squashed
 from (select event_id, value, (event_id % 256 - 16) / 219.0::double as y, (event_id % 251 - 128) / 224.0::double as u, (event_id % 241 - 128) / 224.0::double as v from events)""")
 def video_colours(read):
+    """Colours in hundred-thousandths: many lie half-way between two, where the engines' own rounding differs."""
     i = F.col("event_id")
     rgb = g.video_to_rgb((i % 256).cast("double"), (i % 251).cast("double"), (i % 241).cast("double"))
     luma = g.luminance((i % 7).cast("double"), (i % 11).cast("double"), (i % 13).cast("double"))
-    return read("events").select("event_id", F.array(*(F.round(c, 6) for c in rgb)).alias("rgb"), r6(luma, "luma"), r6(g.sigmoid(F.col("value").cast("double")), "squashed"))
+    return read("events").select("event_id", F.array(*(F.floor(c * 100_000 + 0.5) for c in rgb)).alias("rgb"), r6(luma, "luma"), r6(g.sigmoid(F.col("value").cast("double")), "squashed"))
 
 
 @query(f"""
