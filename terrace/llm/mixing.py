@@ -114,11 +114,12 @@ def mixed(
 
     Null language or source is the name ``?``; null ids sort as the text ``?``.
     Documents without tokens go with whole epochs, and with a part of one if
-    they come before its end. Repeated rows count each; long texts are counted whole. A weight of 0 takes
-    nothing; a budget above what epochs allow is lowered to that. An empty table
-    gives an empty result; other columns are ignored, but for ``row_col``: if
-    named, that unique key of the input's rows comes last in the order and in the
-    columns, which tells drawn rows of one id or none apart.
+    they come before its end. Repeated rows count each; long texts are counted
+    whole. A weight of 0 takes nothing; a budget above what epochs allow is
+    lowered to that. An empty table gives an empty result; other columns are
+    ignored, but for ``row_col``: if named, that unique key of the input's rows
+    comes last in the order and in the columns, which tells drawn rows of one id
+    or none apart.
     """
     row = [row_col] if row_col else []
     tokens = n_words(F.col("text")) if tokens is None else tokens
@@ -161,18 +162,12 @@ def mixed(
     keep = ["doc_id", *LEVELS, "epoch", "order_key", "n_tokens", *row]
     whole = keyed.where("epoch < _whole").select(*keep, F.col("n_tokens").alias("take_tokens"))
     partial = keyed.where("epoch = _whole").withColumn("_range", F.substring("order_key", 1, RANGE_DIGITS))
-    ranges = partial.groupBy(*LEVELS, "_range").agg(F.sum("n_tokens").alias("_in"), F.max("_rest").alias("_rest"))
-    upto = Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        ranges.withColumn("_before", F.sum("_in").over(upto) - F.col("_in"))
-        .where("_before < _rest")
-        .select(*LEVELS, "_range", "_before", (F.col("_before") + F.col("_in") >= F.col("_rest")).alias("_ends"))
-    )
-    started = partial.join(small(written(cut)), [*LEVELS, "_range"])
-    all_of = started.where("not _ends").select(*keep, F.col("n_tokens").alias("take_tokens"))
+    ends = small(_range_of_end(partial))
+    started = partial.join(ends, list(LEVELS))
+    all_of = started.where(F.col("_range") < F.col("_end")).select(*keep, F.col("n_tokens").alias("take_tokens"))
     # in the range of the end, rows that tie are told apart by where they were written, so that many of one id are many groups
     tie = ["order_key", "n_tokens", "_part"]
-    last = started.where("_ends")
+    last = started.where(F.col("_range") == F.col("_end"))
     line = Window.partitionBy(*LEVELS).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
     ties = (
         last.groupBy(*LEVELS, *tie)
@@ -195,6 +190,28 @@ def mixed(
     return out.select(*(c for c in out.columns if c not in row), *row)
 
 
+def _range_of_end(partial: DataFrame) -> DataFrame:
+    """``(*LEVELS, _end, _before)``: the hash range in which each leaf's rest ends, and the tokens of all ranges before.
+
+    One digit after the other: each step puts in order the sixteen ranges of a
+    leaf that the digits so far leave.
+    """
+    left = written(partial.groupBy(*LEVELS, "_range").agg(F.sum("n_tokens").alias("_in"), F.max("_rest").alias("_rest"))).withColumn("_before", F.lit(0).cast("long"))
+    line = Window.partitionBy(*LEVELS).orderBy("_end").rowsBetween(Window.unboundedPreceding, 0)
+    for digits in range(1, RANGE_DIGITS + 1):
+        end = (
+            left.groupBy(*LEVELS, F.substring("_range", 1, digits).alias("_end"))
+            .agg(F.sum("_in").alias("_in"), F.max("_rest").alias("_rest"), F.max("_before").alias("_before"))
+            .withColumn("_upto", F.col("_before") + F.sum("_in").over(line))
+            .where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_in") < F.col("_rest")))
+            .select(*LEVELS, "_end", (F.col("_upto") - F.col("_in")).alias("_before"))
+        )
+        end = written(end)  # a row a leaf
+        if digits < RANGE_DIGITS:
+            left = left.drop("_before").join(small(end), list(LEVELS)).where(F.col("_range").startswith(F.col("_end"))).drop("_end")
+    return end
+
+
 #: The query's tree: weights among siblings, and the weight of names not listed.
 DOMAIN_RULES = (("web", "^src0$"), ("reference", "^src[1-9]$"))
 OTHER_DOMAIN = "community"
