@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import threading
 
 import duckdb
 import numpy as np
@@ -464,3 +465,29 @@ def test_consensus_draws_from_all_pairs(spark):
     good = [F.when(F.col("i") < 100_000, 50 * F.col(f"_o{a}")).otherwise(2 * F.col(f"s{a}") + 1).alias(f"t{a}") for a in "xyz"]
     found = align.consensus(df.select("i", "sx", "sy", "sz", *good), "i", 1e-3, trials=32)
     assert found.scale == pytest.approx(2) and np.allclose(found.rotation, np.eye(3)) and np.allclose(found.translation, 1)
+
+
+def test_grid_neighbours_where_points_are_dense(spark, monkeypatch):
+    """More rows than a block holds, copies with ties, far points and rows without a place; no row per pair is made."""
+    monkeypatch.setattr(nearest, "MOST_HELD", 300)
+    rng = np.random.default_rng(8)
+    a = np.concatenate([rng.normal(size=(1500, 3)) / 8, np.tile(0.5, (400, 3)), [[90.0, -90, 1]]])
+    b = np.concatenate([rng.normal(size=(1500, 3)) / 8, np.tile(0.5, (400, 3)), [[0.1, 700, 1]]])
+    frame = lambda p: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)] + [(9000, None, 0.0, 0.0), (9001, 0.0, float("nan"), 0.0)], "i int, x double, y double, z double")
+    out = nearest.grid_neighbours(frame(a), frame(b).withColumnRenamed("i", "j"), "i", "j", ["x", "y", "z"], 0.25)
+    got = {r.i: (r.neighbour, r.distance) for r in out.collect()}
+    d = np.sqrt(sum((a[:, None, k] - b[None, :, k]) ** 2 for k in range(3)))
+    assert got == {i: (int(k), float(d[i, k])) for i, k in enumerate(d.argmin(axis=1))}
+    assert nearest.grid_neighbours(frame(a), frame(b).where("i < 0"), "i", "i", ["x", "y", "z"], 0.25).isEmpty()
+    assert nearest.grid_neighbours(frame(a).where("i < 0"), frame(b), "i", "i", ["x", "y", "z"], 0.25).isEmpty()
+
+
+def test_grid_neighbours_make_no_row_per_pair(spark):
+    """All points in one cell of the former grid, whose join made a row for each of 625 million pairs and ran for minutes."""
+    p = spark.range(50_000).select("id", *(((F.xxhash64("id", F.lit(k)) % 100_000) / 500_000).alias(a) for k, a in enumerate("xyz")))
+    stop = threading.Timer(40, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        assert nearest.grid_neighbours(p.where("id < 25000"), p.where("id >= 25000"), "id", "id", ["x", "y", "z"], 1.0).count() == 25_000
+    finally:
+        stop.cancel()
