@@ -174,7 +174,7 @@ m as (select (select avg(d) from f) as a, (select avg(d) from g) as c, (select a
 select round((a + c) / 2, 6) as chamfer, round(p, 6) as "precision", round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f_score from m""")
 def chamfer_fscore(read):
     a, b = _labelled(read, 0), _labelled(read, 1)
-    m = nearest.geometry_metrics(nearest.neighbours(a, b, "vec_id", "vec_id", "embedding"), nearest.neighbours(b, a, "vec_id", "vec_id", "embedding"), 9.0)
+    m = nearest.geometry_metrics(*nearest.neighbours_both_ways(a, b, "vec_id", "vec_id", "embedding"), 9.0)
     return m.select(*(r6(F.col(c), c) for c in ("chamfer", "precision", "recall", "f_score")))
 
 
