@@ -165,7 +165,7 @@ f as (select x, min(d) as d from d group by x), g as (select y, min(d) as d from
 select round((select avg(d) from f), 6) as accuracy, round((select avg(d) from g), 6) as completeness""")
 def nn_accuracy_completeness(read):
     a, b = _labelled(read, 0), _labelled(read, 1)
-    m = nearest.geometry_metrics(nearest.neighbours(a, b, "vec_id", "vec_id", "embedding"), nearest.neighbours(b, a, "vec_id", "vec_id", "embedding"), 1.0)
+    m = nearest.geometry_metrics(*nearest.neighbours_both_ways(a, b, "vec_id", "vec_id", "embedding"), 1.0)
     return m.select(r6(F.col("accuracy"), "accuracy"), r6(F.col("completeness"), "completeness"))
 
 

@@ -514,7 +514,7 @@ def _vectors(spark, tmp_path, n: int) -> np.ndarray:
     return v.astype(float)
 
 
-@pytest.mark.parametrize("name", ["chamfer_fscore"])
+@pytest.mark.parametrize("name", ["chamfer_fscore", "nn_accuracy_completeness"])
 def test_metrics_of_many_vectors(spark, tmp_path, name):
     """16,000 vectors, copies across the sides among them: the former plan took minutes for their 64 million pairs."""
     n = 16_000
