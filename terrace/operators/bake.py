@@ -90,21 +90,28 @@ def blended(samples: DataFrame, by: list[str], colours: list[str], gain: str, sc
     return sums.where("_w > 0").select(*by, *(clamp(F.col(c) / F.col("_w"), 0.0, 1.0).alias(c) for c in colours))
 
 
-def atlas(triangles: int, size: int, gutter: int) -> tuple[int, int, int]:
-    """Columns, cell and usable pixels of a square atlas; raises if the cells leave no room between gutters."""
+def atlas(triangles: int, size: int, gutter: int, least: int | None = 2) -> tuple[int, int, int]:
+    """Columns, cell and usable pixels of a square atlas; raises if cells have fewer than ``least`` usable pixels a side.
+
+    Without ``least`` the layout comes out however small its cells are, down to
+    none: pixels then say themselves whether there is room.
+    """
     if triangles < 1:
         raise ValueError("an atlas needs a triangle")
-    columns = math.ceil(math.sqrt(triangles))
+    columns = math.isqrt(triangles - 1) + 1
     rows = -(-triangles // columns)
     cell = min(size // columns, size // rows)
-    if cell <= 2 * gutter + 1:
+    if least is not None and cell - 2 * gutter < least:
         raise ValueError(f"{triangles} triangles don't fit an atlas of {size} pixels")
     return columns, cell, cell - 2 * gutter
 
 
-def atlas_cells(df: DataFrame, ordinal: str, triangles: int, size: int, gutter: int) -> DataFrame:
-    """The first pixel ``tile_x, tile_y`` of each triangle's cell, behind its gutter, and the cell's usable pixels."""
-    columns, cell, inner = atlas(triangles, size, gutter)
+def atlas_cells(df: DataFrame, ordinal: str, triangles: int, size: int, gutter: int, least: int | None = 2) -> DataFrame:
+    """The first pixel ``tile_x, tile_y`` of each triangle's cell, behind its gutter, and the cell's usable pixels.
+
+    ``least`` as in ``atlas``; without it, no triangles give no rows.
+    """
+    columns, cell, inner = atlas(triangles if least is not None else max(triangles, 1), size, gutter, least)
     n = F.col(ordinal)
     down = F.floor(n / columns)
     return df.withColumn("tile_x", F.pmod(n, F.lit(columns)) * cell + gutter).withColumn("tile_y", down * cell + gutter).withColumn("inner", F.lit(inner))

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,25 @@ def test_rig_round_trip_and_rejections(spark):
     for bad in (raw[:-1], raw[:40], b"?" + raw[1:], raw[: 64 + 220] + b"\x01" + raw[64 + 221 :]):
         with pytest.raises(ValueError):
             codecs.decode_rig(bad)
+
+
+@pytest.mark.parametrize("n", [1, 1_200_000])
+def test_atlas_cells_of_any_number_of_parts(spark, tmp_path, n):
+    """As many rows as the SQL has; 1,200,000 parts leave one usable pixel a cell, which the layout used to refuse."""
+    from terrace.plans import registry
+
+    spark.range(n).select((F.col("id") * 3).alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    registry.queries()["atlas_cells"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    con = duckdb.connect()
+    con.sql(f"create view part as from '{tmp_path}/part.parquet/*.parquet'")
+    con.sql(f"create table want as {registry.oracle_sql()['atlas_cells']}")
+    con.sql(f"create table got as from '{tmp_path}/out/*.parquet'")
+    assert con.sql("select count(*) from got").fetchall() == [(n,)]
+    assert con.sql("select count(*) from ((from want except all from got) union all (from got except all from want))").fetchall() == [(0,)]
+
+
+def test_atlas_without_room(spark):
+    assert bake.atlas(30, 20, 1, None) == (6, 3, 1) and bake.atlas(20_000_000, 4096, 1, None) == (4473, 0, -2)
+    assert bake.atlas_cells(spark.range(0), "id", 0, 64, 2, least=None).isEmpty()
+    with pytest.raises(ValueError):
+        bake.atlas_cells(spark.range(30), "id", 30, 20, 1)
